@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightlights.llm import bpe, chat, decontaminate, quality, simhash, warc
+from nightlights.llm import bpe, chat, debruijn, decontaminate, quality, simhash, suffix, warc
 from nightlights.llm.tables import table
 from nightlights.runtime import shared_dir
 
@@ -51,11 +51,24 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = debruijn.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["length"]).alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["length"]).alias("n_removed"),
+        F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
