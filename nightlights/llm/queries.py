@@ -8,8 +8,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightlights.llm import bpe, chat, debruijn, decontaminate, quality, simhash, suffix, warc
-from nightlights.llm.tables import table
+from nightlights.llm import bpe, chat, debruijn, decontaminate, langid, quality, simhash, suffix, toxicity, warc
+from nightlights.llm.tables import fold, table
 from nightlights.runtime import shared_dir
 
 
@@ -23,6 +23,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), *tokenizer()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"), fold=1, folds=3)
+    return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
@@ -34,6 +39,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("row").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold=0, folds=5)
+    return toxicity.score(docs, machine).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_coverage(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
