@@ -67,8 +67,8 @@ def chains(cut: np.ndarray) -> np.ndarray:
     return np.where(word < cut[text + 1][:, None], word, -1)
 
 
-def forward_backward(emission: np.ndarray, transition: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(each word's probabilities of the languages, expected numbers of transitions), by chains."""
+def forward_backward(emission: np.ndarray, transition: np.ndarray, word: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(each word's probabilities of the languages, expected numbers of transitions if pairs), by chains."""
     labels = emission.shape[1]
     scaled = np.exp(emission - emission.max(1, keepdims=True)) if len(emission) else emission
     move = np.exp(transition)
@@ -89,6 +89,8 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, word: np.ndar
     both /= both.sum(2, keepdims=True)
     out = np.empty((len(emission), labels))
     out[word[live]] = both[live]
+    if not pairs:
+        return out, np.zeros((labels, labels))
     pair = alpha[:, :-1, :, None] * move * (beta[:, 1:] * e[:, 1:])[:, :, None, :]
     pair /= pair.sum((2, 3), keepdims=True)
     return out, pair[live[:, 1:]].sum(0)
@@ -164,7 +166,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         m = shared.value
         for rows, data in ts.blocks(batches, limit=1 << 19):
             f = Features(data)
-            p, _ = forward_backward(f.emissions(m.weights), m.transition, chains(f.cut))
+            p, _ = forward_backward(f.emissions(m.weights), m.transition, chains(f.cut), pairs=False)
             owner = np.repeat(np.arange(len(data)), np.diff(f.cut))
             share = np.stack([np.bincount(owner, p[:, k], len(data)) for k in range(len(m.languages))], 1) / np.maximum(1, np.diff(f.cut))[:, None]
             known = np.array([_HAS_LETTER(x.decode("utf-8", "replace")) is not None for x in data], bool) & (np.diff(f.cut) > 0)

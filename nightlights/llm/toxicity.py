@@ -20,6 +20,8 @@ TERMS = 4096
 #: Sampled rows that must have a term.
 LEAST_ROWS = 5
 FACTORS = 8
+#: A toxic row counts as so many others: missing one is held to be worse than a false alarm.
+TOXIC_WEIGHT = 8.0
 
 
 def terms(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.sort_by("id")
     lists = rows.column("terms").to_pylist()
     label = rows.column("label").to_numpy().astype(float)
-    weight = np.array([1 / share[int(k)] for k in label])
+    weight = np.array([(TOXIC_WEIGHT if k else 1.0) / share[int(k)] for k in label])
     text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     h = np.array([x for part in lists for x in part], np.int64).view(np.uint64)
     return fit(text, h, label, weight / weight.mean() if len(weight) else weight)
