@@ -75,11 +75,11 @@ def crop(df: DataFrame, rows: tuple[int, int] = (900, 1200), cols: tuple[int, in
 
 
 def bayer_rgb(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, r, c at half resolution with R (even row, odd column), G (even, even) and B (odd, even); (odd, odd) is dropped."""
+    """keys, r, c at half resolution with red (even row, odd column), green (even, even) and blue (odd, even); (odd, odd) is dropped."""
     odd_r, odd_c = F.col("r") % 2 == 1, F.col("c") % 2 == 1
     pick = lambda cond: F.max(F.when(cond, F.col("lum")))
     half = [F.floor(F.col("r") / 2).cast("int").alias("r"), F.floor(F.col("c") / 2).cast("int").alias("c")]
-    return pixels.where(~(odd_r & odd_c)).groupBy(*keys, *half).agg(pick(~odd_r & odd_c).alias("R"), pick(~odd_r & ~odd_c).alias("G"), pick(odd_r & ~odd_c).alias("B"))
+    return pixels.where(~(odd_r & odd_c)).groupBy(*keys, *half).agg(pick(~odd_r & odd_c).alias("red"), pick(~odd_r & ~odd_c).alias("green"), pick(odd_r & ~odd_c).alias("blue"))
 
 
 def gamma(value: Column, gam: float = 0.5, scale: float = 1.0) -> Column:
@@ -96,7 +96,7 @@ def stretch(pixels: DataFrame, keys: list[str], lo: float, hi: float) -> DataFra
 def convert_frames(pixels: DataFrame, factor: int, gray: tuple[float, float, float]) -> DataFrame:
     """Frames for viewing: Bayer split, every factor-th pixel, gray-world division, gamma and stretch to 60..200, by band."""
     rgb = bayer_rgb(pixels, ["night", "obs_idx"]).where((F.col("r") % factor == 0) & (F.col("c") % factor == 0))
-    long = rgb.select("night", "obs_idx", "r", "c", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), (F.col(b) / g).alias("lum")) for b, g in zip("RGB", gray, strict=True)])).alias("v")).select("night", "obs_idx", "r", "c", "v.*")
+    long = rgb.select("night", "obs_idx", "r", "c", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), (F.col(b) / g).alias("lum")) for b, g in zip(("red", "green", "blue"), gray, strict=True)])).alias("v")).select("night", "obs_idx", "r", "c", "v.*")
     return stretch(long.where("lum IS NOT NULL").withColumn("lum", gamma(F.col("lum"), 0.5, 2.0)), ["night", "obs_idx"], 60, 200)
 
 
@@ -176,8 +176,8 @@ def colour_fractions(pixels: DataFrame, labels: DataFrame, stop: int = 1700, ste
     The label of a half-resolution pixel is that at its even row and odd column.
     """
     frame = pixels.where((F.col("obs_idx") < stop) & (F.col("obs_idx") % step == 0)).groupBy("r", "c").agg(F.floor(F.median("lum")).alias("lum"))
-    rgb = bayer_rgb(frame, []).fillna(0, ["R", "G", "B"])
-    total = F.col("R") + F.col("G") + F.col("B")
+    rgb = bayer_rgb(frame, []).fillna(0, ["red", "green", "blue"])
+    total = F.col("red") + F.col("green") + F.col("blue")
     part = lambda x: F.when(total > 0, F.col(x) / total).otherwise(0.0)
     at = labels.where("r % 2 = 0 AND c % 2 = 1").select(F.floor(F.col("r") / 2).cast("int").alias("r"), F.floor(F.col("c") / 2).cast("int").alias("c"), F.col("label").alias("source"))
-    return rgb.join(at, ["r", "c"]).groupBy("source").agg(F.avg(part("R")).alias("red"), F.avg(part("G")).alias("green"), F.avg(part("B")).alias("blue"))
+    return rgb.join(at, ["r", "c"]).groupBy("source").agg(F.avg(part("red")).alias("red"), F.avg(part("green")).alias("green"), F.avg(part("blue")).alias("blue"))
