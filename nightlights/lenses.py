@@ -17,7 +17,7 @@ LENSES = {
     "pairs": "SELECT p_brand AS frame, p_partkey AS id, CAST(p_size AS DOUBLE) AS r0, (p_retailprice - 900) / 2 AS c0, 1.1 * (cos(0.1) * p_size - sin(0.1) * (p_retailprice - 900) / 2) + 5 + 0.01 * (p_partkey % 7 - 3) AS r1, 1.1 * (sin(0.1) * p_size + cos(0.1) * (p_retailprice - 900) / 2) - 3 + 0.01 * (p_partkey % 7 - 3) AS c1 FROM {part}",
     "detections": "SELECT 'f' AS frame, CAST(p_partkey AS INT) AS id, CAST(10 * p_size AS DOUBLE) AS r, CAST((37 * p_partkey) % 500 AS DOUBLE) AS c FROM {part} WHERE p_partkey < 60",
     "catalog": "SELECT CAST(floor(id / 8) AS INT) AS k, r + 0.5 AS r, c + 0.5 AS c FROM {detections} WHERE id % 8 = 3 AND id < 56",
-    "lots": "SELECT CAST(s_suppkey + 1 AS BIGINT) AS bbl, 4 * s_nationkey + 2.1 AS x, 4 * (s_suppkey % 13) + 2.3 AS y FROM {supplier}",
+    "lots": "SELECT CAST(s_suppkey + 1 AS BIGINT) AS bbl, CAST(4 * s_nationkey + 2.1 AS DOUBLE) AS x, CAST(4 * (s_suppkey % 13) + 2.33 AS DOUBLE) AS y FROM {supplier}",
     "places": "SELECT DISTINCT round(x, 1) AS x, y FROM {points}",
 }
 
