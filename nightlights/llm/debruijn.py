@@ -145,8 +145,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     array<struct<start, length>> (the maximal runs of words cut).
 
     A word is cut if a window of WINDOW words over it also starts in a document with a smaller id. Ids are integers; rows
-    with a null id neither lose words nor cause it, repeated rows of one id don't cut each other, null texts have no words.
+    with a null id neither lose words nor cause it, repeated rows of one id don't cut each other, null texts have no words. Columns of docs with the added names are replaced.
     """
+    docs = docs.drop("_n_words", "_kept", "_spans")
     source = docs.select(docs[id_col].cast("long").alias("doc"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"_c{k}") for k, c in enumerate(docs.columns) if c != text_col])
     found = _repeats(source.select("doc", "text_hash", "text")).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("at", "n")).alias("parts"))
     joined = source.join(found, ["doc", "text_hash"], "left")

@@ -105,7 +105,7 @@ class Model:
 
 def fit(texts: list[bytes], labels: list[str], epochs: int = 4, batch: int = 48, rate: float = 0.3, seed: int = 7) -> Model:
     """Adaptive gradient ascent on the chains' log-likelihood; all words of a text have its label."""
-    languages = sorted(set(labels))
+    languages = sorted(set(labels)) or ["und"]
     size = len(languages)
     model = Model(languages, np.zeros((1 << BITS, size), np.float32), np.zeros((size, size)))
     seen_w, seen_t = np.full(model.weights.shape, 1e-2, np.float32), np.full((size, size), 1e-2)
@@ -147,13 +147,11 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fold: int
     usable = docs.where(rest & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     counts = usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
-        raise ValueError("no labelled rows")
+        return [], []
     share = F.coalesce(*[F.when(F.col(lang_col) == r.lang, F.lit(ROWS_PER_LANGUAGE / r.n)) for r in counts])
     chosen = usable.where(F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000)) < share * 1_000_000)
     first = F.array_join(F.slice(F.split(F.col(text_col), " ", WORDS_PER_ROW + 1), 1, WORDS_PER_ROW), " ")
     rows = sorted((r.lang, r.text) for r in chosen.select(F.col(lang_col).alias("lang"), F.substring(first, 1, 40 * WORDS_PER_ROW).alias("text")).collect())
-    if not rows:
-        raise ValueError("no labelled rows in the sample")
     return [t.encode() for _, t in rows], [k for k, _ in rows]
 
 
@@ -169,7 +167,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             p, _ = forward_backward(f.emissions(m.weights), m.transition, chains(f.cut), pairs=False)
             owner = np.repeat(np.arange(len(data)), np.diff(f.cut))
             share = np.stack([np.bincount(owner, p[:, k], len(data)) for k in range(len(m.languages))], 1) / np.maximum(1, np.diff(f.cut))[:, None]
-            known = np.array([_HAS_LETTER(x.decode("utf-8", "replace")) is not None for x in data], bool) & (np.diff(f.cut) > 0)
+            known = (m.languages != ["und"]) & np.array([_HAS_LETTER(x.decode("utf-8", "replace")) is not None for x in data], bool) & (np.diff(f.cut) > 0)
             best = share.argmax(1)
             score = np.where(known, np.clip(share[np.arange(len(data)), best], 0, 1), 0.0)
             yield ts.record(id=rows.column("id"), lang_pred=pa.array([m.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], pa.string()), score=score, shares=pa.array(share.tolist(), pa.list_(pa.float64())))
@@ -179,5 +177,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 1, folds: int = 3) -> DataFrame:
-    """Learns from docs outside the fold crc32(id) % folds == fold and predicts every row. Rows of a null id aren't learned from."""
+    """Learns from docs outside the fold crc32(id) % folds == fold and predicts every row. Rows of a null id aren't learned from.
+    With nothing to learn from every row is und."""
     return predict(docs, fit(*sample(docs, id_col, text_col, lang_col, fold, folds)), id_col, text_col)

@@ -174,11 +174,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group, all columns: that of the smallest id (null: last), then of the least row hash."""
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    rows = materialize(fingerprints(marked, [id_col, "_row"], text_col, shingle), "fingerprints")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    marked = docs.withColumn("__row_hash", F.xxhash64(*docs.columns))
+    rows = materialize(fingerprints(marked, [id_col, "__row_hash"], text_col, shingle), "fingerprints")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row_hash").alias("row"))
     best = rows.groupBy("fp").agg(F.min(order).alias("best"))
     best = best.join(fingerprint_groups(rows, radius), "fp", "left").groupBy(F.coalesce("grp", "fp").alias("grp")).agg(F.min("best").alias("best"))
-    winners = materialize(best.select(F.col("best.row").alias("_row"), F.col("best.id").alias("_id")).distinct(), "winners")
-    kept = marked.join(winners, (marked["_row"] == winners["_row"]) & marked[id_col].eqNullSafe(winners["_id"]), "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*docs.columns)
+    winners = materialize(best.select(F.col("best.row").alias("__row_hash"), F.col("best.id").alias("_id")).distinct(), "winners")
+    kept = marked.join(winners, (marked["__row_hash"] == winners["__row_hash"]) & marked[id_col].eqNullSafe(winners["_id"]), "left_semi")
+    return kept.dropDuplicates(["__row_hash"]).select(*docs.columns)

@@ -354,10 +354,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     maximal runs cut, in bytes of the text).
 
     A byte is cut if a string of LENGTH bytes over it also starts in a document with a smaller id. Ids are integers; rows
-    with a null id neither lose bytes nor cause it, repeated rows of one id don't cut each other, null texts are empty.
+    with a null id neither lose bytes nor cause it, repeated rows of one id don't cut each other, null texts are empty. Columns of docs with the added names are replaced.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.drop("_block", "_kept", "_spans")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks, buckets = 2 * n, n
     dealt = docs.withColumn("_block", F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int")).repartition(n, "_block")
 

@@ -105,12 +105,13 @@ def fit(text: np.ndarray, h: np.ndarray, label: np.ndarray, weight: np.ndarray,
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 0, folds: int = 5) -> Machine:
-    """Fits on about ROWS_PER_LABEL rows of each label outside the fold crc32(id) % folds == fold, weighted to the labels' own shares."""
+    """Fits on about ROWS_PER_LABEL rows of each label outside the fold crc32(id) % folds == fold, weighted to the labels'
+    own shares and TOXIC_WEIGHT. Without labelled rows every score is near 0."""
     id_ = F.col("id")
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where(id_.isNotNull() & F.col("label").isin(0, 1) & (F.crc32(id_.cast("string")) % folds != fold)).distinct()
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        raise ValueError("no labelled rows")
+        return Machine(np.zeros(1, np.uint64), -7.0, np.zeros(1), np.zeros((1, FACTORS)))
     share = {k: min(1.0, ROWS_PER_LABEL / n) for k, n in counts.items()}
     part = F.coalesce(*[F.when(F.col("label") == k, F.lit(s)) for k, s in share.items()])
     chosen = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), id_), F.lit(1_000_000)) < part * 1_000_000)
@@ -122,9 +123,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield ts.record(id=rows.column("id"), label=rows.column("label"), terms=pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64))))
 
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    rows = texts.join(chosen.withColumn("id", id_.cast("long")), "id").mapInArrow(run, "id long, label int, terms array<long>").toArrow()
+    sample = F.broadcast(chosen.withColumn("id", id_.cast("long")))  # about 2 * ROWS_PER_LABEL rows of an id and a label, however large the tables
+    rows = texts.join(sample, "id").mapInArrow(run, "id long, label int, terms array<long>").toArrow()
     rows = rows.sort_by("id")
     lists = rows.column("terms").to_pylist()
+    if not lists:
+        return Machine(np.zeros(1, np.uint64), -7.0, np.zeros(1), np.zeros((1, FACTORS)))
     label = rows.column("label").to_numpy().astype(float)
     weight = np.array([(TOXIC_WEIGHT if k else 1.0) / share[int(k)] for k in label])
     text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
