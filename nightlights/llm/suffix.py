@@ -267,19 +267,18 @@ class Block:
         if len(order):
             mask[order] = np.frombuffer(b"".join(answers[b] for b in sorted(answers)), np.uint32)
         mine = mask[self.entry] | np.where(self.doc > self.doc[self.entries][self.entry], np.uint32(0xFFFFFFFF), np.uint32(0))
-        marks = [np.zeros(len(x) + 1, np.int32) for x in self.data]
-        part, text, place, _ = self.home[self.order].T
-        for k in np.unique(part):
-            own = part == k
-            _, which, offset = self.parts[k]
-            p = self.parts[k][0]
+        out = [np.zeros(len(x), bool) for x in self.data]
+        part, _, place, _ = self.home[self.order].T
+        for k, (p, which, offset) in enumerate(self.parts):
+            own = np.flatnonzero(part == k)
+            bits, low, high, at = mine[own], self.low[own], self.high[own], place[own]
+            starts = np.zeros(len(p.buf) + 1, np.int32)
             for o in range(W):
-                hit = np.flatnonzero(own & (self.low <= o) & (o <= self.high) & (mine >> np.uint32(o) & np.uint32(1) == 1))
-                for i, start in zip(text[hit].tolist(), (place[hit] - o - p.base[text[hit]]).tolist(), strict=True):
-                    m, a = marks[which[i]], start + offset[i]
-                    m[a] += 1
-                    m[a + LENGTH] -= 1
-        return [np.cumsum(m[:-1]) > 0 for m in marks]
+                starts[at[(bits >> np.uint32(o) & np.uint32(1)).astype(bool) & (low <= o) & (o <= high)] - o] = 1
+            inside = np.cumsum(starts[:-1] - np.concatenate([np.zeros(LENGTH, np.int32), starts[: -1 - LENGTH]])) > 0
+            for i, shift, a, b in zip(which, offset, p.base[:-1].tolist(), p.base[1:].tolist(), strict=True):
+                out[i][shift : shift + b - a] |= inside[a:b]
+        return out
 
 
 def piece_keys(room: np.ndarray, high: np.ndarray) -> np.ndarray:
