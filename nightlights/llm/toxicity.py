@@ -133,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weight = np.array([(TOXIC_WEIGHT if k else 1.0) / share[int(k)] for k in label])
     text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     h = np.array([x for part in lists for x in part], np.int64).view(np.uint64)
-    return fit(text, h, label, weight / weight.mean() if len(weight) else weight)
+    return fit(text, h, label, weight / weight.mean())
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
