@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from nightlights.llm import textscan as ts
 
 #: Distinct pre-tokens whose ids a worker remembers; beyond it the memory is emptied. Results don't depend on it.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def byte_characters() -> list[str]:

@@ -75,7 +75,7 @@ def repetition_coverage(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text (first ones included); dup_line_chars those in lines equal to an earlier one. A row is kept unless it has
     under min_words words, more than half of its words stand in repeated 3-word windows, or one of the shares is
     exceeded. Null and empty texts have no words and aren't kept. Rows keep their id, null or repeated, and only id and
-    text are read, so further columns don't matter. No shuffle; memory follows a block of about 1 MB or one text.
+    text are read, so further columns don't matter. No shuffle; memory follows a block of about 0.5 MB or one text.
     """
     shares = NGRAM_SHARES if ngram_shares is None else ngram_shares
 

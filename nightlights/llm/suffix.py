@@ -160,7 +160,7 @@ class Part:
 
 
 def parts(data: list[bytes], docs: np.ndarray, usable: np.ndarray) -> Iterator[tuple[Part, list[int], list[int]]]:
-    """Parts of at most about a megabyte with the numbers of their texts and where in these they begin; texts beyond
+    """Parts of at most about BLOCK bytes with the numbers of their texts and where in these they begin; texts beyond
     _SEGMENT bytes go in overlapping pieces."""
     held: list[bytes] = []
     which: list[int] = []

@@ -17,7 +17,9 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: BASE's inverse modulo 2**64.
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Rows of an Arrow batch whose texts are taken out at a time.
+ROWS = 512
 
 
 def encoded(column: pa.Array) -> list[bytes]:
@@ -27,7 +29,7 @@ def encoded(column: pa.Array) -> list[bytes]:
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """(rows, their texts' bytes) from Arrow batches, in blocks of about limit bytes: memory follows the block and the longest text."""
-    for batch in batches:
+    for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         data, first, size = encoded(batch.column(column)), 0, 0
         for i, x in enumerate(data):
             if size and size + len(x) > limit:
