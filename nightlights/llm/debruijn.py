@@ -105,6 +105,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
     """(doc, text_hash, at, n): windows at, at + 1, ... of docs that a smaller document has too."""
     every = materialize(segments(docs.where("doc IS NOT NULL")), "segments")
     shared = every.groupBy("minimizer").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("minimizer")
+    shared = materialize(shared, "minimizers")  # read back, the join below has plain exchanges, of which Spark splits a hot one
     found = materialize(every.join(shared, "minimizer"), "shared")
     kinds = materialize(found.groupBy("minimizer", "segment").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "kinds")
     repeated = kinds.where("first < last").select("segment", "first")
@@ -120,6 +121,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
     spans = run.groupBy("doc", "text_hash", "run").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n")).select("doc", "text_hash", "at", "n")
 
     branching = kinds.groupBy("minimizer").agg(F.count("*").alias("k")).where("k > 1").select("minimizer")
+    branching = materialize(branching, "branching")
     borders = found.join(kinds.join(branching, "minimizer").select("segment", F.col("first").alias("doc")), ["segment", "doc"]).groupBy("doc", "text_hash").agg(F.collect_list(F.struct(F.col("at"), F.col("n").cast("int").alias("n"))).alias("parts"))
 
     def run_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
