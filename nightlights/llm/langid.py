@@ -15,10 +15,6 @@ from nightlights.llm import textscan as ts
 
 #: Rows to learn from, for each language, about; they are those of the least id hashes.
 ROWS_PER_LANGUAGE = 400
-#: Words of a sampled row that are learned from: the first ones. Prediction takes every word of every text.
-WORDS_PER_ROW = 256
-#: Languages learned, most frequent first.
-LANGUAGES = 64
 #: Words in a chain. Longer texts are several chains.
 CHAIN = 64
 BITS = 17
@@ -91,9 +87,13 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, word: np.ndar
     out[word[live]] = both[live]
     if not pairs:
         return out, np.zeros((labels, labels))
-    pair = alpha[:, :-1, :, None] * move * (beta[:, 1:] * e[:, 1:])[:, :, None, :]
-    pair /= pair.sum((2, 3), keepdims=True)
-    return out, pair[live[:, 1:]].sum(0)
+    total, step = np.zeros((labels, labels)), max(1, (1 << 22) // (labels * labels * word.shape[1]))
+    for k in range(0, len(word), step):
+        c = slice(k, k + step)
+        pair = alpha[c, :-1, :, None] * move * (beta[c, 1:] * e[c, 1:])[:, :, None, :]
+        pair /= pair.sum((2, 3), keepdims=True)
+        total += pair[live[c, 1:]].sum(0)
+    return out, total
 
 
 @dataclass
@@ -142,16 +142,15 @@ def fit(texts: list[bytes], labels: list[str], epochs: int = 4, batch: int = 48,
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fold: int, folds: int) -> tuple[list[bytes], list[str]]:
-    """Texts' first words and labels of about ROWS_PER_LANGUAGE rows of each language, chosen by a hash of the id, outside the fold."""
+    """Whole texts and labels of about ROWS_PER_LANGUAGE rows of every language, chosen by a hash of the id, outside the fold."""
     rest = F.crc32(F.col(id_col).cast("string")) % folds != fold
     usable = docs.where(rest & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()
     if not counts:
         return [], []
-    share = F.coalesce(*[F.when(F.col(lang_col) == r.lang, F.lit(ROWS_PER_LANGUAGE / r.n)) for r in counts])
+    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.lang, ROWS_PER_LANGUAGE / r.n)]), F.col(lang_col))
     chosen = usable.where(F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000)) < share * 1_000_000)
-    first = F.array_join(F.slice(F.split(F.col(text_col), " ", WORDS_PER_ROW + 1), 1, WORDS_PER_ROW), " ")
-    rows = sorted((r.lang, r.text) for r in chosen.select(F.col(lang_col).alias("lang"), F.substring(first, 1, 40 * WORDS_PER_ROW).alias("text")).collect())
+    rows = sorted((r.lang, r.text) for r in chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).collect())
     return [t.encode() for _, t in rows], [k for k, _ in rows]
 
 
