@@ -43,11 +43,15 @@ class Words:
             return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
         where = np.arange(n - K + 1)
         h = ts.span(self.prefix, where, where + K)
-        v, width = h & ~_POSITION | where.astype(np.uint64), 1
-        while width * 2 <= W:
-            v = np.minimum(v[:-width], v[width:])
-            width *= 2
-        least = (np.minimum(v[: len(v) - (W - width)], v[W - width :]) & _POSITION).astype(np.int64)
+        least = np.empty(n - WINDOW + 1, np.int64)
+        step = int(_POSITION) + 2 - W  # a place within so many windows fits the packed bits
+        for low in range(0, len(least), step):
+            part = h[low : min(low + step, len(least)) + W - 1]
+            v, width = part & ~_POSITION | np.arange(len(part), dtype=np.uint64), 1
+            while width * 2 <= W:
+                v = np.minimum(v[:-width], v[width:])
+                width *= 2
+            least[low : low + step] = (np.minimum(v[: len(v) - (W - width)], v[W - width :]) & _POSITION).astype(np.int64) + low
         owner = np.searchsorted(self.cut, np.arange(len(least)), "right") - 1
         start = np.flatnonzero(np.arange(len(least)) + WINDOW <= self.cut[owner + 1])
         owner, least = owner[start], least[start]
