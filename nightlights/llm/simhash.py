@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nightlights.llm import jaccard
 from nightlights.llm import textscan as ts
+from nightlights.llm.tables import fresh, quoted, row_key
 from nightlights.operators.components import connected_components
 from nightlights.runtime import materialize
 
@@ -42,14 +44,14 @@ def shingle_fingerprint(text: bytes, n: int) -> int:
 
 def fingerprints(docs: DataFrame, columns: list[str], text_col: str = "text", shingle: int = 3) -> DataFrame:
     """columns of docs and fp, the fingerprint's 64 bits as a long. Null and empty texts have fingerprint 0."""
-    source = docs.select(*columns, docs[text_col].cast("string").alias("_text"))
+    source = docs.select(*(F.col(quoted(c)) for c in columns), F.col(quoted(text_col)).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data in ts.blocks(batches, "_text"):
             fp = np.array([shingle_fingerprint(x, shingle) for x in data], np.uint64).view(np.int64)
             yield ts.record(**{c: rows.column(c) for c in columns}, fp=fp)
 
-    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in columns)
+    kinds = ", ".join(f"{quoted(c)} {source.schema[c].dataType.simpleString()}" for c in columns)
     return source.mapInArrow(run, f"{kinds}, fp long")
 
 
@@ -172,13 +174,32 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(least.join(component, "grp").select("fp", "component_id"), "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each group, all columns: that of the smallest id (null: last), then of the least row hash."""
-    marked = docs.withColumn("__row_hash", F.xxhash64(*docs.columns))
-    rows = materialize(fingerprints(marked, [id_col, "__row_hash"], text_col, shingle), "fingerprints")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row_hash").alias("row"))
-    best = rows.groupBy("fp").agg(F.min(order).alias("best"))
-    best = best.join(fingerprint_groups(rows, radius), "fp", "left").groupBy(F.coalesce("grp", "fp").alias("grp")).agg(F.min("best").alias("best"))
-    winners = materialize(best.select(F.col("best.row").alias("__row_hash"), F.col("best.id").alias("_id")).distinct(), "winners")
-    kept = marked.join(winners, (marked["__row_hash"] == winners["__row_hash"]) & marked[id_col].eqNullSafe(winners["_id"]), "left_semi")
-    return kept.dropDuplicates(["__row_hash"]).select(*docs.columns)
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """docs with one row of each group, all columns: that of the smallest id (null: last), then of the least row hash.
+
+    Groups are the connected sets of links between texts whose sets of shingles have a Jaccard similarity of 4/5 or more. The
+    tiled comparison by exclusive-or and bit counts finds them over the wider fingerprints of jaccard.py, since 64 majority
+    bits have no radius that surely covers this similarity; whole sets decide.
+    Null texts and texts without words are one group; equal texts are linked, repeated rows among them. Columns of any
+    name and type are carried along; an empty table gives an empty one.
+    """
+    h1, h2 = (fresh(docs.columns, c) for c in ("row_hash", "row_check"))
+    marked = docs.withColumns(dict(zip((h1, h2), row_key(docs), strict=True)))
+    rows = materialize(jaccard.sets(marked, [id_col, h1, h2], text_col, shingle).toDF("id", "h1", "h2", "node", "twin", "n", "few", "wide", "narrow"), "sets")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")
+    while True:
+        best = materialize(rows.groupBy("node").agg(F.min(order).alias("best"), F.min("twin").alias("lo"), F.max("twin").alias("hi")).select("node", "best.h1", "best.h2", "best", "lo", "hi"), "best")
+        clash = best.where("lo <> hi").select("node", F.lit(True).alias("clash"))
+        if clash.isEmpty():
+            break
+        rows = materialize(rows.join(clash, "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "twin")).otherwise(F.col("node"))).drop("clash"), "sets")  # different sets with one hash
+    wide = materialize(rows.select("h1", "h2", "node", "n", "wide", "narrow").join(best.select("h1", "h2"), ["h1", "h2"]).drop("h1", "h2").dropDuplicates(["node"]), "wide")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        chosen = nodes.join(best.select("node", F.col("h1").alias(h1), F.col("h2").alias(h2)), "node")
+        text = marked.select(h1, h2, F.col(quoted(text_col)).cast("string").alias("text"))
+        return text.join(chosen, [h1, h2]).select("node", "text").dropDuplicates(["node"])
+
+    grouped = best.join(jaccard.similar_groups(rows.select("node", "n", "few"), wide, texts_of, shingle), "node", "left").groupBy(F.coalesce("grp", "node").alias("grp")).agg(F.min("best").alias("best"))
+    winners = materialize(grouped.select(F.col("best.h1").alias(h1), F.col("best.h2").alias(h2)), "winners")
+    return marked.join(winners, [h1, h2], "left_semi").dropDuplicates([h1, h2]).select(*[F.col(quoted(c)) for c in docs.columns])

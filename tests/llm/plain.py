@@ -63,6 +63,33 @@ def gone(sequences, n):
     return out
 
 
+def shingles(text, n=5):
+    w = SPACED.findall(lower(text or ""))
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def kept_by_jaccard(rows):
+    """Ids of the least row of each group by brute force."""
+    s = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(s)):
+        for j in range(i):
+            both = len(s[i] & s[j])
+            if 5 * both >= 4 * (len(s[i]) + len(s[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    out = {}
+    for i, (k, _) in enumerate(rows):
+        out[find(i)] = min(out.get(find(i), k), k)
+    return sorted(out.values())
+
+
 def cut_words(docs):
     found = [(i, tuple(SPACED.findall(t or ""))) for i, t in docs]
     return [(i, len(s), int(d.sum()), sha(" ".join(w for w, g in zip(s, d, strict=True) if not g).encode())) for (i, s), d in zip(found, gone(found, 50), strict=True)]

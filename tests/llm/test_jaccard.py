@@ -1,40 +1,14 @@
-"""Near-duplicates by exact Jaccard similarity, against brute force over all pairs."""
+"""SimHash's near-duplicates at a Jaccard similarity of 0.8, against brute force over all pairs."""
 
 from __future__ import annotations
 
 import numpy as np
 import plain
-from nightlights.llm import jaccard
+import pyarrow as pa
+from nightlights.llm import jaccard, simhash
 from nightlights.llm.tables import table
 
 
-def shingles(text, n=5):
-    w = plain.SPACED.findall(plain.lower(text or ""))
-    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
-
-
-def kept(rows):
-    """Ids of the least row of each group by brute force."""
-    s = [shingles(t) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(s)):
-        for j in range(i):
-            both = len(s[i] & s[j])
-            if 5 * both >= 4 * (len(s[i]) + len(s[j]) - both):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    out = {}
-    for i, (k, _) in enumerate(rows):
-        out[find(i)] = min(out.get(find(i), k), k)
-    return sorted(out.values())
-
-
 def test_pipeline_stage_links_at_jaccard(spark, sf_dir):
     import corpus_pipeline as p
 
@@ -42,7 +16,7 @@ def test_pipeline_stage_links_at_jaccard(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert dict(p.STAGES)["simhash_near_duplicates"] is p.near_duplicates
     found = p.near_duplicates(spark, docs, sf_dir)
-    assert found.columns == p.COLUMNS and sorted(r.doc_id for r in found.collect()) == kept(rows)
+    assert found.columns == p.COLUMNS and sorted(r.doc_id for r in found.collect()) == plain.kept_by_jaccard(rows)
 
 
 def test_groups_at_every_similarity(spark, monkeypatch):
@@ -63,4 +37,45 @@ def test_groups_at_every_similarity(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for sample in (0, 20_000):
         monkeypatch.setattr(jaccard, "SAMPLE", sample)
-        assert sorted(r.doc_id for r in jaccard.keep_one_of_each_group(docs).collect()) == kept(rows)
+        assert sorted(r.doc_id for r in simhash.keep_one_of_each_group(docs).collect()) == plain.kept_by_jaccard(rows)
+
+
+def test_fingerprints_never_differ_more_than_sets():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 200, 300, 3000):
+        one = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
+        other = np.unique(np.concatenate([one[: len(one) * 9 // 10], rng.integers(0, 1 << 60, n // 5).astype(np.uint64)]))
+        wide, narrow = jaccard.sketches(np.concatenate([one, other]), np.array([0, len(one), len(one) + len(other)]))
+        apart = len(np.setxor1d(one, other))
+        assert jaccard.differing(*wide) <= apart and np.bitwise_count(narrow[0] ^ narrow[1]).sum() <= apart
+
+
+def test_cells_small_and_large_agree():
+    """The same pairs come from a cell whether all rows are shifted against each other or tiles are compared."""
+    rng = np.random.default_rng(3)
+    m = 50
+    bits = rng.integers(-(1 << 62), 1 << 62, (m, 4))
+    bits[1::2] = bits[::2] ^ 1
+    n = rng.integers(90, 110, m)
+    rows = pa.table({"node": rng.permutation(m).astype(np.int64), "n": n.astype(np.int32), "at": np.zeros(m, np.int32), "comp": rng.integers(0, 20, m), "tile": np.repeat([0, 1], m // 2).astype(np.int32), "narrow": pa.array(bits.tolist(), pa.list_(pa.int64()))})
+    cells = jaccard._Cells(rows)
+
+    def pairs(found):
+        return {frozenset(p) for a, b in found for p in zip(a.tolist(), b.tolist(), strict=True)}
+
+    small, large = pairs(cells.small(np.array([0]), np.array([m]))), pairs(cells.large(0, m, side=8))
+    want = {frozenset((i, j)) for i in range(m) for j in range(i) if cells.comp[i] != cells.comp[j] and cells.tile[i] != cells.tile[j] and 9 * sum((int(x) ^ int(y)).bit_count() if (int(x) ^ int(y)) >= 0 else 64 - (~(int(x) ^ int(y))).bit_count() for x, y in zip(bits[i], bits[j], strict=True)) <= int(n[i] + n[j])}
+    assert small == large == want
+
+
+def test_clashing_names_maps_repeats_and_equal_hashes(spark, monkeypatch):
+    """Odd columns stay as they are; repeated rows and null ids leave one row; different sets with one hash stay apart."""
+    rows = [(3, "one two three four five six", {"k": 1}, "x", 7), (3, "one two three four five six", {"k": 1}, "x", 7), (None, "one two three four five six", None, None, None), (5, "quite another text of six words", {}, "y", 8), (None, None, None, "z", 9), (9, "", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, `a.b` string, row_hash int")
+    out = simhash.keep_one_of_each_group(docs)
+    assert out.schema == docs.schema
+    assert sorted(out.collect(), key=lambda r: r.doc_id) == [rows[0], rows[3], rows[5]]
+    assert simhash.keep_one_of_each_group(docs.where("false")).count() == 0
+    real = jaccard.ts.mix
+    monkeypatch.setattr(jaccard, "node_hash", lambda h, first, seed: real(np.diff(first).astype(np.uint64)).view(np.int64) if seed == 7 else real(np.append(h, np.uint64(1))[first[:-1]]).view(np.int64))
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each_group(docs.where("doc_id < 9")).collect()) == [3, 5]
