@@ -27,9 +27,9 @@ def gaussian(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.stack([np.convolve(padded[:, k], w, "valid") for k in range(x.shape[1])], 1)
 
 
-def clip_stats(x: np.ndarray, k: float = 2.0, rounds: int = 10) -> tuple[float, float]:
-    """Mean and deviation of what is left after dropping, again and again, what is over k deviations from the mean."""
-    keep = np.ones(len(x), bool)
+def clip_stats(x: np.ndarray, k: float = 2.0, rounds: int = 10, usable: np.ndarray | None = None) -> tuple[float, float]:
+    """Mean and deviation of what is left of x, or of its usable part, after dropping, again and again, what is over k deviations from the mean."""
+    keep = np.ones(len(x), bool) if usable is None else usable.copy()
     for _ in range(rounds):
         left = x[keep]
         keep &= np.abs(x - left.mean()) <= k * left.std()

@@ -39,9 +39,48 @@ xc AS (SELECT night, source, n, i, abs(avg(lum) OVER r - avg(lum) OVER l) > 2 *
 checked AS (SELECT night, source, i::INT obs_idx, coalesce(good, false) good FROM xc WHERE i >= 0 AND i < n)"""
 
 
+#: The same with missing samples: a Gaussian of 1, within whose reach of 4 nothing may be missing.
+GAPS = f"""sized AS (SELECT night, source, obs_idx, lum, count(*) OVER (PARTITION BY night, source) n FROM gappy),
+kernel AS (SELECT k, exp(-0.5 * k ** 2) / sum(exp(-0.5 * k ** 2)) OVER () w FROM range(-4, 5) t(k)),
+placed AS (SELECT *, {_REFLECT.format(i="obs_idx + k")} j FROM sized, kernel),
+seen AS (SELECT p.night, p.source, p.obs_idx, p.n, any_value(p.lum) lum, sum(p.w * (o.lum IS NOT NULL)::INT) > 0.9999 seen FROM placed p JOIN sized o ON o.night = p.night AND o.source = p.source AND o.obs_idx = p.j GROUP BY ALL),
+smooth AS (SELECT p.night, p.source, p.obs_idx, sum(p.w * o.lum) FILTER (o.seen) / CASE WHEN sum(p.w * o.seen::INT) = 0 THEN 1 ELSE sum(p.w * o.seen::INT) END part FROM placed p JOIN seen o ON o.night = p.night AND o.source = p.source AND o.obs_idx = p.j GROUP BY ALL),
+diff AS (SELECT night, source, obs_idx, coalesce(part, 0) smooth, coalesce(lead(coalesce(part, 0)) OVER w - lag(coalesce(part, 0)) OVER w, 0) gd, lead(seen) OVER w IS NULL OR lag(seen) OVER w IS NULL OR (lead(seen) OVER w AND lag(seen) OVER w) usable
+  FROM smooth JOIN seen USING (night, source, obs_idx) WINDOW w AS (PARTITION BY night, source ORDER BY obs_idx))"""
+GAP_TAGS = (
+    GAPS
+    + ", "
+    + _rounds(10).replace("gd FROM diff)", "gd FROM diff WHERE usable)", 1)
+    + """, tags AS (SELECT night, source, obs_idx, gd, usable, coalesce(usable AND gd - mean > 0 AND gd > lag(gd) OVER w AND gd > lead(gd) OVER w, false) tag_on,
+  coalesce(usable AND gd - mean < 0 AND gd < lag(gd) OVER w AND gd < lead(gd) OVER w, false) tag_off FROM diff LEFT JOIN levels USING (night, source) WINDOW w AS (PARTITION BY night, source ORDER BY obs_idx))"""
+)
+GAP_CHECK = CHECK.replace("FROM curves", "FROM gappy").replace(") good FROM xw", f") AND count(lum) OVER l = {W} AND count(lum) OVER r = {W} good FROM xw")
+
+
 @query("w1_smooth", "curves", f"{SMOOTH} --- SELECT * FROM smooth", "smooth")
 def _(v):
-    return op.smooth(v.curves, W)
+    return op.smooth(v.curves, W).drop("seen")
+
+
+@query("w2_masked_difference", "gappy", f"{GAPS} --- SELECT night, source, obs_idx, gd, usable FROM diff", "gd")
+def _(v):
+    return op.difference(op.smooth(v.gappy, 1)).select("night", "source", "obs_idx", "gd", "usable")
+
+
+@query("w4_masked_tags", "gappy", f"{GAP_TAGS} --- SELECT night, source, obs_idx, tag_on, tag_off FROM tags")
+def _(v):
+    d = op.difference(op.smooth(v.gappy, 1))
+    return op.tags(d, op.clip_levels(d)).select("night", "source", "obs_idx", "tag_on", "tag_off")
+
+
+@query("w5_masked_cross_check", "gappy", f"{GAP_CHECK} --- SELECT * FROM checked")
+def _(v):
+    return op.cross_check(v.gappy, W)
+
+
+@query("w6_masked_detect", "gappy", f"{GAP_TAGS}, {GAP_CHECK} --- SELECT night, source, obs_idx, gd, tag_on AND good is_on, tag_off AND good is_off FROM tags JOIN checked USING (night, source, obs_idx)", "gd")
+def _(v):
+    return op.detect(v.gappy, W, sigma=1).select("night", "source", "obs_idx", "gd", "is_on", "is_off")
 
 
 @query("w2_difference", "curves", f"{DIFF} --- SELECT night, source, obs_idx, gd FROM diff", "gd")

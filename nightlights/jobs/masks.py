@@ -54,21 +54,21 @@ def _(v):
 
 @query(
     "a8_bright_sources", "pixels",
-    f"""fr AS (SELECT night || '-' || obs_idx frame, r, c, lum FROM pixels WHERE night = '1996'), lev AS (SELECT frame, median(lum) + 1.2 * stddev_pop(lum) level FROM fr GROUP BY frame),
+    f"""fr AS (SELECT night || '-' || obs_idx frame, r, c, lum FROM pixels), lev AS (SELECT frame, median(lum) + 1.2 * stddev_pop(lum) level FROM fr GROUP BY frame),
     bright AS (SELECT frame, r, c FROM fr JOIN lev USING (frame) WHERE lum > level), {components("bright", "frame")}
     --- SELECT k AS frame, label, count(*) AS size, avg(r) r, avg(c) c FROM labelled GROUP BY k, label HAVING count(*) > 1 AND count(*) < 40""", "r c",
 )
 def _(v):
-    frames = v.pixels.where("night = '1996'").select(F.concat_ws("-", "night", "obs_idx").alias("frame"), "r", "c", "lum")
+    frames = v.pixels.select(F.concat_ws("-", "night", "obs_idx").alias("frame"), "r", "c", "lum")
     return op.bright_sources(frames, 16, 1.2, 1, 40)
 
 
 @query(
     "a9_box_centre", "pixels",
-    "b AS (SELECT * FROM pixels WHERE night = '1997' AND obs_idx = 3 AND r >= 2 AND r < 14 AND c >= 3 AND c < 13) --- SELECT avg(r) r, avg(c) c FROM b WHERE lum > (SELECT 3 * stddev_pop(lum) FROM b)", "r c",
+    "b AS (SELECT * FROM pixels WHERE r >= 2 AND r < 14 AND c >= 3 AND c < 13), l AS (SELECT night, obs_idx, 3 * stddev_pop(lum) level FROM b GROUP BY night, obs_idx) --- SELECT night, obs_idx, avg(r) r, avg(c) c FROM b JOIN l USING (night, obs_idx) WHERE lum > level GROUP BY night, obs_idx", "r c",
 )
 def _(v):
-    return op.box_centre(v.pixels.where("night = '1997' AND obs_idx = 3"), (2, 14), (3, 13), 3)
+    return op.box_centre(v.pixels, (2, 14), (3, 13), 3, ["night", "obs_idx"])
 
 
 @query("a31_mask_box", "pixels", f"{MASK} --- SELECT min(r) r_min, max(r) r_max, min(c) c_min, max(c) c_max FROM mask")
@@ -160,9 +160,9 @@ def _(v):
     return v.pixels.join(v.labels, ["r", "c"]).select("night", "obs_idx", "r", "c", "lum", "label")
 
 
-@query("a1_light_curves", "pixels labels", f"{LIGHT} --- SELECT * FROM light WHERE night = '1995'", "lum")
+@query("a1_light_curves", "pixels labels", f"{LIGHT} --- SELECT night, source, count(*) n, min(lum) least, max(lum) most FROM light GROUP BY night, source", "least most")
 def _(v):
-    return op.light_curves(v.pixels.where("night = '1995'"), v.labels)
+    return op.light_curves(v.pixels, v.labels).groupBy("night", "source").agg(F.count("*").alias("n"), F.min("lum").alias("least"), F.max("lum").alias("most"))
 
 
 @query("a2_all_nights", "pixels labels", f"{LIGHT} --- SELECT * FROM light", "lum")
@@ -181,19 +181,19 @@ def _(v):
 def _grow(right: bool) -> str:
     moves = [(0, 0), (1, 0), (0, 1), (1, 1)]
     values = [f"({p}, {dr}, {dc}, {up}, {across})" for p, (across, up, dr, dc) in enumerate((a, u, r, c) for a in ((0, 1) if right else (0,)) for u in (0, 1) for r, c in moves)]
-    return f"""big AS (SELECT * FROM labels WHERE label % 3 = 0 AND label IN (SELECT label FROM labels GROUP BY label HAVING count(*) > 3)), mv(p, dr, dc, up, ac) AS (VALUES {", ".join(values)}),
+    return f"""big AS (SELECT * FROM labels WHERE label IN (SELECT label FROM labels GROUP BY label HAVING count(*) > 3)), mv(p, dr, dc, up, ac) AS (VALUES {", ".join(values)}),
     t AS (SELECT label, p, r + dr - up r, c + dc - ac c, r + dr mr, c + dc mc FROM big, mv)
     --- SELECT r, c, arg_min(label, p) AS label FROM t WHERE r >= 0 AND r < 16 AND c >= 0 AND c < 16 AND mr < 16 AND mc < 16 GROUP BY r, c"""
 
 
 @query("g1_grow", "labels", _grow(False))
 def _(v):
-    return op.grow_labels(v.labels.where("label % 3 = 0"), 16, 16)
+    return op.grow_labels(v.labels, 16, 16)
 
 
 @query("g1_grow_right", "labels", _grow(True))
 def _(v):
-    return op.grow_labels(v.labels.where("label % 3 = 0"), 16, 16, right=True)
+    return op.grow_labels(v.labels, 16, 16, right=True)
 
 
 @query(

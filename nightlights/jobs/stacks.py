@@ -11,12 +11,14 @@ from nightlights.registry import query
 
 MATCHED = STATES + ", matched AS (SELECT t.scan_id, s.night, s.source, s.obs_idx, s.lit FROM scan_times t JOIN states s ON s.ts > t.ts - INTERVAL 60 MINUTE AND s.ts < t.ts + INTERVAL 60 MINUTE)"
 STACK = "nar AS (SELECT min(n) ncol FROM (SELECT scan_id, max(c) + 1 n FROM scans GROUP BY scan_id)), stack AS (SELECT r, c, channel, sum(value)::BIGINT AS value FROM scans, nar WHERE c < ncol GROUP BY r, c, channel)"
-LIT = "pix AS (SELECT scan_id, night, s.r, s.c, channel, CASE WHEN (scan_id + label) % 3 = 0 THEN value ELSE 0 END AS value FROM scans s LEFT JOIN labels l ON l.r = s.r AND l.c = s.c)"
+#: Half a scan's window, in minutes, in which its sources' states are looked up.
+HALF = 720
+LIT = STATES + f", lit AS (SELECT DISTINCT scan_id, source FROM scan_clock t JOIN states s ON s.ts > t.ts - INTERVAL {HALF} MINUTE AND s.ts < t.ts + INTERVAL {HALF} MINUTE WHERE s.lit), pix AS (SELECT s.scan_id, night, s.r, s.c, channel, CASE WHEN lit.source IS NOT NULL THEN value ELSE 0 END AS value FROM scans s LEFT JOIN labels l ON l.r = s.r AND l.c = s.c LEFT JOIN lit ON lit.scan_id = s.scan_id AND lit.source = l.label)"
 
 
 def lit(v):
-    pairs = v.scans.select("scan_id").distinct().crossJoin(v.labels.select(F.col("label").alias("source")).distinct())
-    return pairs.where("(scan_id + source) % 3 = 0")
+    """Sources lit in each scan's window."""
+    return op.lit_in_window(op.scan_windows(v.scan_clock, lit_states(v.edges), HALF))
 
 
 def clip_sql(source: str, line: str, name: str, k: float, upper: bool, rounds: int = 10) -> str:
@@ -49,13 +51,13 @@ def _(v):
 
 
 @query(
-    "a12_hourly_stacks", "scans",
-    """h AS (SELECT *, scan_id % 100 AS hh FROM scans WHERE scan_id % 100 IN (1, 2, 3)), n AS (SELECT hh, min(n) ncol FROM (SELECT hh, scan_id, max(c) + 1 n FROM h GROUP BY hh, scan_id) GROUP BY hh),
-    a AS (SELECT hh, count(DISTINCT scan_id) n_scans, min(scan_id) first_scan FROM h GROUP BY hh)
-    --- SELECT hh AS hour, r, c, channel, sum(value)::BIGINT AS value, any_value(n_scans) n_scans, any_value(first_scan) first_scan FROM h JOIN n USING (hh) JOIN a USING (hh) WHERE c < ncol GROUP BY hh, r, c, channel""",
+    "a12_hourly_stacks", "scans scan_clock",
+    """h AS (SELECT s.*, ts, hour(ts) hh FROM scans s JOIN scan_clock USING (scan_id) WHERE hour(ts) IN (21, 22, 23, 0, 1, 2, 3, 4)), n AS (SELECT hh, min(n) ncol FROM (SELECT hh, scan_id, max(c) + 1 n FROM h GROUP BY hh, scan_id) GROUP BY hh),
+    a AS (SELECT hh, count(DISTINCT scan_id) n_scans, min(ts) first_ts FROM h GROUP BY hh)
+    --- SELECT hh::INT AS hour, r, c, channel, sum(value)::BIGINT AS value, any_value(n_scans) n_scans, any_value(first_ts)::VARCHAR first_ts FROM h JOIN n USING (hh) JOIN a USING (hh) WHERE c < ncol GROUP BY hh, r, c, channel""",
 )
 def _(v):
-    return op.hourly_stacks(v.scans.withColumn("hour", F.col("scan_id") % 100), [1, 2, 3])
+    return op.hourly_stacks(v.scans.join(v.scan_clock, "scan_id")).withColumn("first_ts", F.col("first_ts").cast("string"))
 
 
 @query(
@@ -66,12 +68,12 @@ def _(v):
     return op.box_stack(v.scans, (2, 10), (4, 12), 7.5, 3)
 
 
-@query("j4_lit_pixels", "scans labels", f"{LIT} --- SELECT * FROM pix")
+@query("j4_lit_pixels", "scans labels edges scan_clock", f"{LIT} --- SELECT * FROM pix")
 def _(v):
     return op.lit_pixels(v.scans, v.labels, lit(v))
 
 
-@query("a14_precision_stack", "scans labels", f"{LIT}, m AS (SELECT scan_id, channel, r, median(value) m FROM pix GROUP BY scan_id, channel, r) --- SELECT night, r, c, channel, sum(value - m) AS value FROM pix JOIN m USING (scan_id, channel, r) GROUP BY night, r, c, channel", "value")
+@query("a14_precision_stack", "scans labels edges scan_clock", f"{LIT}, m AS (SELECT scan_id, channel, r, median(value) m FROM pix GROUP BY scan_id, channel, r) --- SELECT night, r, c, channel, sum(value - m) AS value FROM pix JOIN m USING (scan_id, channel, r) GROUP BY night, r, c, channel", "value")
 def _(v):
     return op.precision_stack(v.scans, v.labels, lit(v))
 

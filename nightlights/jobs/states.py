@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nightlights.functions import times
+from nightlights.functions.stats import level_curve
 from nightlights.operators import states as op
+from nightlights.operators.masks import either
 from nightlights.registry import query
 
 SERIES = "PARTITION BY night, source ORDER BY obs_idx"
@@ -14,7 +16,10 @@ STATES = f"""states AS (SELECT night, obs_idx, ts, source,
   OR coalesce(first_value(CASE WHEN is_on THEN 0 WHEN is_off THEN 1 END IGNORE NULLS) OVER ({SERIES} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) = 1 lit FROM edges)"""
 DURATIONS = STATES + ", durations AS (SELECT night, source, sum(CASE WHEN lit THEN 10.0 ELSE 0.0 END)::DOUBLE duration FROM states GROUP BY night, source)"
 TEST, CONTROL = ("AUTOMOBILE", "BUILDING"), ("FURNITURE", "HOUSEHOLD", "MACHINERY")
-GROUPED = DURATIONS + f", grouped AS (SELECT source, CASE WHEN lamp_class IN {TEST} THEN 'test' WHEN lamp_class IN {CONTROL} THEN 'control' END grp, total FROM (SELECT source, sum(duration) total FROM durations GROUP BY source) JOIN source_class USING (source))"
+#: Sources of a group that are ever lit, their totals of distances from the night's mean in deviations of these.
+STANDARD = "m AS (SELECT night, avg(duration) mean FROM {0} GROUP BY night), apart AS (SELECT night, source, abs(duration - mean) d FROM {0} JOIN m USING (night)), sd AS (SELECT night, stddev_pop(d) sd FROM apart GROUP BY night), totals AS (SELECT source, sum(CASE WHEN sd > 0 THEN d / sd ELSE 0 END) total FROM apart JOIN sd USING (night) GROUP BY source)"
+GROUP = f"CASE WHEN lamp_class IN {TEST} THEN 'test' WHEN lamp_class IN {CONTROL} THEN 'control' END"
+GROUPED = DURATIONS + f", lit AS (SELECT * FROM durations WHERE source IN (SELECT source FROM durations GROUP BY source HAVING sum(duration) > 0) AND source IN (SELECT source FROM source_class WHERE {GROUP} IS NOT NULL)), {STANDARD.format('lit')}, grouped AS (SELECT source, {GROUP} grp, total FROM totals JOIN source_class USING (source))"
 
 
 def durations(v):
@@ -22,13 +27,14 @@ def durations(v):
 
 
 def grouped(v):
-    totals = durations(v).groupBy("source").agg(F.sum("duration").alias("total"))
-    return totals.join(v.source_class, "source").select("source", op.lamp_group(F.col("lamp_class"), TEST, CONTROL).alias("grp"), "total")
+    classes = v.source_class.select("source", op.lamp_group(F.col("lamp_class"), TEST, CONTROL).alias("grp")).where("grp IS NOT NULL")
+    totals = op.standardised_totals(op.ever_lit(durations(v)).join(classes, "source", "left_semi"))
+    return totals.join(classes, "source").select("source", "grp", "total")
 
 
-@query("w7_lit_state", "edges", f"{STATES} --- SELECT night, obs_idx, source, lit FROM states WHERE source = 3")
+@query("w7_lit_state", "edges", f"{STATES} --- SELECT night, source, count(*) n, sum(lit::INT)::BIGINT n_lit, min(CASE WHEN lit THEN obs_idx END) first_lit FROM states GROUP BY night, source")
 def _(v):
-    return op.lit_states(v.edges.where("source = 3")).select("night", "obs_idx", "source", "lit")
+    return op.lit_states(v.edges).groupBy("night", "source").agg(F.count("*").alias("n"), F.sum(F.col("lit").cast("long")).alias("n_lit"), F.min(F.when(F.col("lit"), F.col("obs_idx"))).alias("first_lit"))
 
 
 @query("w8_lit_states", "edges", f"{STATES} --- SELECT night, obs_idx, source, lit FROM states")
@@ -84,9 +90,12 @@ def _(v):
     return op.off_counts(v.edges, 10)
 
 
-@query("a23_histogram", "edges source_class", f"{GROUPED}, e AS (SELECT min(total) lo, max(total) hi FROM grouped) --- SELECT grp, least(floor((total - lo) / ((hi - lo) / 100)), 99)::INT bin, count(*) n FROM grouped, e GROUP BY 1, 2")
+@query(
+    "a23_histogram", "edges source_class",
+    f"{GROUPED}, q AS (SELECT grp, round(total, 9) total FROM grouped), e AS (SELECT grp, min(total) lo, max(total) hi FROM q GROUP BY grp) --- SELECT grp, CASE WHEN hi > lo THEN least(floor((total - lo) / ((hi - lo) / 100)), 99) ELSE 0 END::INT bin, count(*) n FROM q JOIN e USING (grp) GROUP BY 1, 2",
+)
 def _(v):
-    return op.histogram(grouped(v), "total", ["grp"])
+    return op.histogram(grouped(v).withColumn("total", F.round("total", 9)), "total", ["grp"])
 
 
 @query("x1_groups", "edges source_class", f"{GROUPED} --- SELECT * FROM grouped", "total")
@@ -94,15 +103,24 @@ def _(v):
     return grouped(v)
 
 
+#: The statistic's mean is k - 1; its deviation by Scholz and Stephens, sums written as they stand there. A parabola through
+#: the levels' logarithms gives p for two groups.
+_CURVE = " + ".join(f"({c!r}) * power(t, {2 - i})" for i, c in enumerate(level_curve(2).tolist()))
+
+
 @query(
     "x2_anderson_darling", "edges source_class",
-    f"""{GROUPED}, s AS (SELECT grp, count(*) n FROM grouped GROUP BY grp), t AS (SELECT sum(n) AS al, count(*) k, sum(1.0 / n) H FROM s), l AS (SELECT total, count(*) l FROM grouped GROUP BY total),
-    f AS (SELECT total, grp, count(*) f FROM grouped GROUP BY total, grp),
-    c AS (SELECT grp, n, l, sum(coalesce(f, 0)) OVER w - coalesce(f, 0) / 2 M, sum(l) OVER w - l / 2 B FROM l CROSS JOIN s LEFT JOIN f USING (total, grp) WINDOW w AS (PARTITION BY grp ORDER BY total))
-    --- SELECT sum(l / al * (al * M - B * n) ** 2 / (B * (al - B) - al * l / 4) / n) * (any_value(al) - 1) / any_value(al) a2, any_value(al)::BIGINT n, any_value(k) k, any_value(H) "H" FROM c, t""", "a2 H",
+    f"""{GROUPED}, v AS (SELECT grp, round(total, 9) total FROM grouped), s AS (SELECT grp, count(*) n FROM v GROUP BY grp), t AS (SELECT sum(n) AS al, count(*) k, sum(1.0 / n) H FROM s), l AS (SELECT total, count(*) l FROM v GROUP BY total),
+    f AS (SELECT total, grp, count(*) f FROM v GROUP BY total, grp),
+    c AS (SELECT grp, n, l, sum(coalesce(f, 0)) OVER w - coalesce(f, 0) / 2 M, sum(l) OVER w - l / 2 B FROM l CROSS JOIN s LEFT JOIN f USING (total, grp) WINDOW w AS (PARTITION BY grp ORDER BY total)),
+    a AS (SELECT sum(l / al * (al * M - B * n) ** 2 / (B * (al - B) - al * l / 4) / n) * (any_value(al) - 1) / any_value(al) a2, any_value(al)::BIGINT n, any_value(k) k, any_value(H)::DOUBLE "H" FROM c, t),
+    hg AS (SELECT (SELECT sum(1.0 / i) FROM range(1, n) r(i)) u, (SELECT sum(1.0 / ((n - i) * j)) FROM range(1, n - 1) r(i), range(2, n) q(j) WHERE j > i) g FROM a),
+    w AS (SELECT a2, n, k, a."H", (4 * g - 6) * (k - 1) + (10 - 6 * g) * a."H" c3, (2 * g - 4) * k * k + 8 * u * k + (2 * g - 14 * u - 4) * a."H" - 8 * u + 4 * g - 6 c2, (6 * u + 2 * g - 2) * k * k + (4 * u - 4 * g + 6) * k + (2 * u - 6) * a."H" + 4 * u c1, (2 * u + 6) * k * k - 4 * u * k c0 FROM a, hg),
+    z AS (SELECT a2, n, k, "H", (a2 - (k - 1)) / sqrt((c3 * n ** 3 + c2 * n ** 2 + c1 * n + c0) / ((n - 1) * (n - 2) * (n - 3))) t FROM w)
+    --- SELECT a2, n, k, "H", t AS statistic, least(0.25, greatest(0.001, exp({_CURVE}))) p FROM z""", "a2 H statistic p",
 )
 def _(v):
-    return op.anderson_darling(grouped(v))
+    return op.anderson_darling(grouped(v).withColumn("total", F.round("total", 9)))
 
 
 @query(
@@ -131,26 +149,25 @@ def _(v):
     return op.relative_brightness(v.curves)
 
 
-@query("w11_rank_by_duration", "edges", f"{DURATIONS} --- SELECT source, row_number() OVER (ORDER BY duration DESC, source)::INT AS rank FROM durations WHERE night = '2024-01-02'")
+@query("w11_rank_by_duration", "edges", f"{DURATIONS} --- SELECT night, source, row_number() OVER (PARTITION BY night ORDER BY duration DESC, source)::INT AS rank FROM durations")
 def _(v):
-    return op.rank_sources(durations(v).where("night = '2024-01-02'"), F.col("duration"))
+    return op.rank_sources(durations(v), F.col("duration"))
 
 
-@query(
-    "w12_standardised_totals", "edges",
-    f"{DURATIONS}, m AS (SELECT night, avg(duration) mean, stddev_pop(duration) sd FROM durations GROUP BY night) --- SELECT source, sum(CASE WHEN sd > 0 THEN (duration - mean) / sd ELSE 0 END) total FROM durations JOIN m USING (night) GROUP BY source", "total",
-)
+@query("w12_standardised_totals", "edges", f"{DURATIONS}, {STANDARD.format('durations')} --- SELECT source, total FROM totals", "total")
 def _(v):
     return op.standardised_totals(durations(v))
 
 
 @query(
     "a26_regression", "edges source_class",
-    "l AS (SELECT source, avg(nullif(m, 0)) y FROM (SELECT night, source, max(CASE WHEN is_off THEN obs_idx END) m FROM edges GROUP BY night, source) GROUP BY source) --- SELECT regr_slope(y, score) slope, regr_intercept(y, score) intercept, corr(y, score) r FROM l JOIN source_class USING (source)", "slope intercept r",
+    """l AS (SELECT source, avg(nullif(m, 0)) y FROM (SELECT night, source, max(CASE WHEN is_off THEN obs_idx END) m FROM edges GROUP BY night, source) GROUP BY source),
+    f AS (SELECT count(*)::INT n, regr_slope(y, score) slope, regr_intercept(y, score) intercept, corr(y, score) r FROM l JOIN source_class USING (source) WHERE y IS NOT NULL),
+    q AS (SELECT *, atan(abs(r) / sqrt(1 - r * r)) theta FROM f)
+    --- SELECT n, slope, intercept, r, 1 - sin(theta) * (SELECT sum(exp(lgamma(2 * j + 1.0) - 2 * lgamma(j + 1.0)) / power(4, j) * power(cos(theta), 2 * j)) FROM range(0, (n - 2) // 2) s(j)) p FROM q""", "slope intercept r p",
 )
 def _(v):
-    both = op.mean_last_off_index(v.edges).join(v.source_class, "source")
-    return both.agg(F.regr_slope("mean_last", "score").alias("slope"), F.regr_intercept("mean_last", "score").alias("intercept"), F.corr("mean_last", "score").alias("r"))
+    return op.off_regression(op.mean_last_off_index(v.edges), v.source_class)
 
 
 @query("j11_attributes", "edges source_class", f"{DURATIONS} --- SELECT night, source, duration, lamp_class, score FROM durations JOIN source_class USING (source)", "duration score")
@@ -181,17 +198,34 @@ def _(v):
     return v.edges.select("night", "source", "obs_idx", op.event_value(F.col("is_on"), F.col("is_off")).alias("event"))
 
 
-@query("f5_capture_times", "curves", "SELECT night, obs_idx, ts FROM curves WHERE source = 2 AND obs_idx >= 2 AND obs_idx < 50 AND (obs_idx - 2) % 3 = 0")
+@query("f2_date_ranges", "curves", "SELECT night, unnest(range(night::DATE, night::DATE + INTERVAL 3 DAY, INTERVAL 1 DAY))::DATE::VARCHAR date FROM (SELECT DISTINCT night FROM curves)")
+def _(v):
+    nights = v.curves.select("night").distinct()
+    place = F.datediff(F.to_date("night"), F.lit(times.FIRST_NIGHT))
+    return nights.select("night", F.explode(times.night_dates(place, place + 2)).alias("date")).withColumn("date", F.col("date").cast("string"))
+
+
+@query(
+    "f5_capture_times", "curves",
+    "SELECT night, source, obs_idx, ts FROM curves WHERE obs_idx >= 2 AND obs_idx < 50 AND (obs_idx - 2) % 3 = 0",
+)
 def _(v):
     from nightlights.sources.frames import slice_frames
 
-    return slice_frames(v.curves.where("source = 2").select("night", "ts"), "ts", 2, 50, 3).select("night", "obs_idx", "ts")
+    return slice_frames(v.curves.select("night", "source", "ts"), "ts", 2, 50, 3, by=["night", "source"]).select("night", "source", "obs_idx", "ts")
+
+
+@query("u1_union", "edges source_class", f"{DURATIONS} --- SELECT night, source, duration FROM durations JOIN source_class USING (source)", "duration")
+def _(v):
+    d = durations(v).join(v.source_class, "source")
+    parts = [d.where(op.lamp_group(F.col("lamp_class"), TEST, CONTROL) == g).select("night", "source", "duration") for g in ("test", "control")]
+    return parts[0].unionByName(parts[1])
 
 
-@query("u1_union", "edges source_class", f"{DURATIONS} --- SELECT night, source, duration FROM durations WHERE source < 3 UNION ALL SELECT night, source, duration FROM durations WHERE source > 4", "duration")
+@query("u1_or_of_masks", "pixels", "SELECT r, c FROM pixels GROUP BY night, r, c HAVING max(lum) > 40 UNION SELECT r, c FROM pixels GROUP BY night, r, c HAVING min(lum) < 5")
 def _(v):
-    d = durations(v)
-    return d.where("source < 3").unionByName(d.where("source > 4"))
+    nightly = v.pixels.groupBy("night", "r", "c").agg(F.max("lum").alias("most"), F.min("lum").alias("least"))
+    return either(nightly.where("most > 40"), nightly.where("least < 5"))
 
 
 @query("s4_clipped_curves", "curves source_class", "SELECT night, obs_idx, source, lum FROM curves WHERE source IN (SELECT source FROM source_class WHERE score >= 0.35)", "lum")

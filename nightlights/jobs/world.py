@@ -70,6 +70,28 @@ def _(v):
     return op.tiles_inside(op.tile_bounds(v.points), 0.9, 104.98, 1, 50.5).select("tile")
 
 
+#: A triangle; it and a box are convex, so they are apart only if they are along a side's normal of one of them.
+RING = [(0.0, 25.0), (120.0, 30.0), (60.0, 48.0)]
+AXES = [(1.0, 0.0), (0.0, 1.0)] + [(q[1] - p[1], p[0] - q[0]) for p, q in zip(RING, RING[1:] + RING[:1], strict=True)]
+
+
+def small_tiles(v):
+    """Boxes of the points by parts of tiles."""
+    part = F.concat_ws("-", "tile", F.floor(F.col("x") / 20).cast("int"), F.floor(F.col("y") / 10).cast("int"))
+    return op.tile_bounds(v.points.withColumn("tile", part))
+
+
+@query(
+    "j5_tiles_on_boundary", "points",
+    f"""box AS (SELECT tile || '-' || floor(x / 20)::INT || '-' || floor(y / 10)::INT tile, min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM points GROUP BY 1), axis(nx, ny) AS (VALUES {", ".join(map(str, AXES))}),
+    side AS (SELECT nx, ny, min(nx * x + ny * y) lo, max(nx * x + ny * y) hi FROM axis, (VALUES {", ".join(map(str, RING))}) v(x, y) GROUP BY nx, ny),
+    apart AS (SELECT DISTINCT tile FROM box, side WHERE greatest(nx * x0, nx * x1) + greatest(ny * y0, ny * y1) < lo OR least(nx * x0, nx * x1) + least(ny * y0, ny * y1) > hi)
+    --- SELECT tile FROM box WHERE tile NOT IN (SELECT tile FROM apart)""",
+)
+def _(v):
+    return op.tiles_on_boundary(small_tiles(v), RING).select("tile")
+
+
 @query("j6_lots_of_places", "points places lots", "SELECT p.x, p.y, coalesce(max(bbl), 0) bbl FROM places p LEFT JOIN lots l ON abs(p.x - l.x) + abs(p.y - l.y) < 3 GROUP BY p.x, p.y", "x y")
 def _(v):
     return op.lots_of_places(v.places, lots(v), 6)
@@ -172,9 +194,9 @@ def _(v):
     return op.lisa(luminosity(v), reach=3)
 
 
-@query("l1_halo_lisa", "scans", f"{STACK}, grid AS (SELECT channel k, r, c, value v FROM stack), {lisa_sql('grid', 'l')} --- SELECT k AS channel, r, c, lisa FROM l", "lisa")
+@query("l1_channel_lisa", "scans", f"{STACK}, grid AS (SELECT channel k, r, c, value v FROM stack), {lisa_sql('grid', 'l')} --- SELECT k AS channel, r, c, lisa FROM l", "lisa")
 def _(v):
-    return op.halo_lisa(stacks.stack(v.scans), ["channel"], "value", 3, 6)
+    return op.lisa(stacks.stack(v.scans), ["channel"], "value", 3, tile=6)
 
 
 @query("l2_significance", "scans", f"{GRID}, {lisa_sql('grid', 'l')}, {shuffle_sql('grid', 'pg', '0')}, {lisa_sql('pg', 'lp')}, {SIGN} --- SELECT r, c, lisa, zscore, significant FROM sig", "lisa zscore")

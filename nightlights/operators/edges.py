@@ -18,14 +18,15 @@ def _by():
 
 
 def smooth(curves: DataFrame, sigma: float = 30) -> DataFrame:
-    """night, source, obs_idx and smooth: the mask-normalised Gaussian along time, null samples left out by the mask."""
+    """night, source, obs_idx, smooth and seen: the mask-normalised Gaussian along time. A sample is seen if none is null within
+    the kernel's reach; others are left out."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("obs_idx")
-        sm, _ = _smooth(pdf["lum"].to_numpy(float), sigma)
-        return pd.DataFrame({"night": pdf["night"], "source": pdf["source"], "obs_idx": pdf["obs_idx"], "smooth": sm})
+        sm, seen = _smooth(pdf["lum"].to_numpy(float), sigma)
+        return pd.DataFrame({"night": pdf["night"], "source": pdf["source"], "obs_idx": pdf["obs_idx"], "smooth": sm, "seen": seen})
 
-    return curves.select(*SERIES, "obs_idx", "lum").groupBy(*SERIES).applyInPandas(run, "night string, source int, obs_idx int, smooth double")
+    return curves.select(*SERIES, "obs_idx", "lum").groupBy(*SERIES).applyInPandas(run, "night string, source int, obs_idx int, smooth double, seen boolean")
 
 
 def _smooth(x: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
@@ -35,32 +36,36 @@ def _smooth(x: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def difference(smoothed: DataFrame) -> DataFrame:
-    """smoothed and gd: the next smoothed sample less the one before, 0 at both ends."""
-    return smoothed.withColumn("gd", F.coalesce(F.lead("smooth").over(_by()) - F.lag("smooth").over(_by()), F.lit(0.0)))
+    """smoothed, gd, the next smoothed sample less the one before, and usable: both of these are seen. At both ends gd is 0 and usable."""
+    gd = F.coalesce(F.lead("smooth").over(_by()) - F.lag("smooth").over(_by()), F.lit(0.0))
+    before, after = F.lag("seen").over(_by()), F.lead("seen").over(_by())
+    return smoothed.withColumns({"gd": gd, "usable": before.isNull() | after.isNull() | (before & after)})
 
 
 def clip_levels(differences: DataFrame, k: float = 2.0, rounds: int = 10) -> DataFrame:
-    """(night, source, mean, sd) of gd after iterative clipping."""
+    """(night, source, mean, sd) of usable gd after iterative clipping."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean, sd = clip_stats(pdf.sort_values("obs_idx")["gd"].to_numpy(), k, rounds)
+        pdf = pdf.sort_values("obs_idx")
+        mean, sd = clip_stats(pdf["gd"].to_numpy(), k, rounds, pdf["usable"].to_numpy(bool))
         return pd.DataFrame({"night": [pdf["night"].iat[0]], "source": [pdf["source"].iat[0]], "mean": [mean], "sd": [sd]})
 
-    return differences.select(*SERIES, "obs_idx", "gd").groupBy(*SERIES).applyInPandas(run, "night string, source int, mean double, sd double")
+    return differences.select(*SERIES, "obs_idx", "gd", "usable").groupBy(*SERIES).applyInPandas(run, "night string, source int, mean double, sd double")
 
 
 def tags(differences: DataFrame, levels: DataFrame, s: float = 0.0) -> DataFrame:
-    """differences with tag_on and tag_off: strict local extremes of gd beyond s deviations from its clipped mean."""
+    """differences with tag_on and tag_off: usable strict local extremes of gd beyond s deviations from its clipped mean."""
     before, after = F.lag("gd").over(_by()), F.lead("gd").over(_by())
     d = F.col("gd") - F.col("mean")
-    on = (d > s * F.col("sd")) & (F.col("gd") > before) & (F.col("gd") > after)
-    off = (d < -s * F.col("sd")) & (F.col("gd") < before) & (F.col("gd") < after)
+    on = F.col("usable") & (d > s * F.col("sd")) & (F.col("gd") > before) & (F.col("gd") > after)
+    off = F.col("usable") & (d < -s * F.col("sd")) & (F.col("gd") < before) & (F.col("gd") < after)
     return differences.join(levels, SERIES).select(*SERIES, "obs_idx", "gd", F.coalesce(on, F.lit(False)).alias("tag_on"), F.coalesce(off, F.lit(False)).alias("tag_off"))
 
 
 def cross_check(curves: DataFrame, w: int = 30, k: float = 2.0) -> DataFrame:
     """night, source, obs_idx and good: the means of the w samples before and from here on differ by more than k times the
-    larger of their deviations. Series are mirrored at both ends; every sample is repeated at the places it mirrors to."""
+    larger of their deviations. Series are mirrored at both ends; every sample is repeated at the places it mirrors to. False
+    where a sample is null among these."""
     n = F.count("*").over(Window.partitionBy(*SERIES))
     at = F.col("obs_idx")
     turns = F.ceil(F.lit(float(w)) / (2 * F.col("n"))).cast("int")
@@ -71,7 +76,8 @@ def cross_check(curves: DataFrame, w: int = 30, k: float = 2.0) -> DataFrame:
     left, right = by.rowsBetween(-w, -1), by.rowsBetween(0, w - 1)
     gap = F.abs(F.avg("lum").over(right) - F.avg("lum").over(left))
     most = F.greatest(F.stddev_pop("lum").over(left), F.stddev_pop("lum").over(right))
-    checked = wide.select(*SERIES, "n", "at", (gap > k * most).alias("good"))
+    whole = (F.count("lum").over(left) == w) & (F.count("lum").over(right) == w)
+    checked = wide.select(*SERIES, "n", "at", (whole & (gap > k * most)).alias("good"))
     return checked.where((F.col("at") >= 0) & (F.col("at") < F.col("n"))).select(*SERIES, F.col("at").alias("obs_idx"), F.coalesce("good", F.lit(False)).alias("good"))
 
 
@@ -86,9 +92,9 @@ def detect(curves: DataFrame, w: int = 30, s: float = 0.0, clip: float = 2.0, k:
         pdf = pdf.sort_values("obs_idx")
         x = pdf["lum"].to_numpy(float)
         sm, seen = _smooth(x, width)
-        gd, usable = np.zeros(len(x)), np.zeros(len(x), bool)
+        gd, usable = np.zeros(len(x)), np.ones(len(x), bool)
         gd[1:-1], usable[1:-1] = sm[2:] - sm[:-2], seen[2:] & seen[:-2]
-        mean, sd = clip_stats(gd, clip)
+        mean, sd = clip_stats(gd, clip, usable=usable)
         on, off = np.zeros(len(x), bool), np.zeros(len(x), bool)
         mid, up, down = gd[1:-1], gd[2:], gd[:-2]
         on[1:-1] = (mid - mean > s * sd) & (mid > up) & (mid > down)

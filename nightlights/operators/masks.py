@@ -11,13 +11,27 @@ from nightlights.operators.components import connected_components
 def neighbours(pixels: DataFrame, keys: list[str], value: str = "lum") -> DataFrame:
     """keys, r, c, side ('right' or 'down'), x and y: each pixel's value with its right and its lower neighbour's.
 
-    Each pixel is sent to the two pairs that it ends besides its own two, so one shuffle pairs all without a self-join.
+    keys name a frame or an image, all of which is in one task: a shuffle, or none if pixels come dealt by keys, makes
+    its rows arrays, and each array meets itself, shifted, and the next.
     """
+    cell = F.struct(F.col("c").alias("c"), F.col(value).alias("v"))
+    rows = pixels.where(F.col(value).isNotNull()).repartition(*keys).groupBy(*keys, "r").agg(F.array_sort(F.collect_list(cell)).alias("row"))
+    by = Window.partitionBy(*keys).orderBy("r")
+    rows = rows.withColumn("low", F.when(F.lead("r").over(by) == F.col("r") + 1, F.lead("row").over(by)))
+    right = F.transform(F.sequence(F.lit(1), F.size("row")), lambda i: F.struct(F.lit("right").alias("side"), F.element_at("row", i)["c"].alias("c"), F.element_at("row", i)["v"].alias("x"), F.when(F.try_element_at("row", i + 1)["c"] == F.element_at("row", i)["c"] + 1, F.try_element_at("row", i + 1)["v"]).alias("y")))
+    below = F.map_from_entries(F.coalesce("low", F.slice("row", 1, 0)))
+    down = F.transform("row", lambda p: F.struct(F.lit("down").alias("side"), p["c"].alias("c"), p["v"].alias("x"), F.try_element_at(below, p["c"]).alias("y")))
+    pairs = rows.select(*keys, "r", F.explode(F.concat(right, down)).alias("p")).where("p.y IS NOT NULL")
+    return pairs.select(*keys, "p.side", "r", "p.c", "p.x", "p.y")
+
+
+def adjacent(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b): ids of neighbouring cells (keys, r, c, id) of a mask. Each is sent to the pairs that it begins and ends."""
     side = lambda name, dr, dc, first: F.struct(F.lit(name).alias("side"), (F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), F.lit(first).alias("first"))
     ends = F.array(side("right", 0, 0, True), side("right", 0, 1, False), side("down", 0, 0, True), side("down", 1, 0, False))
-    rows = pixels.select(*keys, F.col(value).alias("v"), F.explode(ends).alias("e")).select(*keys, "e.side", "e.r", "e.c", "e.first", "v")
-    both = rows.groupBy(*keys, "side", "r", "c").agg(F.max(F.when(F.col("first"), F.col("v"))).alias("x"), F.max(F.when(~F.col("first"), F.col("v"))).alias("y"))
-    return both.where("x IS NOT NULL AND y IS NOT NULL")
+    rows = cells.select(*keys, "id", F.explode(ends).alias("e")).select(*keys, "e.side", "e.r", "e.c", "e.first", "id")
+    both = rows.groupBy(*keys, "side", "r", "c").agg(F.max(F.when(F.col("first"), F.col("id"))).alias("a"), F.max(F.when(~F.col("first"), F.col("id"))).alias("b"))
+    return both.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
 
 
 def neighbour_correlation(pixels: DataFrame) -> DataFrame:
@@ -41,12 +55,19 @@ def source_mask(correlation: DataFrame, thresh: float = 0.5) -> DataFrame:
     return correlation.where(F.col("corr") > thresh).select(F.explode(F.array(F.struct("r", "c"), other)).alias("p")).select("p.r", "p.c").distinct()
 
 
+def either(*masks: DataFrame) -> DataFrame:
+    """(r, c) that any of the masks has."""
+    out = masks[0].select("r", "c")
+    for m in masks[1:]:
+        out = out.union(m.select("r", "c"))
+    return out.distinct()
+
+
 def label_components(mask: DataFrame, ncol: int, keys: list[str] | None = None) -> DataFrame:
     """keys, r, c, label of the mask's 4-connected components, numbered within keys by their first pixel in row order."""
     keys = keys or []
     cells = mask.select(*keys, "r", "c", F.struct(*keys, (F.col("r").cast("long") * ncol + F.col("c")).alias("cell")).alias("id"))
-    pairs = neighbours(cells.withColumnRenamed("id", "lum"), keys).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = connected_components(pairs.union(cells.select(F.col("id").alias("a"), F.col("id").alias("b"))))
+    found = connected_components(adjacent(cells, keys).union(cells.select(F.col("id").alias("a"), F.col("id").alias("b"))))
     rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("component.cell")) if keys else F.dense_rank().over(Window.orderBy("component.cell"))
     first = found.select("component").distinct().select("component", *[F.col(f"component.{k}").alias(k) for k in keys]).select("component", rank.cast("int").alias("label"))
     return cells.join(found, cells["id"] == found["node"]).join(first, "component").select(*keys, "r", "c", "label")
@@ -64,10 +85,10 @@ def bright_sources(frames: DataFrame, ncol: int, k: float = 5.0, least: int = 25
     return labels.groupBy("frame", "label").agg(F.count("*").alias("size"), F.avg("r").alias("r"), F.avg("c").alias("c")).where((F.col("size") > least) & (F.col("size") < most))
 
 
-def box_centre(pixels: DataFrame, rows: tuple[int, int], cols: tuple[int, int], sig: float) -> DataFrame:
-    """(r, c): mean place of the box's pixels over sig times the box's deviation."""
+def box_centre(pixels: DataFrame, rows: tuple[int, int], cols: tuple[int, int], sig: float, by: list[str]) -> DataFrame:
+    """by, r, c: mean place of the box's pixels over sig times the box's deviation, for each frame (by)."""
     box = crop(pixels, rows, cols)
-    return box.crossJoin(box.agg((sig * F.stddev_pop("lum")).alias("level"))).where("lum > level").agg(F.avg("r").alias("r"), F.avg("c").alias("c"))
+    return box.join(box.groupBy(*by).agg((sig * F.stddev_pop("lum")).alias("level")), by).where("lum > level").groupBy(*by).agg(F.avg("r").alias("r"), F.avg("c").alias("c"))
 
 
 def crop(df: DataFrame, rows: tuple[int, int] = (900, 1200), cols: tuple[int, int] = (1400, 2200)) -> DataFrame:

@@ -51,11 +51,11 @@ def mean_stack(scans: DataFrame) -> DataFrame:
     return stack(scans).crossJoin(n).select("r", "c", "channel", F.floor(F.col("value") / F.col("n")).alias("value"))
 
 
-def hourly_stacks(scans: DataFrame, hours: list[int]) -> DataFrame:
-    """stack for each of the hours, each cut to its narrowest scan, with the hour's number of scans and first scan."""
-    chosen = scans.where(F.col("hour").isin(*hours))
-    about = chosen.groupBy("hour").agg(F.countDistinct("scan_id").alias("n_scans"), F.min("scan_id").alias("first_scan")).join(narrowest(chosen, ["hour"]), "hour")
-    return chosen.join(about, "hour").where("c < ncol").groupBy("hour", "r", "c", "channel").agg(F.sum("value").alias("value"), F.first("n_scans").alias("n_scans"), F.first("first_scan").alias("first_scan"))
+def hourly_stacks(scans: DataFrame, hours: tuple[int, ...] = (21, 22, 23, 0, 1, 2, 3, 4)) -> DataFrame:
+    """stack of scans (with ts) for each of the hours, each cut to its narrowest scan, with the hour's number of scans and first ts."""
+    chosen = scans.withColumn("hour", F.hour("ts")).where(F.col("hour").isin(*hours))
+    about = chosen.groupBy("hour").agg(F.countDistinct("scan_id").alias("n_scans"), F.min("ts").alias("first_ts")).join(narrowest(chosen, ["hour"]), "hour")
+    return chosen.join(about, "hour").where("c < ncol").groupBy("hour", "r", "c", "channel").agg(F.sum("value").alias("value"), F.first("n_scans").alias("n_scans"), F.first("first_ts").alias("first_ts"))
 
 
 def box_stack(scans: DataFrame, rows: tuple[int, int], cols: tuple[int, int], scale: float, step: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nightlights.functions.stats import anderson_normal, student_p
+
 SERIES = ["night", "source"]
 
 
@@ -72,10 +74,11 @@ def off_counts(edges: DataFrame, width: int = 180) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, by: list[str], bins: int = 100) -> DataFrame:
-    """Counts of value in equal bins from its least to its most over all rows; the last bin is closed. One width serves all groups."""
-    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    """Counts of value in equal bins from the group's least to its most; the last bin is closed."""
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in by]
+    ends = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
-    return df.crossJoin(ends).groupBy(*by, F.when(width == 0, 0).otherwise(F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1))).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return df.withColumns({f"_{c}": k for c, k in zip(by, keys, strict=True)}).join(ends, [f"_{c}" for c in by]).groupBy(*by, F.when(width == 0, 0).otherwise(F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1))).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def quiet_nights(durations: DataFrame, k: float = 2.0, share: float = 0.05) -> DataFrame:
@@ -103,17 +106,37 @@ def relative_brightness(curves: DataFrame) -> DataFrame:
     return curves.select(*SERIES, "obs_idx", (F.col("lum") / F.max("lum").over(Window.partitionBy(*SERIES))).alias("share"))
 
 
-def rank_sources(df: DataFrame, value: Column) -> DataFrame:
-    """source and rank, by value descending, then by source."""
-    return df.select("source", F.row_number().over(Window.orderBy(value.desc(), "source")).alias("rank"))
+def rank_sources(df: DataFrame, value: Column, by: str = "night") -> DataFrame:
+    """by, source and rank within by, by value descending, then by source."""
+    return df.select(by, "source", F.row_number().over(Window.partitionBy(by).orderBy(value.desc(), "source")).alias("rank"))
+
+
+#: Orders by colour: what each ranks by, descending.
+COLOUR_RANKS = {"red": "red", "green": "green", "blue": "blue", "r-b": "red - blue", "b-r": "blue - red", "b-g": "blue - green", "r-g": "red - green"}
+
+
+def rank_by_colour(fractions: DataFrame) -> DataFrame:
+    """(by, source, rank) for each order of COLOUR_RANKS of sources with colour fractions (source, red, green, blue)."""
+    long = fractions.select("source", F.explode(F.create_map(*[x for k, e in COLOUR_RANKS.items() for x in (F.lit(k), F.round(F.expr(e), 9))])).alias("by", "value"))
+    return rank_sources(long, F.col("value"), "by")
+
+
+def off_regression(last: DataFrame, colours: DataFrame, y: str = "mean_last", x: str = "score") -> DataFrame:
+    """(n, slope, intercept, r, p) of y over x by source; p is two-sided, of the slope's t statistic with n - 2 degrees of freedom."""
+    both = last.join(colours, "source").where(F.col(y).isNotNull() & F.col(x).isNotNull())
+    fit = both.agg(F.count("*").cast("int").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"))
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") ** 2))
+    return fit.withColumn("p", F.when(F.abs("r") < 1, student_p(t, F.col("n") - 2)).when(F.abs("r") >= 1, 0.0))
 
 
 def standardised_totals(durations: DataFrame) -> DataFrame:
-    """Each source's sum over the nights of its duration in deviations from the night's mean. Aggregates are joined back:
-    a night is one large group, which a window would keep in one task."""
-    night = durations.groupBy("night").agg(F.avg("duration").alias("mean"), F.stddev_pop("duration").alias("sd"))
-    z = F.when(F.col("sd") > 0, (F.col("duration") - F.col("mean")) / F.col("sd")).otherwise(0.0)
-    return durations.join(night, "night").groupBy("source").agg(F.sum(z).alias("total"))
+    """Each source's sum over the nights of its duration's distance from the night's mean, in deviations (population) of these
+    distances over the night; 0 on a night without spread. Aggregates are joined back: a night is one large group, which a
+    window would keep in one task."""
+    mean = durations.groupBy("night").agg(F.avg("duration").alias("mean"))
+    apart = durations.join(mean, "night").select("night", "source", F.abs(F.col("duration") - F.col("mean")).alias("d"))
+    spread = apart.groupBy("night").agg(F.stddev_pop("d").alias("sd"))
+    return apart.join(spread, "night").groupBy("source").agg(F.sum(F.when(F.col("sd") > 0, F.col("d") / F.col("sd")).otherwise(0.0)).alias("total"))
 
 
 #: Efficient lamps against conventional ones; the fixture's market segments stand for lamp classes.
@@ -125,9 +148,11 @@ def lamp_group(lamp_class: Column, test=TEST, control=CONTROL) -> Column:
 
 
 def anderson_darling(df: DataFrame, value: str = "total", group: str = "grp") -> DataFrame:
-    """The k-sample statistic with midranks, A2 and its normalised form, for the groups of df; null groups are left out.
+    """One row (a2, n, k, H, statistic, p): the k-sample statistic with midranks over the groups of df, its normalised form and
+    the latter's p, held to 0.001 .. 0.25. Null groups and values are left out.
 
-    Counts per distinct value are cumulated by a window over distinct values, and one row of sums comes out.
+    Counts per distinct value are cumulated by a window over distinct values of one group; they are totals of sources, not
+    samples of series. One row of sums comes out, which alone is normalised in Python.
     """
     rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
@@ -139,4 +164,5 @@ def anderson_darling(df: DataFrame, value: str = "total", group: str = "grp") ->
     cum = grid.withColumns({"M": F.sum("f").over(order) - F.col("f") / 2, "B": F.sum("l").over(order) - F.col("l") / 2}).crossJoin(total)
     inner = F.col("l") / F.col("all") * (F.col("all") * F.col("M") - F.col("B") * F.col("n")) ** 2 / (F.col("B") * (F.col("all") - F.col("B")) - F.col("all") * F.col("l") / 4)
     a2 = cum.groupBy(group).agg((F.sum(inner) / F.first("n")).alias("part")).agg(F.sum("part").alias("s")).crossJoin(total)
-    return a2.select((F.col("s") * (F.col("all") - 1) / F.col("all")).alias("a2"), F.col("all").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "H")
+    row = a2.select((F.col("s") * (F.col("all") - 1) / F.col("all")).alias("a2"), F.col("all").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "H")
+    return row.mapInPandas(anderson_normal, "a2 double, n long, k long, H double, statistic double, p double")

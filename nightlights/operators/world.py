@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightlights.functions.camera import Camera, at_distance
+from nightlights.operators.ranks import numbered
 from nightlights.runtime import materialize
 
 
@@ -112,28 +113,19 @@ def line_of_sight(pixels: DataFrame, raster: DataFrame, camera: Camera, nrow: in
     return pixels.select("r", "c").join(found, ["r", "c"], "left").fillna(0.0, ["x", "y", "dist"])
 
 
-def lisa(grid: DataFrame, keys: list[str] | None = None, value: str = "v", reach: int = 5) -> DataFrame:
+def lisa(grid: DataFrame, keys: list[str] | None = None, value: str = "v", reach: int = 5, tile: int = 256) -> DataFrame:
     """keys, r, c, lisa: Moran's local index with weights that fall off with distance inside reach, cut at the edges.
 
-    Every pixel is sent to those it is a neighbour of, with its weight; grids too large for that go by halo_lisa.
+    Square tiles with a margin of reach - 1 are shifted against themselves in NumPy: one shuffle in all, in which only
+    pixels near a tile's border go out more than once.
     """
     keys = keys or []
     stats = grid.groupBy(*keys).agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
     z = (grid.join(stats, keys) if keys else grid.crossJoin(stats)).select(*keys, "r", "c", (F.col(value) - F.col("_m")).alias("z"), "_v")
-    offsets = [(i, j, (1 - (i * i + j * j) / (2 * reach * reach)) ** 2) for i in range(1 - reach, reach) for j in range(1 - reach, reach) if i or j]
-    sent = F.explode(F.array(*[F.struct((F.col("r") - i).alias("r"), (F.col("c") - j).alias("c"), (F.col("z") * w).alias("wz")) for i, j, w in offsets]))
-    around = z.select(*keys, sent.alias("s")).select(*keys, "s.r", "s.c", "s.wz").groupBy(*keys, "r", "c").agg(F.sum("wz").alias("s"))
-    return z.join(around, [*keys, "r", "c"], "left").select(*keys, "r", "c", (F.col("z") / F.col("_v") * F.coalesce("s", F.lit(0.0))).alias("lisa"))
-
-
-def halo_lisa(grid: DataFrame, keys: list[str], value: str = "v", reach: int = 5, tile: int = 256) -> DataFrame:
-    """lisa by square tiles with a margin of reach - 1: each tile is shifted against itself in NumPy, one shuffle in all."""
-    stats = grid.groupBy(*keys).agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
-    z = grid.join(stats, keys).select(*keys, "r", "c", (F.col(value) - F.col("_m")).alias("z"), "_v")
     m = reach - 1
     spread = lambda c: F.sequence(F.floor((F.col(c) - m) / tile), F.floor((F.col(c) + m) / tile))
     dealt = z.withColumn("_tr", F.explode(spread("r"))).withColumn("_tc", F.explode(spread("c")))
-    kinds = ", ".join(f"{k} {z.schema[k].dataType.simpleString()}" for k in keys)
+    kinds = "".join(f"{k} {z.schema[k].dataType.simpleString()}, " for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = int(pdf["_tr"].iat[0]) * tile - m, int(pdf["_tc"].iat[0]) * tile - m
@@ -147,17 +139,17 @@ def halo_lisa(grid: DataFrame, keys: list[str], value: str = "v", reach: int = 5
         own = pdf[(pdf["r"] // tile == pdf["_tr"]) & (pdf["c"] // tile == pdf["_tc"])]
         return own[[*keys, "r", "c"]].assign(lisa=own["z"] / own["_v"] * total[own["r"] - r0 - m, own["c"] - c0 - m])
 
-    return dealt.groupBy(*keys, "_tr", "_tc").applyInPandas(run, f"{kinds}, r int, c int, lisa double")
+    return dealt.groupBy(*keys, "_tr", "_tc").applyInPandas(run, f"{kinds}r int, c int, lisa double")
 
 
 def permuted(grid: DataFrame, keys: list[str] | None = None, value: str = "v", seed: str = "0") -> DataFrame:
     """grid with its values dealt to other places, within keys: the place of rank k by a hash of seed and place gets the
-    value of rank k in row order."""
+    value of rank k in row order. Ranks are numbered by image rows and by beginnings of the hash, never in one task."""
     keys = keys or []
     name = F.md5(F.concat_ws("/", F.lit(seed), F.col("r").cast("string"), F.col("c").cast("string")))
-    by = Window.partitionBy(*keys)
-    ranked = grid.select(*keys, "r", "c", F.col(value).alias(value), F.row_number().over(by.orderBy("r", "c")).alias("_i"), F.row_number().over(by.orderBy(name)).alias("_j"))
-    return ranked.select(*keys, "r", "c", F.col("_j").alias("_k")).join(ranked.select(*keys, value, F.col("_i").alias("_k")), [*keys, "_k"]).drop("_k")
+    places = numbered(grid.select(*keys, "r", "c", name.alias("_h")), F.substring("_h", 1, 3), [F.col("_h")], "_k", keys).drop("_h")
+    values = numbered(grid.select(*keys, "r", "c", value), F.col("r"), [F.col("c")], "_k", keys).select(*keys, "_k", value)
+    return places.join(values, [*keys, "_k"]).select(*keys, "r", "c", value)
 
 
 def lisa_significance(grid: DataFrame, keys: list[str] | None = None, value: str = "v", reach: int = 5, cut: float = 0.96012, seed: str = "0") -> DataFrame:

@@ -12,7 +12,7 @@ from nightlights.lenses import LENSES, needed
 
 _FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("states", "edges", "masks", "stacks", "templates", "registration", "world", "learning")
+MODULES = ("states", "edges", "masks", "stacks", "templates", "registration", "world", "learning", "sources")
 
 
 class Views:

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """The folder named by spark.checkpoint.dir, which all executors share. Where it is unset, a temporary one if Spark runs in
+    this process; elsewhere executors would each write to their own disk, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_nightlights_shared", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = spark._nightlights_shared = "file://" + tempfile.mkdtemp(prefix="nightlights-")
     return found.rstrip("/")
 

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def slice_frames(files: DataFrame, order: str, start: int, stop: int, step: int) -> DataFrame:
-    """files with obs_idx, their place within the night by order, kept where start <= obs_idx < stop in steps of step."""
-    place = F.row_number().over(Window.partitionBy("night").orderBy(order)) - 1
+def slice_frames(files: DataFrame, order: str, start: int, stop: int, step: int, by: list[str] | None = None) -> DataFrame:
+    """files with obs_idx, their place within the night (or by) by order, kept where start <= obs_idx < stop in steps of step."""
+    place = F.row_number().over(Window.partitionBy(*(by or ["night"])).orderBy(order)) - 1
     return files.withColumn("obs_idx", place.cast("int")).where((F.col("obs_idx") >= start) & (F.col("obs_idx") < stop) & ((F.col("obs_idx") - start) % step == 0))
 
 
@@ -26,15 +26,16 @@ def list_frames(spark: SparkSession, path: str) -> DataFrame:
 def read_frames(spark: SparkSession, path: str, rows: int, cols: int, start: int = 0, stop: int = 2700, step: int = 1, bands: int = 1, reverse_bands: bool = False) -> DataFrame:
     """(night, obs_idx, ts, r, band, pixels array<short>): one row for each image row of the chosen raw 8-bit frames.
 
-    Choosing uses names only; contents of other frames are not read. reverse_bands: the camera stored blue first.
+    Choosing uses names only: their listing, which Spark holds in the driver anyway, comes first, and then only the chosen
+    files are opened. Bytes after the pixels are ignored. reverse_bands: the camera stored blue first.
     """
     chosen = slice_frames(list_frames(spark, path), "path", start, stop, step)
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([r.path for r in chosen.select("path").collect()] or path).select("path", "content")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                cube = np.frombuffer(batch.column("content")[k].as_py(), np.uint8).reshape(rows, cols, bands)
+                cube = np.frombuffer(batch.column("content")[k].as_py(), np.uint8, rows * cols * bands).reshape(rows, cols, bands)
                 cube = cube[:, :, ::-1] if reverse_bands else cube
                 for b in range(bands):
                     one = batch.slice(k, 1).drop_columns(["content"])
@@ -57,12 +58,12 @@ def read_header(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_scans(spark: SparkSession, path: str, n_rows: int, n_channels: int, n_cols: int) -> DataFrame:
-    """(scan, r, c, spectrum array<int>) of raw 16-bit scans stored by column, channel and descending row."""
+    """(scan, r, c, spectrum array<int>) of raw 16-bit scans stored by column, channel and descending row; bytes after them are ignored."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                cube = np.frombuffer(batch.column("content")[k].as_py(), "<u2").reshape(n_cols, n_channels, n_rows)[:, :, ::-1].transpose(2, 0, 1).astype(np.int32)
+                cube = np.frombuffer(batch.column("content")[k].as_py(), "<u2", n_cols * n_channels * n_rows).reshape(n_cols, n_channels, n_rows)[:, :, ::-1].transpose(2, 0, 1).astype(np.int32)
                 for r in range(n_rows):
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column("path")[k].as_py()] * n_cols), pa.array(np.full(n_cols, r, np.int32)), pa.array(np.arange(n_cols, dtype=np.int32)), pa.array(list(cube[r]), pa.list_(pa.int32()))], names=["scan", "r", "c", "spectrum"])
 
@@ -72,3 +73,14 @@ def read_scans(spark: SparkSession, path: str, n_rows: int, n_channels: int, n_c
 def write_nights(df: DataFrame, path: str, codec: str = "gzip") -> None:
     """A nightly table, in a folder for each night."""
     df.write.mode("overwrite").option("compression", codec).partitionBy("night").parquet(path)
+
+
+def read_nights(spark: SparkSession, path: str, schema: str, nights: list[str] | None = None) -> DataFrame:
+    """A nightly table, or some of its nights, of which alone the folders are read."""
+    found = spark.read.schema(schema).parquet(path)
+    return found.where(F.col("night").isin(nights)) if nights is not None else found
+
+
+def write_cube(stack: DataFrame, path: str) -> None:
+    """A stacked cube (night, r, c, channel, value): a file of rows sorted by channel and place for each night, so that readers skip channels by their bounds."""
+    stack.repartition("night").sortWithinPartitions("night", "channel", "r", "c").write.mode("overwrite").partitionBy("night").parquet(path)

@@ -23,6 +23,19 @@ def test_frames(spark, tmp_path):
     assert long.count() == 3 * 12
 
 
+def test_other_frames_are_not_opened(spark, tmp_path):
+    """A frame that isn't chosen may be of any size: Spark refuses files above a bound when it opens them."""
+    night = tmp_path / "07" / "01"
+    night.mkdir(parents=True)
+    for k in range(4):
+        (night / f"f{k}.raw").write_bytes(bytes(12) if k == 2 else bytes(5000))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        assert frames.read_frames(spark, str(tmp_path), 4, 3, 2, 3, 1).count() == 4
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_scans(spark, tmp_path):
     cube = np.random.default_rng(0).integers(0, 65535, (3, 4, 5)).astype("<u2")  # rows, channels, columns
     (tmp_path / "s.raw").write_bytes(cube.transpose(2, 1, 0)[:, :, ::-1].tobytes())

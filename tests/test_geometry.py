@@ -50,4 +50,44 @@ def test_mixture_prefers_two_groups(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 0.2, (60, 2)), rng.normal(3, 0.2, (60, 2))])
     rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "source int, spectrum array<double>")
-    assert learning.mixture_bic(rows, 2, "spherical", 6) < learning.mixture_bic(rows, 1, "spherical", 2)
+    two, one, full = learning.mixture_bics(rows, [(2, "spherical"), (1, "spherical"), (2, "full")], 8)
+    assert two < one and two < full  # the simpler covariance suffices
+    s = x.std(0).mean()
+    mean, var = x.mean(0), x.var(0).mean() + 1e-6
+    want = -2 * sum(-0.5 * ((v - mean) ** 2).sum() / var - np.log(2 * np.pi * var) for v in x) + 3 * np.log(len(x))
+    assert s > 1 and abs(one - want) < 1e-3 * abs(want)
+    best = learning.choose_mixture(rows, (1, 2), ("spherical", "full"), 8).where("best").first()
+    assert (best.k, best.covariance) == (2, "spherical")
+
+
+def test_clusters_of_groups_far_apart(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.1, (40, 3)) for c in (0, 5, 10)])
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "source int, spectrum array<double>")
+    for found in (learning.kmeans(rows, 3), learning.gaussian_mixture(rows, 3), learning.dbscan(rows, 1.0, 4)):
+        by = {}
+        for r in found.collect():
+            by.setdefault(r.cluster, set()).add(r.source // 40)
+        assert sorted(map(sorted, by.values())) == [[0], [1], [2]]
+
+
+def test_close_pairs_by_slices_and_blocks(spark):
+    import numpy as np
+
+    x = np.random.default_rng(5).uniform(0, 3, (150, 2))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "source int, spectrum array<double>")
+    got = sorted((r.a, r.b) for r in learning.close_pairs(rows, 0.4, block=8).collect())
+    assert got == sorted((i, j) for i in range(150) for j in range(150) if ((x[i] - x[j]) ** 2).sum() <= 0.16)
+
+
+def test_forest_learns_a_threshold(spark):
+    import numpy as np
+
+    x = np.random.default_rng(6).uniform(0, 1, (400, 2))
+    rows = spark.createDataFrame([(k, v.tolist(), int(v[0] > 0.5)) for k, v in enumerate(x)], "id int, features array<double>, label int")
+    parts = learning.split(rows)
+    assert parts.where("train").count() == 300
+    scores = learning.accuracy_f1(learning.classify(learning.train_forest(parts.where("train")), parts.where("NOT train"))).first()
+    assert scores.accuracy > 0.9 and scores.f1 > 0.9

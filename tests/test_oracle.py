@@ -8,7 +8,6 @@ from nightlights import registry
 from oracle import same
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
-SLOW = {"m7_forest_scores", "m8_classify", "m4_choose_mixture"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -16,7 +15,7 @@ def test_against_sql(spark, sf_dir, name):
     same(spark, sf_dir, QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 

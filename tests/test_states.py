@@ -48,3 +48,50 @@ def test_results_do_not_depend_on_partitions(spark):
     e = edges(spark, [[(rng.random() < 0.3, rng.random() < 0.3) for _ in range(15)] for _ in range(10)])
     one = sorted(op.lit_states(e.coalesce(1)).collect())
     assert one == sorted(op.lit_states(e.repartition(7)).collect())
+
+
+def test_standardised_totals_and_histogram(spark):
+    """By the formula, over a matrix of nights and sources."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 900, (3, 7)).astype(float)
+    x[2] = 50.0
+    rows = [(f"n{i}", j, float(x[i, j])) for i in range(3) for j in range(7)]
+    d = np.abs(x - x.mean(1, keepdims=True))
+    sd = d.std(1, keepdims=True)
+    want = np.where(sd > 0, d / np.where(sd > 0, sd, 1), 0).sum(0)
+    totals = op.standardised_totals(spark.createDataFrame(rows, "night string, source int, duration double"))
+    got = {r.source: r.total for r in totals.collect()}
+    assert np.allclose([got[j] for j in range(7)], want)
+    one = totals.selectExpr("total", "source % 2 = 0 AS even")
+    found = {(r.even, r.bin): r.n for r in op.histogram(one, "total", ["even"], 4).collect()}
+    for even in (True, False):
+        part = np.array([want[j] for j in range(7) if (j % 2 == 0) == even])
+        count, _ = np.histogram(part, 4)
+        assert [found.get((even, k), 0) for k in range(4)] == count.tolist()
+
+
+def test_significance(spark):
+    """Normalised Anderson-Darling statistic of the paper's four laboratories, and p of t statistics by numeric integration."""
+    import math
+
+    import numpy as np
+    from nightlights.functions.stats import student_p
+    from pyspark.sql import functions as F
+
+    labs = {  # fixed values: Scholz and Stephens (1987), smoothness of paper
+        "A": [38.7, 41.5, 43.8, 44.5, 45.5, 46.0, 47.7, 58.0], "B": [39.2, 39.3, 39.7, 41.4, 41.8, 42.9, 43.3, 45.8],
+        "C": [34.0, 35.0, 39.0, 40.0, 43.0, 43.0, 44.0, 45.0], "D": [34.0, 34.8, 34.8, 35.4, 37.2, 37.8, 41.2, 42.8],
+    }
+    df = spark.createDataFrame([(k, x) for k, v in labs.items() for x in v], "grp string, total double")
+    r = op.anderson_darling(df).first()
+    assert abs(r.statistic - 4.480) < 0.005 and abs(r.p - 0.00236) < 0.0005 and (r.n, r.k) == (32, 4)
+    few = op.anderson_darling(df.limit(2)).first()
+    assert few.statistic is None and few.p is None
+    for t, n in ((0.3, 1), (2.1, 2), (1.0, 3), (2.5, 6), (0.0, 9), (4.0, 12)):
+        x = np.linspace(0, t, 20001)
+        c = math.gamma((n + 1) / 2) / math.sqrt(n * math.pi) / math.gamma(n / 2)
+        want = 1 - 2 * np.trapezoid(c * (1 + x * x / n) ** (-(n + 1) / 2), x)
+        got = spark.range(1).select(student_p(F.lit(-t), F.lit(n)).alias("p")).first().p
+        assert abs(got - want) < 1e-6, (t, n)
