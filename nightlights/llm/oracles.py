@@ -29,7 +29,6 @@ SELECT doc_id, n_words::BIGINT n_words, word_chars::BIGINT word_chars, n_symbols
   NOT base_failed AND line_chars <= {LINE_SHARE}::DOUBLE * word_chars AND {" AND ".join(f"chars{n} <= {s}::DOUBLE * word_chars" for n, s in NGRAM_SHARES.items())} kept
 FROM f"""
 
-_BITS = "(SELECT string_agg(lpad(bin(('0x' || substr(h, k::INT * 2 + 1, 2))::INT), 8, '0'), '' ORDER BY k) FROM range(20) t(k))"
 OP4 = """
 WITH p AS (SELECT page_id, coalesce(html, '') html, sha1(coalesce(html, '')) h FROM pages),
 bits AS (SELECT DISTINCT h, list_aggregate(list_transform(range(20), lambda k: lpad(bin(('0x' || substr(h, (2 * k + 1)::INT, 2))::INT), 8, '0')), 'string_agg', '') b FROM p),
@@ -62,4 +61,30 @@ it AS (SELECT doc_id, count(*) n_items, string_agg(item_id, ',' ORDER BY item_id
 SELECT doc_id, len(ws)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 FROM d LEFT JOIN w USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
-ORACLES = {"op4_warc": OP4, "op6_quality": OP6, "op7_chat": OP7, "op9_decontamination": OP9}
+#: Windows of one document are named by md5 of their words; words hold no spaces.
+OP8 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) i FROM d WHERE len(ws) >= 50)),
+least AS (SELECT g, min(doc_id) first FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, i + k i FROM (SELECT doc_id, i FROM win JOIN least USING (g) WHERE first < doc_id), range(50) t(k)),
+word AS (SELECT doc_id, unnest(ws) w, generate_subscripts(ws, 1) i FROM d),
+left_over AS (SELECT doc_id, count(*) n, string_agg(w, ' ' ORDER BY i) kept FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT n_words, (len(ws) - coalesce(n, 0))::BIGINT n_removed, sha256(coalesce(kept, '')) kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)"""
+
+#: Strings of 50 bytes are 100 hexadecimal digits. Those whose 64-bit hash only one document has can't repeat; the others are compared whole.
+OP10 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) hx FROM documents),
+win AS (SELECT doc_id, i, hash(substr(hx, 2 * i + 1, 100)) g FROM (SELECT doc_id, hx, unnest(range(0, len(hx) // 2 - 49)) i FROM d WHERE len(hx) >= 100)),
+shared AS (SELECT g FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+again AS (SELECT doc_id, i, substr(hx, 2 * i + 1, 100) s FROM win JOIN shared USING (g) JOIN d USING (doc_id)),
+cut AS (SELECT doc_id, i FROM again JOIN (SELECT s, min(doc_id) first FROM again GROUP BY s) USING (s) WHERE first < doc_id),
+edge AS (SELECT doc_id, i, i > 50 + lag(i, 1, -100) OVER (PARTITION BY doc_id ORDER BY i) starts FROM cut),
+run AS (SELECT doc_id, min(i) lo, max(i) + 50 hi FROM (SELECT doc_id, i, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY i) r FROM edge) GROUP BY doc_id, r),
+kept AS (SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) before FROM run),
+piece AS (SELECT doc_id, sum(hi - lo) n_removed, count(*) n_spans, string_agg(substr(hx, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substr(any_value(hx), 2 * max(hi) + 1) left_over
+  FROM kept JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(hx) // 2)::BIGINT n_bytes, coalesce(n_removed, 0)::BIGINT n_removed, coalesce(n_spans, 0)::BIGINT n_spans, sha256(unhex(coalesce(left_over, hx))) kept_sha256
+FROM d LEFT JOIN piece USING (doc_id)"""
+
+ORACLES = {"op8_substring": OP8, "op10_suffix_array": OP10, "op4_warc": OP4, "op6_quality": OP6, "op7_chat": OP7, "op9_decontamination": OP9}

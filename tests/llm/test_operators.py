@@ -122,14 +122,27 @@ def test_fingerprints_and_groups(docs, rows, empty):
 
 
 def test_one_of_each_group_stays(docs, rows):
+    """Null ids come last; repeated rows and rows without words leave one."""
     kept = simhash.keep_one_of_each_group(docs)
     assert kept.columns == docs.columns
-    f = [plain.fingerprint(t, 5) for _, t in rows]
-    g = plain.groups(f)
-    got = kept.collect()
-    assert len(got) == len(set(g))
-    least = {k: min(((i is None, i or 0) for (i, _), x in zip(rows, g, strict=True) if x == k)) for k in g}
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(least.values())
+    numbered = [((i is None, i or 0), t) for i, t in rows]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == plain.kept_by_jaccard(numbered)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Columns with dots, maps and names that operators might use themselves."""
+    text = prose(90)
+    rows = [(1, text, "p", {"a": 1}, 7, "b"), (2, "x " + text, "q", None, 8, "c"), (None, text, None, {}, 9, "d"), (3, None, "r", {"b": None}, 1, "e")]
+    return spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, m map<string,int>, _block int, parts string")
+
+
+def test_substrings_keep_odd_columns(odd):
+    out = debruijn.repeated_spans(odd)
+    assert out.columns == [*odd.columns, "_n_words", "_kept", "_spans"]
+    got = {r._block: r for r in out.collect()}
+    assert [sum(s.length for s in got[k]._spans) for k in (7, 8, 9, 1)] == [0, 90, 0, 0] and got[8]._kept == "x"
+    assert (got[7]["a.b"], got[7].m, got[8].m, got[1].m, got[8].parts) == ("p", {"a": 1}, None, {"b": None}, "c")
 
 
 def test_large_groups_go_by_tiles(spark, monkeypatch):
