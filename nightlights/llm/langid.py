@@ -1,4 +1,5 @@
-"""Language identification: a linear-chain conditional random field labels every word; a text's language has most of it."""
+"""Language identification: a linear-chain conditional random field labels every word, also of code-switched text; a text's
+language has most of it. Transitions between languages are learned from texts made of pieces of labelled ones."""
 
 from __future__ import annotations
 
@@ -8,15 +9,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightlights.llm import textscan as ts
+from nightlights.llm.tables import quoted
 
-#: Rows to learn from, for each language, about; they are those of the least id hashes.
+#: Rows to learn from, for each language, at most.
 ROWS_PER_LANGUAGE = 400
-#: Words in a chain. Longer texts are several chains.
-CHAIN = 64
+#: Texts to learn from for each code-switched one that is made of them, and the words of one of its pieces: from, below.
+SWITCHED, PIECE = 4, (4, 40)
 BITS = 17
 _MASK = np.uint64((1 << BITS) - 1)
 #: Letters of words: a-z after lower-casing, and all bytes from 0x80.
@@ -53,46 +55,41 @@ class Features:
         return out
 
 
-def chains(cut: np.ndarray) -> np.ndarray:
-    """Word numbers by chain and place, -1 beyond a chain's end; no chain goes from one text to another."""
-    n = np.diff(cut)
-    many = -(-n // CHAIN)
-    text = np.repeat(np.arange(len(n)), many)
-    first = cut[text] + CHAIN * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
-    word = first[:, None] + np.arange(CHAIN)
-    return np.where(word < cut[text + 1][:, None], word, -1)
-
-
-def forward_backward(emission: np.ndarray, transition: np.ndarray, word: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(each word's probabilities of the languages, expected numbers of transitions if pairs), by chains."""
+def forward_backward(emission: np.ndarray, transition: np.ndarray, cut: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(each word's probabilities of the languages, expected numbers of transitions if pairs). Text k's words are those from
+    cut[k] to cut[k + 1]; a text is one chain, however long, and all texts take their next step together."""
     labels = emission.shape[1]
-    scaled = np.exp(emission - emission.max(1, keepdims=True)) if len(emission) else emission
-    move = np.exp(transition)
-    live = word >= 0
-    e = np.where(live[:, :, None], scaled[word], 1.0)
-    alpha, beta = np.empty_like(e), np.empty_like(e)
-    if not len(word):
+    if not len(emission):
         return np.zeros((0, labels)), np.zeros((labels, labels))
-    alpha[:, 0] = e[:, 0] / e[:, 0].sum(1, keepdims=True)
-    for t in range(1, word.shape[1]):
-        a = (alpha[:, t - 1] @ move) * e[:, t]
-        alpha[:, t] = a / a.sum(1, keepdims=True)
-    beta[:, -1] = 1.0
-    for t in range(word.shape[1] - 2, -1, -1):
-        b = np.where(live[:, t + 1, None], (beta[:, t + 1] * e[:, t + 1]) @ move.T, 1.0)
-        beta[:, t] = b / b.sum(1, keepdims=True)
-    both = alpha * beta
-    both /= both.sum(2, keepdims=True)
-    out = np.empty((len(emission), labels))
-    out[word[live]] = both[live]
-    if not pairs:
-        return out, np.zeros((labels, labels))
-    total, step = np.zeros((labels, labels)), max(1, (1 << 22) // (labels * labels * word.shape[1]))
-    for k in range(0, len(word), step):
-        c = slice(k, k + step)
-        pair = alpha[c, :-1, :, None] * move * (beta[c, 1:] * e[c, 1:])[:, :, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
-        total += pair[live[c, 1:]].sum(0)
+    e, move = np.exp(emission - emission.max(1, keepdims=True)), np.exp(transition - transition.max())
+    n = np.diff(cut)
+    order = np.argsort(-n, kind="stable")
+    first, n = cut[order], n[order]
+    active = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # texts with a word at each place; the longest come first
+    alpha, beta = np.empty_like(e), np.ones_like(e)
+    now = None
+    for t, k in enumerate(active.tolist()):
+        at = first[:k] + t
+        now = e[at] if t == 0 else (now[:k] @ move) * e[at]
+        now /= now.sum(1, keepdims=True)
+        alpha[at] = now
+    for t in range(len(active) - 2, -1, -1):
+        k = active[t + 1]
+        at = first[:k] + t + 1
+        now = (beta[at] * e[at]) @ move.T
+        beta[at - 1] = now / now.sum(1, keepdims=True)
+    out = alpha * beta
+    out /= out.sum(1, keepdims=True)
+    total = np.zeros((labels, labels))
+    if pairs:
+        later = np.ones(len(e), bool)
+        later[cut[:-1][np.diff(cut) > 0]] = False
+        later = np.flatnonzero(later)
+        step = max(1, (1 << 22) // (labels * labels))
+        for k in range(0, len(later), step):
+            at = later[k : k + step]
+            pair = alpha[at - 1, :, None] * move * (beta[at] * e[at])[:, None, :]
+            total += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
     return out, total
 
 
@@ -103,23 +100,47 @@ class Model:
     transition: np.ndarray
 
 
+def switched(texts: list[bytes], labels: list[str], rng: np.random.Generator) -> tuple[list[bytes], list[list[tuple[int, str]]]]:
+    """Code-switched texts made of labelled ones: pieces of PIECE words of two languages by turns, so that transitions between
+    languages are seen and learned; and the pieces' lengths and languages. One for each SWITCHED texts."""
+    by = {k: [x.split() for x, y in zip(texts, labels, strict=True) if y == k] for k in sorted(set(labels))}
+    out, about = [], []
+    for _ in range(len(texts) // SWITCHED if len(by) > 1 else 0):
+        two = [by[k] for k in rng.choice(list(by), 2, replace=False)]
+        names = [next(k for k in by if by[k] is x) for x in two]
+        pieces, marks = [], []
+        for turn in range(int(rng.integers(2, 7))):
+            words = two[turn % 2][int(rng.integers(len(two[turn % 2])))]
+            start, n = int(rng.integers(max(1, len(words)))), int(rng.integers(*PIECE))
+            piece = b" ".join(words[start : start + n])
+            if piece:
+                pieces.append(piece)
+                marks.append((len(Features([piece]).start), names[turn % 2]))
+        out.append(b" ".join(pieces))
+        about.append(marks)
+    return out, about
+
+
 def fit(texts: list[bytes], labels: list[str], epochs: int = 4, batch: int = 48, rate: float = 0.3, seed: int = 7) -> Model:
-    """Adaptive gradient ascent on the chains' log-likelihood; all words of a text have its label."""
+    """Adaptive gradient ascent on the texts' log-likelihood. All words of a text have its label; switched texts have their pieces'."""
     languages = sorted(set(labels)) or ["und"]
     size = len(languages)
     model = Model(languages, np.zeros((1 << BITS, size), np.float32), np.zeros((size, size)))
     seen_w, seen_t = np.full(model.weights.shape, 1e-2, np.float32), np.full((size, size), 1e-2)
-    code = np.array([languages.index(x) for x in labels], np.int64)
     rng = np.random.default_rng(seed)
+    mixed, marks = switched(texts, labels, rng)
+    texts = [*texts, *mixed]
+    runs = [*([(None, x)] for x in labels), *marks]
+    order = np.argsort([len(x) for x in texts], kind="stable")  # texts of a batch take their steps together, so they are of about one length
+    parts = np.array_split(order, max(1, -(-len(texts) // batch)))
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(texts)), max(1, -(-len(texts) // batch))):
+        for part in (parts[k] for k in rng.permutation(len(parts))):
             f = Features([texts[i] for i in part])
             if not len(f.start):
                 continue
-            owner = np.repeat(np.arange(len(part)), np.diff(f.cut))
-            y = code[part][owner]
-            word = chains(f.cut)
-            p, pair = forward_backward(f.emissions(model.weights), model.transition, word)
+            count = np.diff(f.cut)
+            y = np.concatenate([np.repeat([languages.index(k) for _, k in runs[i]], [count[j] if n is None else n for n, _ in runs[i]]) for j, i in enumerate(part)]).astype(np.int64)
+            p, pair = forward_backward(f.emissions(model.weights), model.transition, f.cut)
             gap = -p
             gap[np.arange(len(y)), y] += 1
             n = f.end - f.start
@@ -132,28 +153,55 @@ def fit(texts: list[bytes], labels: list[str], epochs: int = 4, batch: int = 48,
             grad -= 1e-5 * model.weights[rows]
             seen_w[rows] += grad**2
             model.weights[rows] += rate * grad / np.sqrt(seen_w[rows])
-            inner = word[:, 1:][word[:, 1:] >= 0]
+            inner = np.ones(len(y), bool)
+            inner[f.cut[:-1][count > 0]] = False
+            inner = np.flatnonzero(inner)
             truth = np.zeros((size, size))
-            np.add.at(truth, (y[inner], y[inner]), 1)
-            grad = (truth - pair) / len(part)
+            np.add.at(truth, (y[inner - 1], y[inner]), 1)
+            grad = (truth - pair) / len(part) - 1e-3 * model.transition
             seen_t += grad**2
             model.transition += rate * grad / np.sqrt(seen_t)
     return model
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fold: int, folds: int) -> tuple[list[bytes], list[str]]:
-    """Whole texts and labels of about ROWS_PER_LANGUAGE rows of every language, chosen by a hash of the id, outside the fold."""
-    rest = F.crc32(F.col(id_col).cast("string")) % folds != fold
-    usable = docs.where(rest & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    counts = usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()
+    """Whole texts and labels of ROWS_PER_LANGUAGE rows at most of every language: those of the least hashes of id and text
+    outside the fold. Hashes below a bound are taken first, so that few rows are ordered whatever the table's size."""
+    id_, text, lang = (F.col(quoted(c)) for c in (id_col, text_col, lang_col))
+    usable = docs.where((F.crc32(id_.cast("string")) % folds != fold) & text.isNotNull() & lang.isNotNull()).select(lang.cast("string").alias("lang"), text.cast("string").alias("text"), (F.xxhash64(F.lit("langid"), id_, text) / 2.0**64 + 0.5).alias("place"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return [], []
-    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.lang, ROWS_PER_LANGUAGE / r.n)]), F.col(lang_col))
-    chosen = usable.where(F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000)) < share * 1_000_000)
-    rows = sorted((r.lang, r.text) for r in chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).collect())
+    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 2.0 * ROWS_PER_LANGUAGE / r.n))]), F.col("lang"))
+    few = usable.where(F.col("place") <= share)
+    chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))).where(F.col("k") <= ROWS_PER_LANGUAGE)
+    rows = sorted((r.lang, r.text) for r in chosen.select("lang", "text").collect())
     return [t.encode() for _, t in rows], [k for k, _ in rows]
 
 
+def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, runs array<struct<start, end, lang>>) for each row: maximal runs of words whose likeliest language, by
+    forward-backward over the whole text, is the same; start and end are bytes of the text in UTF-8. Words are runs of letters
+    a-z and of other characters beyond ASCII. None where there are no words."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for rows, data in ts.blocks(batches):
+            f = Features(data)
+            best = forward_backward(f.emissions(m.weights), m.transition, f.cut, pairs=False)[0].argmax(1)
+            base = np.cumsum([0, *(len(x) + 2 for x in data)])
+            out = []
+            for k in range(len(data)):
+                lo, hi = f.cut[k], f.cut[k + 1]
+                turn = np.flatnonzero(np.diff(best[lo:hi], prepend=-1)) + lo
+                out.append([{"start": int(f.start[a] - base[k] - 1), "end": int(f.end[z - 1] - base[k] - 1), "lang": m.languages[best[a]]} for a, z in zip(turn.tolist(), [*turn[1:].tolist(), int(hi)], strict=True)] if hi > lo else [])
+            yield ts.record(id=rows.column("id"), runs=pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
+
+    source = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, runs array<struct<start:long,end:long,lang:string>>").withColumnRenamed("id", id_col)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, shares array<double>) for each row: the language of the largest mean probability over all
     words, that mean, and the means of all languages. lang_pred is und and score 0 where the text is null or has no letter."""
@@ -161,9 +209,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for rows, data in ts.blocks(batches, limit=1 << 19):
+        for rows, data in ts.blocks(batches, limit=1 << 20):
             f = Features(data)
-            p, _ = forward_backward(f.emissions(m.weights), m.transition, chains(f.cut), pairs=False)
+            p, _ = forward_backward(f.emissions(m.weights), m.transition, f.cut, pairs=False)
             owner = np.repeat(np.arange(len(data)), np.diff(f.cut))
             share = np.stack([np.bincount(owner, p[:, k], len(data)) for k in range(len(m.languages))], 1) / np.maximum(1, np.diff(f.cut))[:, None]
             known = (m.languages != ["und"]) & np.array([_HAS_LETTER(x.decode("utf-8", "replace")) is not None for x in data], bool) & (np.diff(f.cut) > 0)
@@ -171,11 +219,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             score = np.where(known, np.clip(share[np.arange(len(data)), best], 0, 1), 0.0)
             yield ts.record(id=rows.column("id"), lang_pred=pa.array([m.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], pa.string()), score=score, shares=pa.array(share.tolist(), pa.list_(pa.float64())))
 
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    source = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double, shares array<double>").withColumnRenamed("id", id_col)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 1, folds: int = 3) -> DataFrame:
-    """Learns from docs outside the fold crc32(id) % folds == fold and predicts every row. Rows of a null id aren't learned from.
-    With nothing to learn from every row is und."""
+    """Learns from docs outside the fold crc32(id) % folds == fold and predicts every row, by all of its words. Every language
+    with a row to learn from can be predicted; at most ROWS_PER_LANGUAGE rows of each, whole texts, reach the driver. Rows of
+    a null id aren't learned from; repeated rows are learned from as often as they are drawn. With nothing to learn from
+    every row is und. Only the named columns are read, so others may have any name."""
     return predict(docs, fit(*sample(docs, id_col, text_col, lang_col, fold, folds)), id_col, text_col)

@@ -276,7 +276,10 @@ def test_forward_backward_against_enumeration():
 
     rng = np.random.default_rng(1)
     e, t = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
-    p, pair = langid.forward_backward(e, t, langid.chains(np.array([0, 5])))
+    p, pair = langid.forward_backward(np.concatenate([e[:2], e, e[:1]]), t, np.array([0, 2, 2, 7, 8]))
+    both, joint = langid.forward_backward(e[:2], t, np.array([0, 2]))
+    assert np.allclose(p[:2], both) and np.allclose(p[7], np.exp(e[0]) / np.exp(e[0]).sum())
+    p, pair = p[2:7], pair - joint
     total, want, moves = 0.0, np.zeros((5, 3)), np.zeros((3, 3))
     for y in product(range(3), repeat=5):
         w = np.exp(sum(e[k, y[k]] for k in range(5)) + sum(t[a, b] for a, b in zip(y, y[1:], strict=False)))
