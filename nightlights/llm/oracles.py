@@ -35,7 +35,7 @@ bits AS (SELECT DISTINCT h, list_aggregate(list_transform(range(20), lambda k: l
 d AS (SELECT h, list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: CASE substr(b, (5 * k + j + 1)::INT, 1) WHEN '1' THEN (16 >> j::INT) ELSE 0 END))::INT, 1)), 'string_agg', '') digest FROM bits),
 f AS (SELECT h, min(page_id) first FROM p GROUP BY h)
 SELECT page_id, strlen(html)::BIGINT payload_bytes, digest payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END record_type,
-  CASE WHEN page_id IS DISTINCT FROM first THEN first END refers_to
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END refers_to, true sound
 FROM p JOIN d USING (h) JOIN f USING (h)"""
 
 OP7 = """

@@ -35,8 +35,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path, min_bytes=0)
-    back = warc.read_archives(spark, path, with_block=False)
-    return back.select(F.col("row").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+    back = warc.check_revisits(warc.read_archives(spark, path, with_block=False))
+    return back.select(F.col("row").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"), "sound")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

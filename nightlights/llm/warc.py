@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightlights.llm import textscan as ts
+from nightlights.llm.tables import quoted
 from nightlights.runtime import materialize
 
 #: Fields of an ARC record's header line by the version that the archive's first record declares.
@@ -22,7 +24,11 @@ ARC_FIELDS = {
     2: ("url", "ip", "date", "mime", "status", "checksum", "location", "offset", "file", "length"),
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-READ_SCHEMA = "row string, type string, record_id string, refers_to string, url string, date string, payload_digest string, payload_bytes long, block binary"
+READ_SCHEMA = "row string, type string, record_id string, refers_to string, url string, date string, payload_digest string, payload_bytes long, sound boolean, block binary"
+#: Payloads from LARGE bytes on go to files of their own. A file holds about FILE_BYTES, counting small ones as LARGE and large
+#: ones as 128 MiB.
+LARGE = 1 << 16
+FILE_BYTES = 1 << 30
 
 
 def digest(payload: bytes) -> str:
@@ -40,17 +46,21 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return (head + gap, body) if gap else (b"", block)
 
 
-def arc_file(url: str | None, block: bytes, version: int, date: str = "20000101000000", name: str = "pages.arc") -> bytes:
-    """An archive of one record: the version block, then the record by that version's header line."""
+def arc_file(records: list[tuple[str | None, bytes]], version: int, date: str = "20000101000000", name: str = "pages.arc") -> bytes:
+    """An archive of records (url, block): the version block, then each record after that version's header line."""
     fields = ARC_FIELDS[version]
     about = f"{version} 0 nightlights\n{' '.join({'url': 'URL', 'ip': 'IP-address', 'date': 'Archive-date', 'mime': 'Content-type', 'status': 'Result-code', 'checksum': 'Checksum', 'location': 'Location', 'offset': 'Offset', 'file': 'Filename', 'length': 'Archive-length'}[x] for x in fields)}\n\n".encode()
 
     def line(**values) -> bytes:
         return (" ".join(str(values.get(x, "-")) for x in fields) + "\n").encode()
 
-    first = line(url=f"filedesc://{name}", ip="0.0.0.0", date=date, mime="text/plain", status=200, offset=0, file=name, length=len(about)) + about
-    clean = "".join(f"%{b:02X}" if b <= 0x20 else chr(b) for b in (url or "").encode("utf-8", "surrogatepass")).encode("latin-1").decode("utf-8", "replace") or "-"
-    return first + b"\n" + line(url=clean, ip="0.0.0.0", date=date, mime="text/html", status=200, offset=len(first) + 1, file=name, length=len(block)) + block + b"\n"
+    out = [line(url=f"filedesc://{name}", ip="0.0.0.0", date=date, mime="text/plain", status=200, offset=0, file=name, length=len(about)) + about]
+    at = len(out[0])
+    for url, block in records:
+        clean = "".join(f"%{b:02X}" if b <= 0x20 else chr(b) for b in (url or "").encode("utf-8", "surrogatepass")).encode("latin-1").decode("utf-8", "replace") or "-"
+        out.append(b"\n" + line(url=clean, ip="0.0.0.0", date=date, mime="text/html", status=200, offset=at + 1, file=name, length=len(block)) + block)
+        at += len(out[-1])
+    return b"".join(out) + b"\n"
 
 
 def arc_records(content: bytes) -> Iterator[dict]:
@@ -81,9 +91,10 @@ def arc_records(content: bytes) -> Iterator[dict]:
         at = stop + 1 + int(parts[-1])
 
 
-def warc_record(arc: dict, row: str, first: str | None, first_url: str | None = None) -> str:
+def warc_record(arc: dict, row: str, first: str | None) -> str:
     """The WARC record that equals an ARC record, without the two line ends that close it; first: the row of the record
-    that it revisits. Identifiers are name-based, so a task that runs again writes the same."""
+    that it revisits. Identifiers are name-based, so a task that runs again writes the same. Blocks are UTF-8, since Spark's
+    text writer writes them; others raise UnicodeDecodeError."""
     head, body = split_http(arc["block"])
     d = arc["date"]
     name = lambda r: uuid.uuid5(uuid.NAMESPACE_OID, f"warc/{r}")
@@ -105,7 +116,8 @@ def warc_record(arc: dict, row: str, first: str | None, first_url: str | None =
 
 
 def warc_records(stream) -> Iterator[tuple[dict, bytes]]:
-    """(fields, block) of each record of a binary stream, by declared lengths."""
+    """(fields, block) of each record of a binary stream, by declared lengths; a cut block is as long as what is there.
+    Anything but a record where one must begin raises ValueError."""
     while line := stream.readline():
         if line == b"\r\n":
             continue
@@ -127,41 +139,111 @@ def first_of_equal_payloads(pages: DataFrame, id_col: str, payload: Column, min_
     return pages.withColumn("_sha", sha).join(several, "_sha", "left").withColumn("first", F.when(~F.col(id_col).eqNullSafe(F.col("_first")), F.col("_first"))).drop("_sha", "_first")
 
 
+def _write(ready: DataFrame, size: Column, run, path: str) -> None:
+    """Lines that run makes of ready, to files of bounded bytes: rows from LARGE bytes on go to files of few records."""
+    parts = [(size < LARGE, FILE_BYTES // LARGE, "error")]
+    if (ready.agg(F.max(size)).first()[0] or 0) >= LARGE:
+        parts.append((size >= LARGE, FILE_BYTES >> 27, "append"))
+    for chosen, records, mode in parts:
+        ready.where(chosen).mapInArrow(run, "value string").write.mode(mode).option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
-    """Each row becomes an ARC record (version 1 or 2 by its URL's checksum), is converted and written to gzipped WARC
-    files under path by Spark's own committed writer.
+    """Rows become ARC archives (version 1 or 2 by their URLs' checksum), a block of rows at a time; these are parsed, converted
+    and written to gzipped WARC files under path by Spark's own committed writer.
 
     Null payloads are empty, null URLs '-'. Of rows with equal payloads of min_bytes or more, those of the smallest id
-    are responses and the others revisits of it; null ids are larger than all others.
+    are responses and the others revisits of it; null ids are larger than all others. Other columns aren't read.
     """
-    rows = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[payload_col].cast("string"), F.lit("")).alias("payload"))
+    rows = pages.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(url_col)).cast("string").alias("url"), F.coalesce(F.col(quoted(payload_col)).cast("string"), F.lit("")).alias("payload"))
     marked = first_of_equal_payloads(rows, "id", F.col("payload"), min_bytes)
     ready = marked.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("row"), "url", "payload", F.col("first").cast("string").alias("first"), (F.crc32(F.coalesce("url", F.lit(""))) % 2 + 1).cast("int").alias("version"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data in ts.blocks(batches, "payload"):
+            row, url, first, version = (rows.column(c).to_pylist() for c in ("row", "url", "first", "version"))
             out = []
-            for payload, row, url, first, version in zip(data, *[rows.column(c).to_pylist() for c in ("row", "url", "first", "version")], strict=True):
-                out += [warc_record(arc, row, first) for arc in arc_records(arc_file(url, http_block(payload), version))]
+            for v in ARC_FIELDS:
+                own = [k for k in range(len(data)) if version[k] == v]
+                if own:
+                    archive = arc_file([(url[k], http_block(data[k])) for k in own], v)
+                    out += [warc_record(arc, row[k], first[k]) for arc, k in zip(arc_records(archive), own, strict=True)]
             yield ts.record(value=pa.array(out, pa.string()))
 
-    ready.mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 50_000).text(path)
+    _write(ready, F.octet_length("payload"), run, path)
+
+
+def read_arcs(spark: SparkSession, path: str) -> DataFrame:
+    """(row, url, ip, date, block, and the payload's digest and size) of each record of the ARC files under path, of either version, plain or gzipped (one member
+    or one a record); row is the file's path and the record's number. A file that doesn't follow its version raises
+    ValueError. A file is held whole in its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                records = arc_records(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
+                for k, r in enumerate(records):
+                    body = split_http(r["block"])[1]
+                    yield pa.RecordBatch.from_pylist([{"row": f"{name}#{k}", "digest": digest(body), "size": len(body)} | {c: r[c] for c in ("url", "ip", "date", "block")}], _ARC_ROWS)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "row string, url string, ip string, date string, block binary, digest string, size long")
+
+
+_ARC_ROWS = pa.schema([("row", pa.string()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("block", pa.binary()), ("digest", pa.string()), ("size", pa.int64())])
+
+
+def convert_arcs(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
+    """ARC files to WARC files: of records with equal payloads of min_bytes or more that of the smallest row is a response,
+    others revisit it."""
+    known = materialize(read_arcs(spark, arc_path), "arcs")
+    several = known.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    ready = known.join(several, "digest", "left").withColumn("first", F.when((F.col("size") >= min_bytes) & (F.col("least") != F.col("row")), F.col("least")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield ts.record(value=pa.array([warc_record(r, r["row"], r["first"]) for r in batch.to_pylist()], pa.string()))
+
+    _write(ready.select("row", "url", "ip", "date", "block", "first"), F.octet_length("block"), run, warc_path)
+
+
+def _described(f: dict, block: bytes, with_block: bool) -> dict:
+    """A record's row of READ_SCHEMA."""
+    kind, head, body = f.get("WARC-Type"), b"", block
+    if f.get("Content-Type", "").startswith("application/http"):
+        head, body = split_http(block)
+    declared = head.rpartition(b"Content-Length: ")[2].split(b"\r\n")[0]
+    given = f.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
+    n, sha, sound = len(body), digest(body), None
+    if kind == "revisit":  # its payload is the response's
+        n, sha = int(declared) if declared.isdigit() else None, given
+    else:
+        sound = len(block) == int(f["Content-Length"]) and given in (None, sha) and (not declared.isdigit() or int(declared) == n)
+    return {"row": f.get("Source-Row") or None, "type": kind, "record_id": f.get("WARC-Record-ID"), "refers_to": f.get("Refers-To-Row"), "url": f.get("WARC-Target-URI"), "date": f.get("WARC-Date"), "payload_digest": sha, "payload_bytes": n, "sound": sound, "block": block if with_block else None}
 
 
 def read_archives(spark: SparkSession, path: str, with_block: bool = True) -> DataFrame:
     """READ_SCHEMA's columns of each record of the WARC files under path; block is null unless with_block.
 
-    payload_bytes is of the full payload, also for revisits, whose kept HTTP header declares it.
+    payload_digest and payload_bytes are measured on the block; a revisit's are those that it declares of the response's
+    payload, until check_revisits compares them. sound: length, digest and HTTP length are as declared; null for revisits.
+    Records of other writers have no row. What can't be read any further, a cut or foreign file, is one record of type unreadable.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row", pa.string()), ("type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("block", pa.binary())])
+        schema = pa.schema([("row", pa.string()), ("type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("sound", pa.bool_()), ("block", pa.binary())])
         for batch in batches:
             for content in batch.column("content"):
                 out, size = [], 0
-                for f, block in warc_records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())))):
-                    declared = int(split_http(block)[0].rpartition(b"Content-Length: ")[2].split(b"\r\n")[0])
-                    out.append({"row": f["Source-Row"] or None, "type": f["WARC-Type"], "record_id": f["WARC-Record-ID"], "refers_to": f.get("Refers-To-Row"), "url": f["WARC-Target-URI"], "date": f["WARC-Date"], "payload_digest": f["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": declared, "block": block if with_block else None})
+                records = warc_records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))))
+                while True:
+                    try:
+                        f, block = next(records)
+                        out.append(_described(f, block, with_block))
+                    except StopIteration:
+                        break
+                    except (EOFError, OSError, ValueError, KeyError, zlib.error):
+                        out.append({"type": "unreadable", "sound": False})
+                        break
                     size += len(block) if with_block else 100
                     if size > 1 << 22:
                         yield pa.RecordBatch.from_pylist(out, schema)
@@ -170,3 +252,18 @@ def read_archives(spark: SparkSession, path: str, with_block: bool = True) -> Da
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(run, READ_SCHEMA)
+
+
+def check_revisits(records: DataFrame) -> DataFrame:
+    """records of read_archives with sound filled in for revisits: a sound response of the row that they refer to has the digest
+    and the bytes that they declare. Equal declarations are compared once, so very many revisits of one response don't meet it."""
+    records = materialize(records, "records")
+    keys = ["refers_to", "payload_digest", "payload_bytes"]
+    declared = records.where("type = 'revisit'").groupBy(*keys).agg(F.count("*").alias("n"))
+    given = records.where("type = 'response' AND sound").select(F.col("row").alias("refers_to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"))
+    same = F.max((F.col("d").eqNullSafe(F.col("payload_digest")) & F.col("b").eqNullSafe(F.col("payload_bytes"))).cast("int"))
+    wrong = declared.join(given, "refers_to", "left").groupBy(*keys).agg(same.alias("same")).where("same = 0").select(*[F.col(k).alias(f"w_{k}") for k in keys], F.lit(True).alias("wrong"))
+    wrong = materialize(wrong, "wrong")
+    on = [F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in keys]
+    out = records.join(wrong, on[0] & on[1] & on[2], "left")
+    return out.withColumn("sound", F.when(F.col("type") == "revisit", F.col("wrong").isNull()).otherwise(F.col("sound"))).select(*records.columns)
