@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nightlights.llm import textscan as ts
+from nightlights.llm.tables import quoted, row_key
 
 LENGTH = 50
 K = 24
@@ -30,6 +32,8 @@ W = LENGTH - K + 1
 ROOM = 80
 #: An anchor met in more blocks and documents than this goes out string by string, so that buckets of strings share it.
 HOT = 256
+#: Bytes of texts in a block, and of those whose anchors share a bucket, about, wherever there are more than shuffle partitions hold.
+BLOCK_BYTES = 64 << 20
 _POSITION = np.uint64((1 << 24) - 1)
 _SEGMENT = 1 << 23
 
@@ -347,22 +351,17 @@ def compare(room: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray
 # Spark
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
-    """docs, all columns, with _kept binary (the text's bytes that stay; with whole_characters without the rest of
-    characters that a cut splits) and _spans array<struct<start, length>> (the
-    maximal runs cut, in bytes of the text).
-
-    A byte is cut if a string of LENGTH bytes over it also starts in a document with a smaller id. Ids are integers; rows
-    with a null id neither lose bytes nor cause it, repeated rows of one id don't cut each other, null texts are empty. Columns of docs with the added names are replaced.
-    """
-    docs = docs.drop("_block", "_kept", "_spans")
+def _cut(docs: DataFrame, id_col: str, text_col: str, whole_characters: bool) -> DataFrame:
+    """c0, c1, ... (the columns of docs), kept and spans."""
+    id_name, text_name = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks, buckets = 2 * n, n
-    dealt = docs.withColumn("_block", F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int")).repartition(n, "_block")
+    size = docs.agg(F.sum(F.octet_length(F.col(quoted(text_col)).cast("string")).cast("long"))).first()[0] or 0
+    blocks, buckets = max(2 * n, -(-size // BLOCK_BYTES)), max(n, -(-size // BLOCK_BYTES))
+    dealt = docs.select(F.pmod(row_key(docs)[0], F.lit(blocks)).cast("int").alias("block"), *[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)]).repartition(max(n, -(-blocks // 2)), "block")
 
     def send(table: pa.Table) -> pa.Table:
-        out = Block(table, id_col, text_col, buckets).anchors()
-        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "block": pa.array([table.column("_block")[0].as_py()] * len(out), pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
+        out = Block(table, id_name, text_name, buckets).anchors()
+        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(out), pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     def judge(table: pa.Table) -> pa.Table:
         answers = repeated_anchors(table.column("blob").to_pylist())
@@ -371,10 +370,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         if len(docs):
-            block = Block(docs, id_col, text_col, buckets)
+            block = Block(docs, id_name, text_name, buckets)
             block.candidates(_answers(answers, 1))
             out = block.surroundings()
-        number = docs.column("_block")[0].as_py() if len(docs) else None
+        number = docs.column("block")[0].as_py() if len(docs) else None
         return pa.Table.from_pylist([x | {"block": number} for x in out], pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("room", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("doc", pa.binary())]))
 
     def sort(table: pa.Table) -> pa.Table:
@@ -384,12 +383,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cuts = np.cumsum([len(x) for x in low])[:-1]
         return pa.table({"block": table.column("block"), "step": pa.array([2] * len(rows), pa.int32()), "bucket": table.column("bucket"), "blob": pa.array([x.tobytes() for x in np.split(mask, cuts)], pa.binary())})
 
-    fields = [f.name for f in docs.schema]
+    fields = dealt.columns[1:]
 
     def cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
         kept, spans = [], []
         if len(docs):
-            block = Block(docs, id_col, text_col, buckets)
+            block = Block(docs, id_name, text_name, buckets)
             block.candidates(_answers(answers, 1))
             for x, gone in zip(block.data, block.covered(_answers(answers, 2)), strict=True):
                 edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
@@ -397,22 +396,37 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left = np.frombuffer(x, np.uint8)[~gone].tobytes() if len(edge) else x
                 kept.append(left.decode("utf-8", "ignore").encode() if whole_characters and len(edge) else left)
         out = docs.select(fields) if len(docs) else docs.select([c for c in fields if c in docs.column_names])
-        return out.append_column("_kept", pa.array(kept, pa.binary())).append_column("_spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))))
+        return out.append_column("kept", pa.array(kept, pa.binary())).append_column("spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))))
 
     answer = "block int, step int, bucket int, blob binary"
-    first = dealt.groupBy("_block").applyInArrow(send, "bucket int, block int, blob binary").groupBy("bucket").applyInArrow(judge, answer)
-    second = dealt.groupBy("_block").cogroup(first.groupBy("block")).applyInArrow(ask, "bucket int, block int, room binary, low binary, high binary, doc binary").groupBy("bucket").applyInArrow(sort, answer)
+    first = dealt.groupBy("block").applyInArrow(send, "bucket int, block int, blob binary").groupBy("bucket").applyInArrow(judge, answer)
+    second = dealt.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask, "bucket int, block int, room binary, low binary, high binary, doc binary").groupBy("bucket").applyInArrow(sort, answer)
     both = first.unionByName(second)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return dealt.groupBy("_block").cogroup(both.groupBy("block")).applyInArrow(cut, f"{kinds}, _kept binary, _spans array<struct<start:bigint,length:bigint>>")
+    made = T.StructType(dealt.schema.fields[1:]).add("kept", "binary").add("spans", T.ArrayType(T.StructType().add("start", "long").add("length", "long")))
+    return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cut, made)
 
 
 def _answers(table: pa.Table, step: int) -> dict[int, bytes]:
     return {b: x for s, b, x in zip(table.column("step").to_pylist(), table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True) if s == step} if len(table) else {}
 
 
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
+    """docs, all columns, with _kept binary (the text's bytes that stay; with whole_characters without the rest of
+    characters that a cut splits) and _spans array<struct<start, length>> (the
+    maximal runs cut, in bytes of the text).
+
+    A byte is cut if a string of LENGTH bytes over it also starts in a document with a smaller id. Ids are integers; rows
+    with a null id neither lose bytes nor cause it, repeated rows of one id don't cut each other, null texts are empty.
+    Columns of docs with the added names are replaced; others may have any name and type. Numbers of blocks and buckets
+    follow the texts' bytes, so a task's share doesn't grow with the table.
+    """
+    docs = docs.drop("_kept", "_spans")
+    found = _cut(docs, id_col, text_col, whole_characters)
+    return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.col("kept").alias("_kept"), F.col("spans").alias("_spans"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with the text cut; characters of which bytes are left over are dropped whole. Null stays null."""
-    found = repeated_spans(docs, id_col, text_col, whole_characters=True)
-    left = F.when(F.size("_spans") == 0, F.col(text_col)).otherwise(F.col("_kept").cast("string"))
-    return found.withColumn(text_col, left).select(*docs.columns)
+    """docs, all columns, with the text cut; characters of which bytes are left over are dropped whole. Null stays null, and
+    a text without repeats stays as it is. Columns may have any name and type."""
+    found = _cut(docs, id_col, text_col, whole_characters=True)
+    return found.select(*[(F.when(F.size("spans") == 0, F.col(f"c{k}")).otherwise(F.col("kept").cast("string")) if c == text_col else F.col(f"c{k}")).alias(c) for k, c in enumerate(docs.columns)])
