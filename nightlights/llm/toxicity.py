@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightlights.llm import textscan as ts
 from nightlights.llm.langid import LETTER
+from nightlights.llm.tables import quoted
 
-#: Labelled rows learned from, of each label, about; those of the least id hashes. Their texts are taken whole.
+#: Labelled rows learned from, of each label, at most; those of the least id hashes. Their texts are taken whole.
 ROWS_PER_LABEL = 4000
 #: Terms with weights: those that tell the labels apart best among the sampled rows that have them.
 TERMS = 4096
@@ -105,16 +106,20 @@ def fit(text: np.ndarray, h: np.ndarray, label: np.ndarray, weight: np.ndarray,
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 0, folds: int = 5) -> Machine:
-    """Fits on about ROWS_PER_LABEL rows of each label outside the fold crc32(id) % folds == fold, weighted to the labels'
-    own shares and TOXIC_WEIGHT. Without labelled rows every score is near 0."""
+    """Fits on ROWS_PER_LABEL rows at most of each label outside the fold crc32(id) % folds == fold, those of the least hashes,
+    weighted to the labels' own shares and TOXIC_WEIGHT. Without labelled rows every score is near 0. Ids are integers. An id
+    with both labels is learned from with each; of several texts of one id, the least is; labels without a document and
+    documents without a label are left out; only the named columns are read."""
     id_ = F.col("id")
-    known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where(id_.isNotNull() & F.col("label").isin(0, 1) & (F.crc32(id_.cast("string")) % folds != fold)).distinct()
+    known = labels.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(label_col)).cast("int").alias("label")).where(id_.isNotNull() & F.col("label").isin(0, 1) & (F.crc32(id_.cast("string")) % folds != fold)).distinct()
+    known = known.withColumn("place", F.xxhash64(F.lit("toxicity"), id_) / 2.0**64 + 0.5)
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Machine(np.zeros(1, np.uint64), -7.0, np.zeros(1), np.zeros((1, FACTORS)))
     share = {k: min(1.0, ROWS_PER_LABEL / n) for k, n in counts.items()}
-    part = F.coalesce(*[F.when(F.col("label") == k, F.lit(s)) for k, s in share.items()])
-    chosen = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), id_), F.lit(1_000_000)) < part * 1_000_000)
+    few = known.where(F.col("place") <= F.coalesce(*[F.when(F.col("label") == k, F.lit(min(1.0, 2 * s))) for k, s in share.items()]))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("place", "id"))
+    chosen = few.withColumn("k", place).where(F.col("k") <= ROWS_PER_LABEL).select("id", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data in ts.blocks(batches):
@@ -122,10 +127,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             cut = np.searchsorted(text, np.arange(len(data) + 1))
             yield ts.record(id=rows.column("id"), label=rows.column("label"), terms=pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64))))
 
-    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    sample = F.broadcast(chosen.withColumn("id", id_.cast("long")))  # about 2 * ROWS_PER_LABEL rows of an id and a label, however large the tables
-    rows = texts.join(sample, "id").mapInArrow(run, "id long, label int, terms array<long>").toArrow()
-    rows = rows.sort_by("id")
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    sample = F.broadcast(chosen)  # 2 * ROWS_PER_LABEL rows of an id and a label at most, however large the tables
+    one = texts.join(sample, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    rows = one.mapInArrow(run, "id long, label int, terms array<long>").toArrow()
+    rows = rows.sort_by([("id", "ascending"), ("label", "ascending")])
     lists = rows.column("terms").to_pylist()
     if not lists:
         return Machine(np.zeros(1, np.uint64), -7.0, np.zeros(1), np.zeros((1, FACTORS)))
@@ -145,5 +151,5 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
             s = shared.value.score(data)
             yield ts.record(id=rows.column("id"), score=s, predicted=pa.array(s >= 0.5).cast(pa.int32()))
 
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    source = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
