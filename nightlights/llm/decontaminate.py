@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -10,8 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nightlights.llm import textscan as ts
+from nightlights.llm.tables import quoted
+from nightlights.runtime import materialize
 
 WINDOW = 10
 #: Bytes of item texts held by a task at once. A larger benchmark is taken in blocks, one after the other, each within this bound.
@@ -100,12 +102,21 @@ class Windows:
 
 
 def _blocks_of_items(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
-    rows = items.select(F.coalesce(items[id_col].cast("string"), F.lit("null")).alias("k"), F.coalesce(items[text_col].cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES) or 1
-    for i in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("k", "text"), F.lit(n)) == i)
-        yield [(r.k, r.text.encode()) for r in part.collect()]
+    """Distinct items, in blocks of BLOCK_BYTES at most or of one item. A block that is too large is halved by one more bit of
+    the items' hashes until it fits; nothing is collected before its size is known."""
+    rows = items.select(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("null")).alias("k"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text")).distinct()
+    rows = materialize(rows.withColumn("h", F.xxhash64("k", "text")), "items")
+    size = F.sum(F.octet_length("text") + F.octet_length("k"))
+    pending, given = [(1, 0)], False
+    while pending:
+        parts, rest = pending.pop()
+        part = rows.where(F.pmod("h", F.lit(parts)) == rest)
+        n, total = part.agg(F.count("*"), size).first()
+        if n > 1 and total > BLOCK_BYTES and parts < 1 << 62:
+            pending += [(2 * parts, rest + parts), (2 * parts, rest)]
+        elif n or not (given or pending):
+            given = True
+            yield [(r.k, r.text.encode()) for r in part.collect()]
 
 
 def _count_words(docs: DataFrame, windows: Windows) -> np.ndarray:
@@ -139,16 +150,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of docs without a hit word, all columns."""
+    """The rows of docs without a hit word, all columns, of any name and type. Rows with null or empty texts stay, repeated rows all
+    stay or all go."""
     found = _scan(docs, benchmark, docs.columns, text_col, item_id_col, item_text_col, window)
     return found.where("n_hit = 0").select(*[F.col(f"keep_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def _scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str, item_id_col: str, item_text_col: str, window: int) -> DataFrame:
     """keep_0, keep_1, ... (the columns keep), text, spans, items, n_words, n_hit: no shuffle of docs, one pass for each block of items."""
-    source = docs.select(docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"keep_{k}") for k, c in enumerate(keep)])
+    source = docs.select(F.col(quoted(text_col)).cast("string").alias("text"), *[F.col(quoted(c)).alias(f"keep_{k}") for k, c in enumerate(keep)])
     carried = source.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    made = T.StructType(list(source.schema.fields)).add("spans", T.ArrayType(T.StructType().add("start", "integer").add("length", "integer"))).add("items", T.ArrayType(T.StringType())).add("n_words", "long").add("n_hit", "long")
     chain = source.withColumns({"spans": F.array().cast("array<struct<start:int,length:int>>"), "items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long")})
     for items in _blocks_of_items(benchmark, item_id_col, item_text_col):
         windows = Windows(items, window)
@@ -167,9 +179,6 @@ def _scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str,
                 n_hit = [int(ts.covered(np.array([s["start"] for s in x]), np.array([s["length"] for s in x]), int(n)).sum()) if x else 0 for x, n in zip(spans, np.diff(t.cut).tolist(), strict=True)]
                 yield ts.record(**{c: rows.column(c) for c in carried}, spans=pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), items=pa.array([sorted(x) for x in items], pa.list_(pa.string())), n_words=np.diff(t.cut).astype(np.int64), n_hit=pa.array(n_hit, pa.int64()))
 
-        chain = chain.mapInArrow(run, f"{kinds}, spans array<struct<start:int,length:int>>, items array<string>, n_words long, n_hit long")
+        chain = chain.mapInArrow(run, made)
     return chain
 
-
-def items_digest(items) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

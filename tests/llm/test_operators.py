@@ -121,6 +121,33 @@ def test_fingerprints_and_groups(docs, rows, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
+def test_strings_keep_odd_columns(odd):
+    out = suffix.repeated_spans(odd)
+    assert out.columns == [*odd.columns, "_kept", "_spans"]
+    got = {r._block: r for r in out.collect()}
+    assert [len(got[k]._spans) for k in (7, 8, 9, 1)] == [0, 1, 0, 0] and (got[7]["a.b"], got[7].m, got[9].m) == ("p", {"a": 1}, {})
+    left = {r._block: r for r in suffix.remove_repeats(odd).collect()}
+    assert left[8].text == "x " and left[1].text is None and left[1].m == {"b": None} and suffix.remove_repeats(odd).schema == odd.schema
+    assert suffix.remove_repeats(odd.where("false")).count() == 0
+
+
+def test_contamination_keeps_odd_columns(spark, odd):
+    item = odd.where("doc_id = 1").selectExpr("'i' AS item_id", "text", "1 AS `x.y`")
+    left = decontaminate.drop_contaminated(odd, item)
+    assert left.schema == odd.schema and [(r["a.b"], r.m) for r in left.collect()] == [("r", {"b": None})]
+    assert {r.doc_id for r in decontaminate.contamination(odd, item).where("n_hit > 0").collect()} == {1, 2, None}
+
+
+def test_blocks_of_items_keep_to_their_bound(spark, monkeypatch):
+    """Very many copies of one item are one; blocks are halved until they fit."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    items = [("same", "a b c d e f g")] * 3000 + [(f"i{k}", f"word{k} " * 10) for k in range(20)] + [("long", "z " * 500), (None, None)]
+    blocks = list(decontaminate._blocks_of_items(spark.createDataFrame(items, "item_id string, text string"), "item_id", "text"))
+    assert sorted(k for b in blocks for k, _ in b) == sorted({k or "null" for k, _ in items})
+    assert all(len(b) == 1 or sum(len(k) + len(t) for k, t in b) <= 200 for b in blocks) and len(blocks) > 5
+    assert list(decontaminate._blocks_of_items(spark.createDataFrame([], "item_id string, text string"), "item_id", "text")) == [[]]
+
+
 def test_one_of_each_group_stays(docs, rows):
     """Null ids come last; repeated rows and rows without words leave one."""
     kept = simhash.keep_one_of_each_group(docs)
@@ -229,10 +256,39 @@ def test_quality(docs, rows, empty):
 def test_arc_versions():
     for version in (1, 2):
         block = warc.http_block("<p>é</p>".encode())
-        found = list(warc.arc_records(warc.arc_file("http://x.example/a b", block, version)))
-        assert len(found) == 1 and found[0]["block"] == block and found[0]["url"] == "http://x.example/a%20b"
+        found = list(warc.arc_records(warc.arc_file([("http://x.example/a b", block), ("u", b""), (None, b"a\nb 1 2 3 4\n")], version)))
+        assert [x["block"] for x in found] == [block, b"", b"a\nb 1 2 3 4\n"] and [x["url"] for x in found] == ["http://x.example/a%20b", "u", "-"]
     with pytest.raises(ValueError):
-        list(warc.arc_records(warc.arc_file("u", b"x", 1).replace(b"1 0 nightlights", b"9 0 nightlights")))
+        list(warc.arc_records(warc.arc_file([("u", b"x")], 1).replace(b"1 0 nightlights", b"9 0 nightlights")))
+
+
+def test_arc_files_become_warc_files(spark, tmp_path):
+    """Archives of several records, of both versions, plain and gzipped."""
+    (tmp_path / "in").mkdir()
+    blocks = [warc.http_block(x.encode()) for x in ("one", "two", "one", "é" * 300)]
+    (tmp_path / "in" / "a.arc").write_bytes(warc.arc_file([("http://a/", blocks[0]), ("http://b/", blocks[1])], 1, "20010203040506"))
+    (tmp_path / "in" / "b.arc.gz").write_bytes(gzip.compress(warc.arc_file([("http://c/", blocks[2]), ("http://d/", blocks[3])], 2)))
+    warc.convert_arcs(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    got = {r.url: r for r in warc.check_revisits(warc.read_archives(spark, str(tmp_path / "out"))).collect()}
+    assert {k: (r.type, r.payload_bytes, r.sound) for k, r in got.items()} == {"http://a/": ("response", 3, True), "http://b/": ("response", 3, True), "http://c/": ("revisit", 3, True), "http://d/": ("response", 600, True)}
+    assert got["http://c/"].refers_to == got["http://a/"].row and got["http://a/"].date == "2001-02-03T04:05:06Z" and got["http://b/"].block == blocks[1]
+
+
+def test_damaged_archives_are_noticed(spark, tmp_path):
+    pages = [(1, "u1", "same text"), (2, "u2", "same text"), (3, "u3", "other text"), (4, "u4", "x" * 70_000)]
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    files = sorted((tmp_path / "w").glob("*.gz"))
+    assert len(files) == 2  # the large payload has a file of its own
+    (tmp_path / "bad").mkdir()
+    for k, f in enumerate(files):
+        raw = gzip.decompress(f.read_bytes())
+        (tmp_path / "bad" / f"{k}.gz").write_bytes(gzip.compress(raw.replace(b"\r\n\r\nsame text", b"\r\n\r\nSame text")))
+    (tmp_path / "bad" / "cut.gz").write_bytes(files[0].read_bytes()[:-20])
+    (tmp_path / "bad" / "foreign.gz").write_bytes(gzip.compress(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nnonsense"))
+    got = warc.check_revisits(warc.read_archives(spark, str(tmp_path / "bad"), with_block=False)).collect()
+    whole = {(r.row, r.sound) for r in got if r.type in ("response", "revisit")}
+    assert {("1", False), ("2", False), ("3", True), ("4", True)} <= whole
+    assert sum(r.type == "unreadable" for r in got) == 2 and sum(r.type == "warcinfo" and r.sound for r in got) == 1
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -316,3 +372,6 @@ def test_toxicity_learns_pairs(spark, empty):
     assert np.mean([got[k].predicted == y for k, _, y in rows]) > 0.97
     assert 0 <= got[9999].score <= 1 and got[9999].score == got[9998].score
     assert toxicity.score(empty, toxicity.learn(empty, labels.limit(0))).count() == 0
+    twice = docs.union(docs).withColumn("a.b", F.lit(1))
+    again = toxicity.learn(twice, labels.union(spark.createDataFrame([(k, 1, 0) for k in range(0, 40, 4)], labels.schema)))
+    assert toxicity.score(twice, again).count() == 2 * docs.count()

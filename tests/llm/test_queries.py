@@ -70,3 +70,25 @@ def test_pipeline(spark, sf_dir):
     assert now.columns == p.COLUMNS
     out = p.STAGES[4][1](spark, now, sf_dir)
     assert out.count() == now.count() and {r.doc_id for r in p.run(spark, sf_dir).collect()} == {r.doc_id for r in out.collect()}
+
+
+def test_held_out_toxicity(spark, sf_dir):
+    """Every document has a score; on the fold that nothing is learned from, toxic ones rank above the others."""
+    big = sf_dir.replace("sf0.001", "sf0.1")
+    got = queries.op5_toxicity(spark, big)
+    labels = table(spark, big, "labels").select("doc_id", "toxic")
+    rows = got.join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").select("score", "toxic").collect()
+    yes, no = ([r.score for r in rows if r.toxic == k] for k in (1, 0))
+    assert len(yes) > 30 and sum((a > b) + (a == b) / 2 for a in yes for b in no) / (len(yes) * len(no)) > 0.95
+    assert got.count() == table(spark, big, "documents").count()
+    assert got.where("score < 0 OR score > 1 OR predicted <> CAST(score >= 0.5 AS INT)").count() == 0
+
+
+def test_op1(spark, sf_dir, texts):
+    """The query's digests against the tokenizer library."""
+    import base64
+
+    path, pattern = queries.tokenizer()
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb").read().splitlines() if line)}
+    want = [(i, len(x := plain.bpe(t, ranks, pattern)) // 4, plain.sha(x), plain.sha((t or "").encode())) for i, t in texts]
+    assert sorted(map(tuple, queries.op1_byte_bpe(spark, sf_dir).collect())) == sorted(want)
