@@ -32,7 +32,8 @@ def _attachment(kind: Column) -> Column:
 
 def flatten_parts(parts: Column) -> tuple[Column, Column, Column]:
     """(text, attachments, expanded tokens) of typed parts: texts stand as they are, escaped; another part becomes the
-    placeholder <|kind:k|>, k being its place among the attachments, which are listed with reference and tokens."""
+    placeholder <|kind:k|>, k being its place among the attachments, which are listed with reference and tokens. Any kind but
+    text is an attachment; one that PART_TOKENS doesn't name counts as one token unless it says otherwise. A null kind is text."""
     whole = F.coalesce(parts, F.array().cast(PARTS))
     tokens = lambda p: F.coalesce(p["tokens"], *[F.when(p["kind"] == k, n) for k, n in PART_TOKENS.items()], F.lit(1))
     attachments = F.transform(F.filter(whole, lambda p: _attachment(p["kind"])), lambda p, k: F.struct(k.alias("k"), p["kind"].alias("kind"), p["ref"].alias("ref"), tokens(p).alias("tokens")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import struct
@@ -120,6 +121,11 @@ def contamination(docs, items):
     return out
 
 
+def ranks(path):
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f.read().splitlines() if line)}
+
+
 def bpe(text, ranks, pattern):
     import tiktoken
 

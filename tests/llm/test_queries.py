@@ -68,8 +68,39 @@ def test_pipeline(spark, sf_dir):
     now = materialize(p.STAGES[3][1](spark, now, sf_dir))
     assert {r.doc_id for r in now.collect()} == {i for i, _, n, _ in plain.contamination(rows, items) if not n}
     assert now.columns == p.COLUMNS
-    out = p.STAGES[4][1](spark, now, sf_dir)
-    assert out.count() == now.count() and {r.doc_id for r in p.run(spark, sf_dir).collect()} == {r.doc_id for r in out.collect()}
+    path, pattern = queries.tokenizer()
+    ranks = plain.ranks(path)
+    want = [(r.doc_id, len(x := plain.bpe(r.text, ranks, pattern)) // 4, plain.sha(x), plain.sha((r.text or "").encode())) for r in now.collect()]
+    digests = lambda df: sorted(map(tuple, df.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()))
+    assert digests(p.STAGES[4][1](spark, now, sf_dir)) == digests(p.run(spark, sf_dir)) == sorted(want)
+
+
+def test_pipeline_edges(spark, sf_dir, tmp_path):
+    """Null ids and texts, empty and repeated rows, ties, a long text, further columns; and tables without rows."""
+    import random
+
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(n))
+    base, other, item = prose(120), prose(80), prose(30)
+    near = base.replace(base.split()[60], "changed", 1)
+    rows = [(1, base), (1, base), (2, near), (None, base), (None, prose(70)), (3, None), (4, ""), (5, " \n"), (6, "too short"), (7, "x " * 60), (8, prose(60) + " " + other), (9, prose(60) + " " + other), (10, prose(60) + " " + item), (11, prose(30_000)), (12, prose(51))]
+    docs = spark.createDataFrame([(i, t, "en", None, 0, "u", 5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row_hash string, `a.b` int")
+    for name, of in (("some", docs), ("none", docs.where("false"))):
+        of.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([("i", item)], "item_id string, text string").where("item_id = 'i'" if name == "some" else "false").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    now, kept = docs, []
+    for _, stage in p.STAGES:
+        now = stage(spark, now, str(tmp_path / "some"))
+        kept.append(sorted((r.doc_id for r in now.collect()), key=repr))
+    assert kept[0] == sorted([1, 1, 2, None, None, 8, 9, 10, 11, 12], key=repr)
+    assert kept[1] == kept[2] == sorted([1, None, 8, 9, 10, 11, 12], key=repr)
+    assert kept[3] == kept[4] == sorted([1, None, 8, 9, 11, 12], key=repr)
+    assert sorted((r.doc_id for r in p.run(spark, str(tmp_path / "some")).collect()), key=repr) == kept[4]
+    cut = {r.doc_id: r for r in p.repeated_strings(spark, p.near_duplicates(spark, p.quality_rules(spark, docs, ""), ""), "").collect()}
+    assert other in cut[8].text and other not in cut[9].text and cut[9].n_chars == len(cut[9].text)
+    assert p.run(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_held_out_toxicity(spark, sf_dir):
@@ -86,9 +117,7 @@ def test_held_out_toxicity(spark, sf_dir):
 
 def test_op1(spark, sf_dir, texts):
     """The query's digests against the tokenizer library."""
-    import base64
-
     path, pattern = queries.tokenizer()
-    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb").read().splitlines() if line)}
+    ranks = plain.ranks(path)
     want = [(i, len(x := plain.bpe(t, ranks, pattern)) // 4, plain.sha(x), plain.sha((t or "").encode())) for i, t in texts]
     assert sorted(map(tuple, queries.op1_byte_bpe(spark, sf_dir).collect())) == sorted(want)
