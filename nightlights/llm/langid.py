@@ -17,6 +17,8 @@ from nightlights.llm.tables import quoted
 
 #: Rows to learn from, for each language, at most.
 ROWS_PER_LANGUAGE = 400
+#: Words of a piece of a chain.
+CHAIN = 64
 #: Texts to learn from for each code-switched one that is made of them, and the words of one of its pieces: from, below.
 SWITCHED, PIECE = 4, (4, 40)
 BITS = 17
@@ -55,27 +57,59 @@ class Features:
         return out
 
 
-def forward_backward(emission: np.ndarray, transition: np.ndarray, cut: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def forward_backward(emission: np.ndarray, transition: np.ndarray, cut: np.ndarray, pairs: bool = True, chain: int = CHAIN) -> tuple[np.ndarray, np.ndarray]:
     """(each word's probabilities of the languages, expected numbers of transitions if pairs). Text k's words are those from
-    cut[k] to cut[k + 1]; a text is one chain, however long, and all texts take their next step together."""
+    cut[k] to cut[k + 1], one chain however long.
+
+    Pieces of chain words take their steps together. What a text's earlier and later pieces mean for a piece comes from
+    products of each piece's matrices, so the pieces don't change the result. With many languages these products cost more
+    than steps, and texts are pieces as a whole.
+    """
     labels = emission.shape[1]
     if not len(emission):
         return np.zeros((0, labels)), np.zeros((labels, labels))
     e, move = np.exp(emission - emission.max(1, keepdims=True)), np.exp(transition - transition.max())
     n = np.diff(cut)
-    order = np.argsort(-n, kind="stable")
-    first, n = cut[order], n[order]
-    active = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # texts with a word at each place; the longest come first
-    alpha, beta = np.empty_like(e), np.ones_like(e)
-    now = None
-    for t, k in enumerate(active.tolist()):
+    chain = chain if labels <= 16 else int(n.max())
+    many = -(-n // chain)
+    text = np.repeat(np.arange(len(n)), many)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    size = np.minimum(chain, n[text] - chain * place)
+    order = np.argsort(-size, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    place, size, first = place[order], size[order], (cut[text] + chain * place)[order]
+    active = np.searchsorted(-size, -np.arange(int(size[0])), "left").tolist()  # pieces with a word at each place; the longest come first
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    before, after = np.ones((len(first), labels)), np.ones((len(first), labels))
+    if place.any():
+        whole = np.broadcast_to(np.eye(labels), (len(first), labels, labels)).copy()
+        for t, k in enumerate(active):
+            step = whole[:k] @ move
+            if t == 0:
+                step[place[:k] == 0] = np.eye(labels)
+            step *= e[first[:k] + t][:, None, :]
+            whole[:k] = step / step.sum((1, 2), keepdims=True)
+        turns = np.argsort(place, kind="stable")
+        turns = np.split(turns, np.cumsum(np.bincount(place))[:-1])  # pieces by their place in the text
+        following = np.append(rank[1:], 0)[order]  # the next piece of the text, where there is one
+        for own in turns[1:]:
+            previous = rank[order[own] - 1]
+            now = (before[previous][:, None, :] @ whole[previous])[:, 0]
+            before[own] = now / now.sum(1, keepdims=True)
+        for own in reversed(turns[:-1]):
+            own = own[many[text[order[own]]] > place[own] + 1]
+            now = (whole[following[own]] @ after[following[own]][:, :, None])[:, :, 0]
+            after[own] = now / now.sum(1, keepdims=True)
+    now = np.where((place == 0)[:, None], 1.0, before @ move)
+    for t, k in enumerate(active):
         at = first[:k] + t
-        now = e[at] if t == 0 else (now[:k] @ move) * e[at]
+        now = (now[:k] if t == 0 else now[:k] @ move) * e[at]
         now /= now.sum(1, keepdims=True)
         alpha[at] = now
+    beta[first + size - 1] = after
     for t in range(len(active) - 2, -1, -1):
-        k = active[t + 1]
-        at = first[:k] + t + 1
+        at = first[: active[t + 1]] + t + 1
         now = (beta[at] * e[at]) @ move.T
         beta[at - 1] = now / now.sum(1, keepdims=True)
     out = alpha * beta
@@ -83,7 +117,7 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, cut: np.ndarr
     total = np.zeros((labels, labels))
     if pairs:
         later = np.ones(len(e), bool)
-        later[cut[:-1][np.diff(cut) > 0]] = False
+        later[cut[:-1][n > 0]] = False
         later = np.flatnonzero(later)
         step = max(1, (1 << 22) // (labels * labels))
         for k in range(0, len(later), step):

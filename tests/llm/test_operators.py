@@ -336,6 +336,11 @@ def test_forward_backward_against_enumeration():
     both, joint = langid.forward_backward(e[:2], t, np.array([0, 2]))
     assert np.allclose(p[:2], both) and np.allclose(p[7], np.exp(e[0]) / np.exp(e[0]).sum())
     p, pair = p[2:7], pair - joint
+    long, cuts = rng.normal(size=(400, 3)) * 4, np.array([0, 0, 130, 131, 270, 400, 400])
+    for x, y in zip(langid.forward_backward(long, t, cuts), langid.forward_backward(long, t, cuts, chain=400), strict=True):
+        assert np.allclose(x, y)
+    for x, y in zip(langid.forward_backward(long, t, cuts, chain=1), langid.forward_backward(long, t, cuts, chain=7), strict=True):
+        assert np.allclose(x, y)
     total, want, moves = 0.0, np.zeros((5, 3)), np.zeros((3, 3))
     for y in product(range(3), repeat=5):
         w = np.exp(sum(e[k, y[k]] for k in range(5)) + sum(t[a, b] for a, b in zip(y, y[1:], strict=False)))
