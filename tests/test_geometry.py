@@ -91,3 +91,21 @@ def test_forest_learns_a_threshold(spark):
     assert parts.where("train").count() == 300
     scores = learning.accuracy_f1(learning.classify(learning.train_forest(parts.where("train")), parts.where("NOT train"))).first()
     assert scores.accuracy > 0.9 and scores.f1 > 0.9
+
+
+def test_frames_are_registered_to_a_catalogue(spark):
+    """Blobs at the catalogue's places, moved as a whole, and one stray blob."""
+    import numpy as np
+    from nightlights.operators import registration
+
+    places = [(20, 90), (40, 10), (75, 30), (30, 60), (60, 75), (85, 85), (50, 45)]
+    catalog = spark.createDataFrame([(k, float(r), float(c)) for k, (r, c) in enumerate(places)], "k int, r double, c double")
+    rows = []
+    for frame, (dr, dc) in {"a": (3, -2), "b": (-4, 5)}.items():
+        image = np.zeros((110, 110))
+        for r, c in [*places, (100, 5)]:
+            image[r + dr - 1 : r + dr + 2, c + dc - 1 : c + dc + 2] = 200
+        rows += [(frame, int(r), int(c), float(image[r, c])) for r in range(110) for c in range(110)]
+    frames = spark.createDataFrame(rows, "frame string, r int, c int, lum double")
+    got = {r.frame: (round(r.dr, 3), round(r.dc, 3), round(r.theta, 3)) for r in registration.register_images(frames, 110, catalog, 5, 4, 30, buff=2, least_apart=50).collect()}
+    assert got == {"a": (-3.0, 2.0, 0.0), "b": (4.0, -5.0, 0.0)}
