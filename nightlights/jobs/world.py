@@ -109,7 +109,7 @@ _EX, _EY = slopes_sql("c - 12 // 2 + 0.001", "12 // 2 - r + 0.001")
 def _(v):
     pixels = v.spark.range(144).select(F.floor(F.col("id") / 12).cast("int").alias("r"), (F.col("id") % 12).cast("int").alias("c"))
     low = v.points.agg(F.min("x"), F.min("y")).first()
-    return op.line_of_sight(pixels, raster(v), CAMERA, 12, 12, (low[0], low[1]), 10, 110, 40)
+    return op.line_of_sight(pixels, raster(v), CAMERA, 12, 12, (low[0], low[1]), 10, 110, 40, tile=16, stretch=8, share=50)
 
 
 def _linear(row: tuple[float, float, float]) -> str:

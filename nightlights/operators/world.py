@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nightlights.functions.camera import Camera, at_distance
+from nightlights.functions.camera import Camera, ray_slopes
 from nightlights.operators.ranks import numbered
 from nightlights.runtime import materialize
 
@@ -95,22 +95,54 @@ def lots_of_places(places: DataFrame, lots: DataFrame, reach: float = 500) -> Da
     return places.join(best, ["x", "y"], "left").select("x", "y", F.coalesce("bbl", F.lit(0)).cast("long").alias("bbl"))
 
 
-def line_of_sight(pixels: DataFrame, raster: DataFrame, camera: Camera, nrow: int, ncol: int, corner: tuple[float, float], near: int, far: int, chunk: int = 4096) -> DataFrame:
+def line_of_sight(pixels: DataFrame, raster: DataFrame, camera: Camera, nrow: int, ncol: int, corner: tuple[float, float], near: int, far: int, chunk: int = 4096, tile: int = 256, stretch: int = 64, share: int = 100_000) -> DataFrame:
     """(r, c, x, y, dist): where each pixel's ray first runs below the raster, by horizontal distance; 0 where it never does.
 
-    Distances are tried in chunks, nearest first; a hit ray leaves, since horizontal distance grows along a ray. Rays in
-    flight are written down between chunks, so the plan doesn't grow.
+    Distances go up by one, in chunks, nearest first; a hit ray leaves, since horizontal distance grows along a ray. What
+    travels is a row for each stretch of a ray and square tile of the raster that it crosses; steps are taken inside the
+    tile in NumPy. A tile that more than share stretches cross, as near the camera, is copied for each share of them. Rays
+    in flight are written down between chunks, so the plan doesn't grow.
     """
-    rays, found = pixels.select("r", "c"), None
+    ex, ey = ray_slopes(camera, F.col("c") - ncol // 2 + 1e-3, nrow // 2 - F.col("r") + 1e-3)
+    rays = pixels.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).withColumns({"ex": ex, "ey": ey}).withColumn("norm", F.sqrt(1 + F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey")))
+    at = lambda d: (F.col("ex") * (-d / F.col("norm")) + camera.x, F.col("ey") * (-d / F.col("norm")) + camera.y)
+    heights = raster.select("r", "c", F.col("z").cast("double").alias("z"), F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc"))
+    x0, y0 = corner
+    cx, cy, cz = camera.x, camera.y, camera.z
+
+    def walk(key: tuple, rays: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        ground = np.full((tile, tile), -np.inf)
+        ground[cells["r"] - key[0] * tile, cells["c"] - key[1] * tile] = cells["z"]
+        out = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        for k in range(0, len(rays), 4096):
+            part = rays.iloc[k : k + 4096]
+            ex, ey, norm, first, last = (part[c].to_numpy()[:, None] for c in ("ex", "ey", "norm", "first", "last"))
+            d = first + np.arange(stretch)
+            dz = -d / norm
+            rr = np.rint(ey * dz + cy - y0).astype(np.int64) - key[0] * tile
+            cc = np.rint(ex * dz + cx - x0).astype(np.int64) - key[1] * tile
+            inside = (d <= last) & (rr >= 0) & (rr < tile) & (cc >= 0) & (cc < tile)
+            below = inside & (ground[np.where(inside, rr, 0), np.where(inside, cc, 0)] > dz + cz)
+            hit = np.flatnonzero(below.any(1))
+            out.append((part["r"].to_numpy()[hit], part["c"].to_numpy()[hit], d[hit, below[hit].argmax(1)].astype(np.int32)))
+        return pd.DataFrame(dict(zip(("r", "c", "d"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    found = None
     for low in range(near, far, chunk):
-        steps = rays.select("r", "c", F.explode(F.sequence(F.lit(low), F.lit(min(low + chunk, far) - 1))).alias("d"))
-        x, y, z = at_distance(camera, F.col("c") - ncol // 2, nrow // 2 - F.col("r"), F.col("d"))
-        on = steps.select("r", "c", x.alias("x"), y.alias("y"), z.alias("z")).withColumns({"rr": F.bround(F.col("y") - corner[1]).cast("int"), "cc": F.bround(F.col("x") - corner[0]).cast("int")})
-        below = on.join(raster.select(F.col("r").alias("rr"), F.col("c").alias("cc"), F.col("z").alias("h")), ["rr", "cc"]).where("h > z")
-        first = below.groupBy("r", "c").agg(F.min(F.struct(F.hypot(F.col("x") - camera.x, F.col("y") - camera.y).alias("dist"), "x", "y")).alias("b")).select("r", "c", "b.x", "b.y", "b.dist")
-        first = materialize(first, "hits")
+        high = min(low + chunk, far)
+        pieces = rays.withColumn("first", F.explode(F.sequence(F.lit(low), F.lit(high - 1), F.lit(stretch)))).withColumn("last", F.least(F.col("first") + stretch, F.lit(high)) - 1)
+        (xa, ya), (xb, yb) = at(F.col("first")), at(F.col("last"))
+        spread = lambda u, v, o: F.sequence(F.floor(F.bround(F.least(u, v) - o) / tile).cast("int"), F.floor(F.bround(F.greatest(u, v) - o) / tile).cast("int"))
+        pieces = pieces.withColumn("tr", F.explode(spread(ya, yb, y0))).withColumn("tc", F.explode(spread(xa, xb, x0)))
+        shares = materialize(pieces.groupBy("tr", "tc").agg(F.ceil(F.count("*") / share).cast("int").alias("n")), "shares")
+        pieces = pieces.join(shares.toDF("tr", "tc", "n"), ["tr", "tc"]).withColumn("s", F.pmod(F.xxhash64("r", "c"), F.col("n")).cast("int"))
+        ground = heights.join(shares.toDF("tr", "tc", "m"), ["tr", "tc"]).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        hits = pieces.groupBy("tr", "tc", "s").cogroup(ground.groupBy("tr", "tc", "s")).applyInPandas(walk, "r int, c int, d int")
+        (x, y) = at(F.col("d"))
+        first = hits.groupBy("r", "c").agg(F.min("d").alias("d")).join(rays, ["r", "c"]).select("r", "c", x.alias("x"), y.alias("y"))
+        first = materialize(first.withColumn("dist", F.hypot(F.col("x") - cx, F.col("y") - cy)), "hits")
         found = first if found is None else found.unionByName(first)
-        if low + chunk < far:
+        if high < far:
             rays = materialize(rays.join(first, ["r", "c"], "left_anti"), "rays")
     return pixels.select("r", "c").join(found, ["r", "c"], "left").fillna(0.0, ["x", "y", "dist"])
 

@@ -24,5 +24,14 @@ def materialize(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: lineage ends at files that survive executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    spark._nightlights_written = [*getattr(spark, "_nightlights_written", []), path]
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that this session has written between steps. Results still read them, so write these first."""
+    for path in getattr(spark, "_nightlights_written", []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark._nightlights_written = []
