@@ -16,9 +16,11 @@ from nightlights.llm.tables import quoted
 
 #: Labelled rows learned from, of each label, at most; those of the least id hashes. Their texts are taken whole.
 ROWS_PER_LABEL = 4000
-#: Terms with weights: those that tell the labels apart best among the sampled rows that have them.
+#: Terms with weights: those that tell the labels apart best among the sampled rows that have them. Other terms say nothing, so
+#: a pair of terms that are both neutral alone can be missed. All terms in 65,536 or 262,144 slots learn worse: held-out AUC is
+#: 0.898 and 0.908 at sf0.1, with these 0.978.
 TERMS = 4096
-#: Sampled rows that must have a term.
+#: Sampled rows that must have a term; rarer ones can't be told from chance.
 LEAST_ROWS = 5
 FACTORS = 8
 #: A toxic row counts as so many others: missing one is held to be worse than a false alarm.
