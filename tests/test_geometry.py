@@ -109,3 +109,30 @@ def test_frames_are_registered_to_a_catalogue(spark):
     frames = spark.createDataFrame(rows, "frame string, r int, c int, lum double")
     got = {r.frame: (round(r.dr, 3), round(r.dc, 3), round(r.theta, 3)) for r in registration.register_images(frames, 110, catalog, 5, 4, 30, buff=2, least_apart=50).collect()}
     assert got == {"a": (-3.0, 2.0, 0.0), "b": (4.0, -5.0, 0.0)}
+
+
+def test_a_level_camera_looks_along_its_heading(spark):
+    """Without tilt: across is to the left, up is height, both over the way ahead; kappa turns the heading."""
+    at = lambda c, x, y, z: spark.range(1).select(*cam.project(c, F.lit(x), F.lit(y), F.lit(z))).first()
+    got = at(cam.Camera(0.0, 0.0, 0.0, 1.0, 2.0, 3.0, 80.0), 11.0, 4.0, 6.0)
+    assert math.isclose(got[0], -80 * 2 / 10) and math.isclose(got[1], 80 * 3 / 10)
+    k = 0.3
+    ahead = at(cam.Camera(k, 0.0, 0.0, 1.0, 2.0, 3.0, 80.0), 1 + 10 * math.cos(k), 2 + 10 * math.sin(k), 6.0)
+    assert math.isclose(ahead[0], 0.0, abs_tol=1e-9) and math.isclose(ahead[1], 24.0)
+
+
+def test_state_plane_is_true_along_its_parallels(spark):
+    """The origin has its false easting; along both standard parallels small steps east and north have their length on the ellipsoid."""
+    plane, e2 = cam.StatePlane(), 0.0066943800229
+    at = lambda lat, lon: spark.range(1).select(*plane.forward(F.lit(lat), F.lit(lon))).first()
+    x, y = at(40 + 10 / 60, -74.0)
+    assert math.isclose(x, 984250.0, abs_tol=1e-3) and math.isclose(y, 0.0, abs_tol=1e-3)
+    h = 1e-4
+    for lat in (40 + 40 / 60, 41 + 2 / 60):
+        s = math.sin(math.radians(lat))
+        prime = 6378137.0 / math.sqrt(1 - e2 * s * s)
+        meridian = 6378137.0 * (1 - e2) / (1 - e2 * s * s) ** 1.5
+        here, east, north = at(lat, -73.5), at(lat, -73.5 + h), at(lat + h, -73.5)
+        foot = 1200 / 3937
+        assert math.isclose(math.hypot(east[0] - here[0], east[1] - here[1]) * foot, prime * math.cos(math.radians(lat)) * math.radians(h), rel_tol=1e-6)
+        assert math.isclose(math.hypot(north[0] - here[0], north[1] - here[1]) * foot, meridian * math.radians(h), rel_tol=1e-4)
