@@ -70,10 +70,13 @@ def _(v):
 def _(v):
     """Values take seven bits of each of their two bytes."""
     path = folder(v, "scans")
-    each = v.scans.groupBy("scan_id").agg(cells(F.col("value"), (F.col("c") * 7 + F.col("channel")) * SIDE + SIDE - 1 - F.col("r")).alias("at"))
-    each = each.select("scan_id", F.transform_values("at", lambda _, x: x % 128).alias("low"), F.transform_values("at", lambda _, x: F.floor(x / 128).cast("int")).alias("high"))
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE * 7 - 1)), lambda i: F.concat(byte("low", i), byte("high", i))), "")
-    each.select("scan_id", text.alias("value")).write.partitionBy("scan_id").text(f"{path}/raw")
+    at = (F.col("c") * 7 + F.col("channel")) * SIDE + SIDE - 1 - F.col("r")
+    given = v.scans.select("scan_id", at.cast("int").alias("at"), "value")
+    every = v.scans.select("scan_id").distinct().select("scan_id", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE * 7 - 1))).alias("at"))
+    full = every.join(given, ["scan_id", "at"], "left").select("scan_id", "at", F.coalesce("value", F.lit(0)).alias("value"))
+    two = F.concat(F.char((F.col("value") % 128).cast("int")), F.char(F.floor(F.col("value") / 128).cast("int")))
+    each = full.select("scan_id", F.struct("at", two.alias("text")).alias("x")).groupBy("scan_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    each.select("scan_id", F.array_join(F.transform("xs", lambda x: x["text"]), "").alias("value")).write.partitionBy("scan_id").text(f"{path}/raw")
     lines = F.explode(F.array(*[F.lit(x) for x in (f"samples = {SIDE}", f"Lines = {SIDE}", "bands = 7", "other = 1, 2")]))
     each.select("scan_id", lines.alias("value")).write.partitionBy("scan_id").text(f"{path}/headers")
     number = F.regexp_extract("scan", r"scan_id=(\d+)", 1).cast("int").alias("scan_id")
