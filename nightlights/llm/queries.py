@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightlights.llm import bpe, chat, debruijn, decontaminate, langid, quality, simhash, suffix, toxicity, warc
+from nightlights.llm import bpe, chat, debruijn, decontaminate, divergence, entropy, langid, quality, simhash, spelling, suffix, toxicity, warc
 from nightlights.llm.tables import fold, table
 from nightlights.runtime import shared_dir
 
@@ -80,6 +80,21 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = entropy.scan_secrets(table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{entropy.KINDS[k]}")
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    return found.select("doc_id", of(0), of(1), of(2), F.sha2(entropy.described(base), 256).alias("base_sha256"), entropy.described(F.col("secrets")).alias("spans"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
