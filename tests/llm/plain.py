@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import struct
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
@@ -131,3 +134,82 @@ def bpe(text, ranks, pattern):
 
     ids = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text or "")
     return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def secrets(text):
+    """(start, kind, end) of each span, windows counted anew each time."""
+    from nightlights.llm import entropy as e
+
+    out, text = [], text or ""
+    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):
+        out += [(m.start(), 0, m.end())] * (len(m[2]) >= 6)
+    for kind, pattern, least in ((1, "AKIA[A-Z0-9]+", 20), (2, "[0-9a-f]+", 24)):
+        out += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        x = m[0]
+        if len(x) < e.WINDOW or any(a in x.lower() for a in e.ALLOWED) or any(re.search(p, x) for p in e.ALLOWED_PATTERNS):
+            continue
+        kind = next(k for k, p, _ in e.CLASSES if re.search(p, x))
+        inside = np.zeros(len(x), bool)
+        for i in range(len(x) - e.WINDOW + 1):
+            if sum(round(1e6 * c * math.log2(c)) for c in Counter(x[i : i + e.WINDOW]).values()) <= e.LIMITS[kind]:
+                inside[i : i + e.WINDOW] = True
+        edges = np.flatnonzero(np.diff(inside.astype(int), prepend=0, append=0)).tolist()
+        out += [(m.start() + a, kind, m.start() + b) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return sorted(out)
+
+
+def variants(docs, min_length=5, min_count=3):
+    """(word, form, root, n, n_near, form_n) from (id, text), neighbours found by leaving out a code point."""
+    seen = Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'null' if i is None else i}:{run}".encode())
+            k = h % len(run)
+            seen[run[:k] + run[k + 1 :] if h % 97 == 0 else run] += 1
+    n = {w: c for w, c in seen.items() if len(w) >= min_length and c >= min_count}
+    near, holes = defaultdict(set), defaultdict(set)
+    for w in n:
+        for k in range(len(w)):
+            holes[k, w[:k], w[k + 1 :]].add(w)
+            if w[:k] + w[k + 1 :] in n:
+                near[w].add(w[:k] + w[k + 1 :])
+                near[w[:k] + w[k + 1 :]].add(w)
+    for group in holes.values():
+        for w in group:
+            near[w] |= group - {w}
+    form = {}
+    for w in n:
+        if near[w] and n[best := min(near[w], key=lambda x: (-n[x], x))] >= 2 * n[w]:
+            form[w] = best
+    out = []
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
+    return out
+
+
+def audit(rows, min_documents=3, top=200):
+    """(lang, source, part, item, value, rank) from (lang, source, text), with whole numbers of any size."""
+    counts, documents = defaultdict(lambda: defaultdict(Counter)), defaultdict(Counter)
+    for lang, source, text in rows:
+        found = [lower(x) for x in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        counts[lang or ""][source or ""].update(found)
+        documents[lang or ""].update(set(found))
+    out = []
+    for lang, by in counts.items():
+        kept = [x for x, n in documents[lang].items() if n >= min_documents]
+        share = lambda own, total: [1 + 10**9 * (own[x] + 1) // (total + len(kept)) for x in kept]  # noqa: E731, B023
+        whole = sum((by[s] for s in by), Counter())
+        sums = {s: sum(by[s][x] for x in kept) for s in by}
+        p, q = {s: share(by[s], sums[s]) for s in by}, share(whole, sum(sums.values()))
+        for s in by:
+            pairs = [(o, sum((a - b) ** 2 // b for a, b in zip(p[s], p[o], strict=True))) for o in by if o != s]
+            terms = [(x, (a - b) ** 2 // b) for x, a, b in zip(kept, p[s], q, strict=True) if by[s][x] and a > b]
+            for part, found, most in (("pair", pairs, None), ("term", terms, top)):
+                ranked = sorted(found, key=lambda x: (-x[1], x[0].encode()))[:most]
+                out += [(lang, s, part, item, v, k + 1) for k, (item, v) in enumerate(ranked)]
+    return out
