@@ -13,12 +13,22 @@ PARTS = "array<struct<kind string, text string, ref string, tokens int>>"
 
 
 def escape(text: Column) -> Column:
-    """No control string is left: each begins with '<|', and that pair can't occur in the result."""
-    return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<|"), F.lit("&lt;|"))
+    """No '<' is left. Every control string begins with one, so none can arise from the result, whatever stands before or after
+    it: parts that are escaped one by one stay escaped when they are joined."""
+    return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("&lt;|"), F.lit("<|")), F.lit("&amp;"), F.lit("&"))
+    return F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
+
+
+def escape_kind(kind: Column) -> Column:
+    """A kind as a placeholder names it: without the signs that end the name, too."""
+    return F.replace(F.replace(escape(kind), F.lit("|"), F.lit("&bar;")), F.lit(":"), F.lit("&colon;"))
+
+
+def unescape_kind(kind: Column) -> Column:
+    return unescape(F.replace(F.replace(kind, F.lit("&bar;"), F.lit("|")), F.lit("&colon;"), F.lit(":")))
 
 
 def text_parts(text: Column) -> Column:
@@ -41,7 +51,7 @@ def flatten_parts(parts: Column) -> tuple[Column, Column, Column]:
         whole,
         F.struct(F.lit("").alias("text"), F.lit(0).alias("k")),
         lambda seen, p: F.struct(
-            F.concat(seen["text"], F.when(_attachment(p["kind"]), F.concat(F.lit("<|"), escape(p["kind"]), F.lit(":"), seen["k"].cast("string"), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))).alias("text"),
+            F.concat(seen["text"], F.when(_attachment(p["kind"]), F.concat(F.lit("<|"), escape_kind(p["kind"]), F.lit(":"), seen["k"].cast("string"), F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))).alias("text"),
             (seen["k"] + _attachment(p["kind"]).cast("int")).alias("k"),
         ),
     )["text"]
@@ -78,10 +88,31 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     )
 
 
+def _parsed_body(body: Column) -> Column:
+    """array<struct<kind, text, k>> of an escaped text: what stands between placeholders, and the placeholders by kind and place.
+    Only placeholders hold '<', so a text that spells one out stays text."""
+    empty = "array<struct<kind string, text string, k int>>"
+    piece = lambda kind, text, k: F.struct(kind.alias("kind"), text.alias("text"), k.cast("int").alias("k"))
+    words = lambda t: F.when(F.length(t) > 0, F.array(piece(F.lit("text"), unescape(t), F.lit(None)))).otherwise(F.array()).cast(empty)
+
+    def marked(p: Column, i: Column) -> Column:
+        name = F.substring_index(p, "|>", 1)
+        placeholder = F.array(piece(unescape_kind(F.substring_index(name, ":", 1)), F.lit(None).cast("string"), F.substring_index(name, ":", -1))).cast(empty)
+        rest = F.substring(p, F.length(name) + 3, F.length(p))
+        return F.when(i == 0, words(p)).otherwise(F.concat(placeholder, words(rest)))
+
+    return F.flatten(F.transform(F.split(body, r"<\|"), marked))
+
+
 def parse_chats(formatted: Column) -> Column:
-    """array<struct<role, text>> read back from a formatted string; placeholders stay in the texts."""
+    """array<struct<role, text, parts>> read back from a formatted string.
+
+    text is all of a turn's text with placeholders as they stand; parts tells them apart: (kind, text, k), texts unescaped,
+    and for attachments the place k in the turn's list. Texts that follow one another are one part, empty ones none.
+    """
     pieces = F.filter(F.split(formatted, r"<\|turn\|>"), lambda _, i: i > 0)
-    return F.transform(pieces, lambda p: F.struct(unescape(F.substring_index(p, BODY, 1)).alias("role"), unescape(F.substring_index(F.substring_index(p, BODY, -1), CLOSE, 1)).alias("text")))
+    body = lambda p: F.substring_index(F.substring_index(p, BODY, -1), CLOSE, 1)
+    return F.transform(pieces, lambda p: F.struct(unescape(F.substring_index(p, BODY, 1)).alias("role"), unescape(body(p)).alias("text"), _parsed_body(body(p)).alias("parts")))
 
 
 def masked_text(formatted: Column, loss: Column) -> Column:

@@ -42,7 +42,7 @@ FROM p JOIN d USING (h) JOIN f USING (h)"""
 OP7 = """
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, replace(replace(text, '&', '&amp;'), '<|', '&lt;|') esc, replace(replace(role, '&', '&amp;'), '<|', '&lt;|') esc_role FROM t)
+e AS (SELECT *, replace(replace(text, '&', '&amp;'), '<', '&lt;') esc, replace(replace(role, '&', '&amp;'), '<', '&lt;') esc_role FROM t)
 SELECT conv_id, count(*)::BIGINT n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) loss_sha256,

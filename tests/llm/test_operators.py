@@ -313,7 +313,7 @@ def test_chat(spark):
     turns = [(1, 1, "assistant", "b\n" + evil), (1, 0, "user", evil), (1, 2, "user", None), (2, None, None, "x"), (2, 0, "assistant", ""), (2, 0, "assistant", ""), (None, 0, "assistant", "é日")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(0))
     out = chat.format_chats(df.withColumn("parts", chat.text_parts(F.col("text"))))
-    got = {r.conv_id: ([tuple(t) for t in r.t], r.m) for r in out.select("conv_id", chat.parse_chats(F.col("formatted")).alias("t"), chat.masked_text(F.col("formatted"), F.col("loss")).alias("m")).collect()}
+    got = {r.conv_id: ([(t.role, t.text) for t in r.t], r.m) for r in out.select("conv_id", chat.parse_chats(F.col("formatted")).alias("t"), chat.masked_text(F.col("formatted"), F.col("loss")).alias("m")).collect()}
     assert got == {1: ([("user", evil), ("assistant", "b\n" + evil), ("user", "")], "b\n" + evil), 2: ([("", "x"), ("assistant", ""), ("assistant", "")], ""), None: ([("assistant", "é日")], "é日")}
     assert chat.format_chats(df.limit(0).withColumn("parts", chat.text_parts(F.col("text")))).count() == 0
 
