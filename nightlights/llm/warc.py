@@ -6,9 +6,11 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,56 +65,120 @@ def arc_file(records: list[tuple[str | None, bytes]], version: int, date: str =
     return b"".join(out) + b"\n"
 
 
+def arc_line(line: bytes, version: int) -> dict | None:
+    """The fields of a version's header line by name, or None if it isn't one. Only the URL may hold spaces."""
+    fields = ARC_FIELDS[version]
+    parts = line.rstrip(b"\r").decode("utf-8", "replace").rsplit(" ", len(fields) - 1)
+    return dict(zip(fields, parts, strict=True)) if len(parts) == len(fields) and parts[0] and re.fullmatch("[0-9]{1,18}", parts[-1]) else None
+
+
 def arc_records(content: bytes) -> Iterator[dict]:
-    """Records of an ARC file after its version block: the header line's fields by name, and block.
+    """What follows the version block of an ARC file: each record's fields by name, block and problem, which is None if it is whole.
 
-    The version block says which header line follows; lengths are taken as declared. A line that doesn't fit raises
-    ValueError. Blank lines between records are skipped.
+    The version block says which header line follows; lengths are taken as declared. A block that the file's end cuts and a line
+    that isn't a header line are records with a problem; after such a line the next one that names a scheme and a date goes
+    on. A file without a version block is one such record. Blank lines between records are skipped.
     """
-    at, version = 0, 0
+    at, version, lost = 0, 0, False
     while at < len(content):
         stop = content.find(b"\n", at)
-        if stop < 0:
-            break
-        parts = content[at:stop].decode("utf-8", "replace").split(" ")
-        if parts == [""]:
-            at = stop + 1
+        stop = len(content) if stop < 0 else stop
+        line, after = content[at:stop], stop + 1
+        if not line.strip(b"\r"):
+            at = after
             continue
         if not version:
-            body = content[stop + 1 : stop + 1 + int(parts[-1])]
-            version = int(body.split(b" ", 1)[0])
-            if version not in ARC_FIELDS:
-                raise ValueError(f"ARC version {version}")
-        elif len(parts) != len(ARC_FIELDS[version]):
-            raise ValueError(f"ARC header line of {len(parts)} fields in version {version}")
-        else:
-            record = dict(zip(ARC_FIELDS[version], parts, strict=True))
-            yield record | {"block": content[stop + 1 : stop + 1 + int(parts[-1])]}
-        at = stop + 1 + int(parts[-1])
-
-
-def warc_record(arc: dict, row: str, first: str | None) -> str:
-    """The WARC record that equals an ARC record, without the two line ends that close it; first: the row of the record
-    that it revisits. Identifiers are name-based, so a task that runs again writes the same. Blocks are UTF-8, since Spark's
-    text writer writes them; others raise UnicodeDecodeError."""
-    head, body = split_http(arc["block"])
-    d = arc["date"]
+            length = line.split(b" ")[-1].rstrip(b"\r")
+            body = content[after : after + int(length)] if re.fullmatch(b"[0-9]{1,18}", length) else b""
+            found = re.match(b"([0-9]+) ", body)
+            if not found or int(found[1]) not in ARC_FIELDS:
+                yield {"problem": f"no version block: {line[:80].decode('utf-8', 'replace')}"}
+                return
+            version, at = int(found[1]), after + int(length)
+            continue
+        record = arc_line(line, version)
+        if record is None or lost and not (re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", record["url"]) and arc_date(record["date"])):
+            if not lost:
+                yield {"problem": f"no header line of version {version}: {line[:80].decode('utf-8', 'replace')}"}
+            at, lost = after, True
+            continue
+        block = content[after : after + int(record["length"])]
+        at, lost, problem = after + int(record["length"]), False, None
+        if len(block) < int(record["length"]):
+            problem = f"cut: {len(block)} of {record['length']} bytes"
+        elif not arc_date(record["date"]):
+            problem = f"no date: {record['date'][:80]}"
+        elif content[at : at + 1].strip(b"\r\n"):
+            problem = f"more than {record['length']} bytes"
+        yield record | {"block": block, "problem": problem}
+
+
+def arc_date(digits: str) -> str | None:
+    """A date of 14 digits, or of 12 without seconds, as WARC writes it; None if it isn't a time."""
+    if not re.fullmatch("[0-9]{12}([0-9]{2})?", digits):
+        return None
+    try:
+        return datetime.strptime(digits.ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ").rjust(20, "0")
+    except ValueError:
+        return None
+
+
+def kind_of(url: str, mime: str, block: bytes) -> tuple[str, str]:
+    """(WARC type, content type) of an ARC record: what a server answered by HTTP is a response, all else is a resource of the
+    ARC's own type; names looked up have theirs, and '-' or 'no-type' says nothing."""
+    if url.startswith("dns:"):
+        return "resource", "text/dns"
+    if block.startswith(b"HTTP/"):
+        return "response", "application/http; msgtype=response"
+    return "resource", mime if re.fullmatch(r"[\w!#$&^.+-]+/[\w!#$&^.+-]+(;.*)?", mime or "") else "application/octet-stream"
+
+
+def warc_record(arc: dict, row: str, first: str | None) -> bytes:
+    """The WARC record that equals an ARC record, with the two line ends that close it; first: the row of the record that it
+    revisits. Identifiers are name-based, so a task that runs again writes the same; blocks are taken byte for byte."""
+    kind, content = kind_of(arc["url"], arc.get("mime", ""), arc["block"])
+    head, body = split_http(arc["block"]) if kind == "response" else (b"", arc["block"])
     name = lambda r: uuid.uuid5(uuid.NAMESPACE_OID, f"warc/{r}")
     fields = {
-        "WARC-Type": "response" if first is None else "revisit",
+        "WARC-Type": kind if first is None else "revisit",
         "WARC-Record-ID": f"<urn:uuid:{name(row)}>",
-        "WARC-Date": f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
-        "WARC-Target-URI": arc["url"],
+        "WARC-Date": arc_date(arc["date"]),
+        "WARC-Target-URI": re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", arc["url"]),
         "WARC-IP-Address": arc["ip"],
         "WARC-Payload-Digest": f"sha1:{digest(body)}",
-        "Content-Type": "application/http; msgtype=response",
+        "Content-Type": content,
         "Source-Row": row,
     }
     if first is not None:
-        fields |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<urn:uuid:{name(first)}>", "Refers-To-Row": first}
+        fields |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<urn:uuid:{name(first)}>", "Refers-To-Row": first, "Payload-Length": str(len(body))}
     block = arc["block"] if first is None else head
     fields["Content-Length"] = str(len(block))
-    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n" + block.decode("utf-8", "surrogatepass")
+    return b"".join([b"WARC/1.1\r\n", *(f"{k}: {v}\r\n".encode("utf-8", "replace") for k, v in fields.items() if v), b"\r\n", block, b"\r\n\r\n"])
+
+
+def member(record: bytes) -> bytes:
+    """A gzip member of its own, the same each time."""
+    return gzip.compress(record, mtime=0)
+
+
+def unpacked(content: bytes) -> tuple[bytes, str | None]:
+    """(what can be read of a file that may be gzipped, what is wrong with the rest): members one after the other."""
+    if content[:2] != b"\x1f\x8b":
+        return content, None
+    out, at = [], 0
+    while content[at : at + 2] == b"\x1f\x8b":
+        stream = zlib.decompressobj(31)
+        while at < len(content) and not stream.eof:
+            piece = content[at : at + (1 << 16)]
+            try:
+                out.append(stream.decompress(piece))
+            except zlib.error as e:
+                return b"".join(out), f"gzip: {e}"
+            at += len(piece)
+        if not stream.eof:
+            return b"".join(out), "gzip: cut"
+        at -= len(stream.unused_data)
+    return b"".join(out), "gzip: other bytes follow" if content[at:].strip(b"\0") else None
 
 
 def warc_records(stream) -> Iterator[tuple[dict, bytes]]:
@@ -125,7 +191,7 @@ def warc_records(stream) -> Iterator[tuple[dict, bytes]]:
             raise ValueError(f"no WARC record: {line[:40]!r}")
         fields = {}
         while (line := stream.readline().rstrip(b"\r\n")):
-            k, _, v = line.decode().partition(": ")
+            k, _, v = line.decode("utf-8", "replace").partition(": ")
             fields[k] = v
         yield fields, stream.read(int(fields["Content-Length"]))
 
@@ -140,12 +206,17 @@ def first_of_equal_payloads(pages: DataFrame, id_col: str, payload: Column, min_
 
 
 def _write(ready: DataFrame, size: Column, run, path: str) -> None:
-    """Lines that run makes of ready, to files of bounded bytes: rows from LARGE bytes on go to files of few records."""
+    """Gzip members that run makes of ready, one a record, to files of bounded bytes: rows from LARGE bytes on go to files of few records.
+
+    Spark's text writer, which commits each task's files once, puts any bytes of a string down as they are, and after each what it is
+    told to: an empty member, so that a file is nothing but gzip members.
+    """
     parts = [(size < LARGE, FILE_BYTES // LARGE, "error")]
     if (ready.agg(F.max(size)).first()[0] or 0) >= LARGE:
         parts.append((size >= LARGE, FILE_BYTES >> 27, "append"))
     for chosen, records, mode in parts:
-        ready.where(chosen).mapInArrow(run, "value string").write.mode(mode).option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+        rows = ready.where(chosen).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+        rows.write.mode(mode).option("encoding", "ISO-8859-1").option("lineSep", member(b"").decode("latin-1")).option("maxRecordsPerFile", records).text(path)
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> None:
@@ -167,43 +238,60 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 own = [k for k in range(len(data)) if version[k] == v]
                 if own:
                     archive = arc_file([(url[k], http_block(data[k])) for k in own], v)
-                    out += [warc_record(arc, row[k], first[k]) for arc, k in zip(arc_records(archive), own, strict=True)]
-            yield ts.record(value=pa.array(out, pa.string()))
+                    out += [member(warc_record(arc, row[k], first[k])) for arc, k in zip(arc_records(archive), own, strict=True)]
+            yield ts.record(value=pa.array(out, pa.binary()))
 
     _write(ready, F.octet_length("payload"), run, path)
 
 
+_ARC_ROWS = pa.schema([("row", pa.string()), *((c, pa.string()) for c in ("url", "ip", "date", "mime")), ("block", pa.binary()), ("digest", pa.string()), ("size", pa.int64()), ("problem", pa.string())])
+
+
 def read_arcs(spark: SparkSession, path: str) -> DataFrame:
-    """(row, url, ip, date, block, and the payload's digest and size) of each record of the ARC files under path, of either version, plain or gzipped (one member
-    or one a record); row is the file's path and the record's number. A file that doesn't follow its version raises
-    ValueError. A file is held whole in its task."""
+    """(row, url, ip, date, mime, block, the payload's digest and size, problem) of each record of the ARC files under path, of
+    either version, plain or gzipped (one member or one a record); row is the file's path and the record's number.
+
+    What isn't a whole record is a row with a problem, and the records before it, and after it where they can be found, are
+    read all the same. A null or foreign mime is no problem. A file is held whole in its task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                records = arc_records(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content)
-                for k, r in enumerate(records):
-                    body = split_http(r["block"])[1]
-                    yield pa.RecordBatch.from_pylist([{"row": f"{name}#{k}", "digest": digest(body), "size": len(body)} | {c: r[c] for c in ("url", "ip", "date", "block")}], _ARC_ROWS)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "row string, url string, ip string, date string, block binary, digest string, size long")
-
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                text, wrong = unpacked(content.as_py())
+                out, size, k = [], 0, -1
+                for k, r in enumerate(arc_records(text)):
+                    known = {"row": f"{name}#{k}"} | {c: r.get(c) for c in ("url", "ip", "date", "mime", "block", "problem")}
+                    if r["problem"] is None:
+                        body = split_http(r["block"])[1] if kind_of(r["url"], r["mime"], r["block"])[0] == "response" else r["block"]
+                        known |= {"digest": digest(body), "size": len(body)}
+                    out.append(known)
+                    size += len(r.get("block", b""))
+                    if size > 1 << 22:
+                        yield pa.RecordBatch.from_pylist(out, _ARC_ROWS)
+                        out, size = [], 0
+                if wrong:
+                    out.append({"row": f"{name}#{k + 1}", "problem": wrong})
+                yield pa.RecordBatch.from_pylist(out, _ARC_ROWS)
 
-_ARC_ROWS = pa.schema([("row", pa.string()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("block", pa.binary()), ("digest", pa.string()), ("size", pa.int64())])
+    schema = "row string, url string, ip string, date string, mime string, block binary, digest string, size long, problem string"
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
 
-def convert_arcs(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
-    """ARC files to WARC files: of records with equal payloads of min_bytes or more that of the smallest row is a response,
-    others revisit it."""
+def convert_arcs(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> DataFrame:
+    """ARC files to WARC files: of records with equal payloads of min_bytes or more that of the smallest row is a response or
+    resource, others revisit it. Returns (row, url, problem) of what couldn't be converted; one bad record or file ends nothing."""
     known = materialize(read_arcs(spark, arc_path), "arcs")
-    several = known.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ready = known.join(several, "digest", "left").withColumn("first", F.when((F.col("size") >= min_bytes) & (F.col("least") != F.col("row")), F.col("least")))
+    whole = known.where("problem IS NULL")
+    several = materialize(whole.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("row").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "payloads")
+    ready = whole.join(several, "digest", "left").withColumn("first", F.when((F.col("size") >= min_bytes) & (F.col("least") != F.col("row")), F.col("least")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield ts.record(value=pa.array([warc_record(r, r["row"], r["first"]) for r in batch.to_pylist()], pa.string()))
+        for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
+            yield ts.record(value=pa.array([member(warc_record(r, r["row"], r["first"])) for r in batch.to_pylist()], pa.binary()))
 
-    _write(ready.select("row", "url", "ip", "date", "block", "first"), F.octet_length("block"), run, warc_path)
+    _write(ready.select("row", "url", "ip", "date", "mime", "block", "first"), F.octet_length("block"), run, warc_path)
+    return known.where("problem IS NOT NULL").select("row", "url", "problem")
 
 
 def _described(f: dict, block: bytes, with_block: bool) -> dict:
@@ -215,7 +303,8 @@ def _described(f: dict, block: bytes, with_block: bool) -> dict:
     given = f.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
     n, sha, sound = len(body), digest(body), None
     if kind == "revisit":  # its payload is the response's
-        n, sha = int(declared) if declared.isdigit() else None, given
+        bytes_ = f.get("Payload-Length", declared.decode("latin-1"))
+        n, sha = int(bytes_) if re.fullmatch("[0-9]+", bytes_) else None, given
     else:
         sound = len(block) == int(f["Content-Length"]) and given in (None, sha) and (not declared.isdigit() or int(declared) == n)
     return {"row": f.get("Source-Row") or None, "type": kind, "record_id": f.get("WARC-Record-ID"), "refers_to": f.get("Refers-To-Row"), "url": f.get("WARC-Target-URI"), "date": f.get("WARC-Date"), "payload_digest": sha, "payload_bytes": n, "sound": sound, "block": block if with_block else None}
@@ -226,7 +315,7 @@ def read_archives(spark: SparkSession, path: str, with_block: bool = True) -> Da
 
     payload_digest and payload_bytes are measured on the block; a revisit's are those that it declares of the response's
     payload, until check_revisits compares them. sound: length, digest and HTTP length are as declared; null for revisits.
-    Records of other writers have no row. What can't be read any further, a cut or foreign file, is one record of type unreadable.
+    Files are gzipped or plain. Records of other writers have no row. What can't be read any further, a cut or foreign file, is one record of type unreadable.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +323,8 @@ def read_archives(spark: SparkSession, path: str, with_block: bool = True) -> Da
         for batch in batches:
             for content in batch.column("content"):
                 out, size = [], 0
-                records = warc_records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))))
+                raw = io.BytesIO(content.as_py())
+                records = warc_records(io.BufferedReader(gzip.GzipFile(fileobj=raw)) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw)
                 while True:
                     try:
                         f, block = next(records)
@@ -250,7 +340,7 @@ def read_archives(spark: SparkSession, path: str, with_block: bool = True) -> Da
                         out, size = [], 0
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, READ_SCHEMA)
 
 
@@ -260,7 +350,7 @@ def check_revisits(records: DataFrame) -> DataFrame:
     records = materialize(records, "records")
     keys = ["refers_to", "payload_digest", "payload_bytes"]
     declared = records.where("type = 'revisit'").groupBy(*keys).agg(F.count("*").alias("n"))
-    given = records.where("type = 'response' AND sound").select(F.col("row").alias("refers_to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"))
+    given = records.where("type IN ('response', 'resource') AND sound").select(F.col("row").alias("refers_to"), F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"))
     same = F.max((F.col("d").eqNullSafe(F.col("payload_digest")) & F.col("b").eqNullSafe(F.col("payload_bytes"))).cast("int"))
     wrong = declared.join(given, "refers_to", "left").groupBy(*keys).agg(same.alias("same")).where("same = 0").select(*[F.col(k).alias(f"w_{k}") for k in keys], F.lit(True).alias("wrong"))
     wrong = materialize(wrong, "wrong")

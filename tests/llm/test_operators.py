@@ -258,8 +258,8 @@ def test_arc_versions():
         block = warc.http_block("<p>é</p>".encode())
         found = list(warc.arc_records(warc.arc_file([("http://x.example/a b", block), ("u", b""), (None, b"a\nb 1 2 3 4\n")], version)))
         assert [x["block"] for x in found] == [block, b"", b"a\nb 1 2 3 4\n"] and [x["url"] for x in found] == ["http://x.example/a%20b", "u", "-"]
-    with pytest.raises(ValueError):
-        list(warc.arc_records(warc.arc_file([("u", b"x")], 1).replace(b"1 0 nightlights", b"9 0 nightlights")))
+    foreign = list(warc.arc_records(warc.arc_file([("u", b"x")], 1).replace(b"1 0 nightlights", b"9 0 nightlights")))
+    assert len(foreign) == 1 and foreign[0]["problem"].startswith("no version block")
 
 
 def test_arc_files_become_warc_files(spark, tmp_path):
@@ -277,13 +277,13 @@ def test_arc_files_become_warc_files(spark, tmp_path):
 def test_damaged_archives_are_noticed(spark, tmp_path):
     pages = [(1, "u1", "same text"), (2, "u2", "same text"), (3, "u3", "other text"), (4, "u4", "x" * 70_000)]
     warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
-    files = sorted((tmp_path / "w").glob("*.gz"))
+    files = sorted((tmp_path / "w").glob("part-*"))
     assert len(files) == 2  # the large payload has a file of its own
     (tmp_path / "bad").mkdir()
     for k, f in enumerate(files):
         raw = gzip.decompress(f.read_bytes())
         (tmp_path / "bad" / f"{k}.gz").write_bytes(gzip.compress(raw.replace(b"\r\n\r\nsame text", b"\r\n\r\nSame text")))
-    (tmp_path / "bad" / "cut.gz").write_bytes(files[0].read_bytes()[:-20])
+    (tmp_path / "bad" / "cut.gz").write_bytes(files[0].read_bytes()[:-30])
     (tmp_path / "bad" / "foreign.gz").write_bytes(gzip.compress(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nnonsense"))
     got = warc.check_revisits(warc.read_archives(spark, str(tmp_path / "bad"), with_block=False)).collect()
     whole = {(r.row, r.sound) for r in got if r.type in ("response", "revisit")}
@@ -302,7 +302,7 @@ def test_warc_round_trip(spark, tmp_path):
         first = min(j for j, _, x in pages if (x or "") == (h or "") and j is not None)
         want.add((None if i is None else str(i), "response" if i == first else "revisit", None if i == first else str(first), len((h or "").encode()), d(h)))
     assert got == want
-    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("part-*"))
     assert sum(1 for _ in warc.warc_records(io.BytesIO(raw))) == len(pages)
     warc.write_archives(df.limit(0), str(tmp_path / "e"))
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
