@@ -79,10 +79,11 @@ def _(v):
     each.select("scan_id", F.array_join(F.transform("xs", lambda x: x["text"]), "").alias("value")).write.partitionBy("scan_id").text(f"{path}/raw")
     lines = F.explode(F.array(*[F.lit(x) for x in (f"samples = {SIDE}", f"Lines = {SIDE}", "bands = 7", "other = 1, 2")]))
     each.select("scan_id", lines.alias("value")).write.partitionBy("scan_id").text(f"{path}/headers")
-    number = F.regexp_extract("scan", r"scan_id=(\d+)", 1).cast("int").alias("scan_id")
-    heads = frames.read_header(v.spark, f"{path}/headers").select(number, "samples", "lines", "bands")
-    cubes = frames.read_scans(v.spark, f"{path}/raw", SIDE, 7, SIDE).select(number, "r", "c", F.posexplode("spectrum").alias("channel", "value"))
-    return cubes.join(heads, "scan_id").select("scan_id", "r", "c", "channel", "value", "samples", "lines", "bands")
+    name = r"scan_id=(\d+)"
+    number = F.regexp_extract("scan", name, 1).cast("int").alias("scan_id")
+    heads = frames.read_header(v.spark, f"{path}/headers")
+    cubes = frames.read_scans(v.spark, f"{path}/raw", heads, name=name).select(number, "r", "c", F.posexplode("spectrum").alias("channel", "value"))
+    return cubes.join(heads.select(number, "samples", "lines", "bands"), "scan_id").select("scan_id", "r", "c", "channel", "value", "samples", "lines", "bands")
 
 
 CLIP = "SELECT source FROM source_class WHERE score >= 0.35"

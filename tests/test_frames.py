@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from nightlights.operators import stacks
-from nightlights.sources import frames
+from nightlights.sources import frames, ranges
 
 
 def test_frames(spark, tmp_path):
@@ -23,24 +24,66 @@ def test_frames(spark, tmp_path):
     assert long.count() == 3 * 12
 
 
-def test_other_frames_are_not_opened(spark, tmp_path):
-    """A frame that isn't chosen may be of any size: Spark refuses files above a bound when it opens them."""
+def test_pixels_are_not_shuffled(spark, tmp_path):
+    """A frame that isn't chosen isn't opened, and no exchange has more than names in it."""
     night = tmp_path / "07" / "01"
     night.mkdir(parents=True)
     for k in range(4):
-        (night / f"f{k}.raw").write_bytes(bytes(12) if k == 2 else bytes(5000))
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
-    try:
-        assert frames.read_frames(spark, str(tmp_path), 4, 3, 2, 3, 1).count() == 4
-    finally:
-        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
-
-
-def test_scans(spark, tmp_path):
-    cube = np.random.default_rng(0).integers(0, 65535, (3, 4, 5)).astype("<u2")  # rows, channels, columns
-    (tmp_path / "s.raw").write_bytes(cube.transpose(2, 1, 0)[:, :, ::-1].tobytes())
-    got = {(r.r, r.c): r.spectrum for r in frames.read_scans(spark, str(tmp_path), 3, 4, 5).collect()}
-    assert all(got[r, c] == cube[r, :, c].tolist() for r in range(3) for c in range(5))
+        (night / f"f{k}.raw").write_bytes(bytes(12) if k == 2 else bytes(5))  # too short for a frame
+    got = frames.read_frames(spark, str(tmp_path), 4, 3, 2, 3, 1)
+    assert got.count() == 4 and "content" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stores_that_only_spark_reaches(spark, tmp_path, monkeypatch):
+    night = tmp_path / "07" / "01"
+    night.mkdir(parents=True)
+    for k in range(4):
+        (night / f"f{k}.raw").write_bytes(bytes(range(k, k + 12)))
+    want = sorted(frames.read_frames(spark, str(tmp_path), 4, 3, 1, 4, 2).collect())
+    monkeypatch.setattr(frames, "reachable", lambda path: False)
+    assert sorted(frames.read_frames(spark, str(tmp_path), 4, 3, 1, 4, 2).collect()) == want
+    assert not ranges.reachable("viewfs://store/x") and ranges.reachable("file:///tmp/x") and ranges.reachable("/tmp/x")
+
+
+def scan(tmp_path, name, rows, channels, cols, after=b""):
+    cube = np.random.default_rng(cols).integers(0, 65535, (rows, channels, cols)).astype("<u2")
+    (tmp_path / f"{name}.raw").write_bytes(cube.transpose(2, 1, 0)[:, :, ::-1].tobytes() + after)
+    (tmp_path / f"{name}.hdr").write_text(f"ENVI\nsamples = {rows}\nlines = {cols}\nbands = {channels}\n")
+    return cube
+
+
+def test_scans_of_their_own_widths(spark, tmp_path):
+    cubes = {"a": scan(tmp_path, "a", 3, 4, 5), "b.c": scan(tmp_path, "b.c", 3, 4, 9, b"\n"), "d": scan(tmp_path, "d", 6, 2, 1, b"more than that")}
+    (tmp_path / "no_header.raw").write_bytes(b"x")
+    heads = frames.read_header(spark, f"{tmp_path}/*.hdr")
+    got = {(r.scan.rpartition("/")[2][:-4], r.r, r.c): r.spectrum for r in frames.read_scans(spark, f"{tmp_path}/*.raw", heads).collect()}
+    assert got == {(k, r, c): x[r, :, c].tolist() for k, x in cubes.items() for r in range(x.shape[0]) for c in range(x.shape[2])}
+    box = {(r.scan.rpartition("/")[2][:-4], r.r, r.c): r.spectrum for r in frames.read_scans(spark, f"{tmp_path}/*.raw", heads, (1, 4), (3, 7)).collect()}
+    assert box == {k: v for k, v in got.items() if 1 <= k[1] < 4 and 3 <= k[2] < 7}
+
+
+def test_scan_of_over_two_gibibytes(spark, tmp_path):
+    """A sparse file of 3.2 GB: the box's pieces are read, whole scans are dealt out in many tasks."""
+    rows, channels, cols = 1600, 848, 1200
+    size = rows * channels * 2
+    last = np.arange(rows * channels, dtype="<u2").reshape(channels, rows)
+    with open(tmp_path / "big.raw", "wb") as f:
+        f.truncate(size * cols)
+        f.seek(size * (cols - 1))
+        f.write(last.tobytes())
+    (tmp_path / "big.hdr").write_text(f"samples = {rows}\nlines = {cols}\nbands = {channels}\n")
+    heads = frames.read_header(spark, f"{tmp_path}/*.hdr")
+    got = {(r.r, r.c): r.spectrum for r in frames.read_scans(spark, f"{tmp_path}/*.raw", heads, (10, 12), (cols - 2, cols + 50)).collect()}
+    assert set(got) == {(r, c) for r in (10, 11) for c in (cols - 2, cols - 1)} and not any(got[10, cols - 2])
+    assert got[11, cols - 1] == last[:, rows - 1 - 11].tolist()
+    assert frames.read_scans(spark, f"{tmp_path}/*.raw", heads).rdd.getNumPartitions() == -(-size * cols // ranges.SHARE)
+
+
+def test_cut_scan_is_an_error(spark, tmp_path):
+    scan(tmp_path, "a", 3, 4, 5)
+    (tmp_path / "a.raw").write_bytes((tmp_path / "a.raw").read_bytes()[:-1])
+    with pytest.raises(Exception, match="ends before byte"):
+        frames.read_scans(spark, f"{tmp_path}/*.raw", frames.read_header(spark, f"{tmp_path}/*.hdr")).count()
 
 
 def test_header(spark, tmp_path):
