@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nightlights.operators import masks as op
+from nightlights.operators import rows
 from nightlights.registry import query
 
 PAIRS = """pairs AS (SELECT a.night, a.obs_idx, a.r, a.c, s.side, a.lum x, b.lum y FROM pixels a JOIN (VALUES ('right', 0, 1), ('down', 1, 0)) s(side, dr, dc) ON true
@@ -29,7 +30,7 @@ def mask(v):
 
 @query("j2_neighbours", "pixels", f"{PAIRS} --- SELECT * FROM pairs", "x y")
 def _(v):
-    return op.neighbours(v.pixels, ["night", "obs_idx"])
+    return rows.neighbours(v.pixels, ["night", "obs_idx"])
 
 
 @query("a3_neighbour_correlation", "pixels", f"{CORR} --- SELECT * FROM correlation", "corr")

@@ -6,23 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightlights.operators.components import connected_components
-
-
-def neighbours(pixels: DataFrame, keys: list[str], value: str = "lum") -> DataFrame:
-    """keys, r, c, side ('right' or 'down'), x and y: each pixel's value with its right and its lower neighbour's.
-
-    keys name a frame or an image, all of which is in one task: a shuffle, or none if pixels come dealt by keys, makes
-    its rows arrays, and each array meets itself, shifted, and the next.
-    """
-    cell = F.struct(F.col("c").alias("c"), F.col(value).alias("v"))
-    rows = pixels.where(F.col(value).isNotNull()).repartition(*keys).groupBy(*keys, "r").agg(F.array_sort(F.collect_list(cell)).alias("row"))
-    by = Window.partitionBy(*keys).orderBy("r")
-    rows = rows.withColumn("low", F.when(F.lead("r").over(by) == F.col("r") + 1, F.lead("row").over(by)))
-    right = F.transform(F.sequence(F.lit(1), F.size("row")), lambda i: F.struct(F.lit("right").alias("side"), F.element_at("row", i)["c"].alias("c"), F.element_at("row", i)["v"].alias("x"), F.when(F.try_element_at("row", i + 1)["c"] == F.element_at("row", i)["c"] + 1, F.try_element_at("row", i + 1)["v"]).alias("y")))
-    below = F.map_from_entries(F.coalesce("low", F.slice("row", 1, 0)))
-    down = F.transform("row", lambda p: F.struct(F.lit("down").alias("side"), p["c"].alias("c"), p["v"].alias("x"), F.try_element_at(below, p["c"]).alias("y")))
-    pairs = rows.select(*keys, "r", F.explode(F.concat(right, down)).alias("p")).where("p.y IS NOT NULL")
-    return pairs.select(*keys, "p.side", "r", "p.c", "p.x", "p.y")
+from nightlights.operators.rows import correlated_rows, mean_rows
 
 
 def adjacent(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,17 +19,9 @@ def adjacent(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def neighbour_correlation(pixels: DataFrame) -> DataFrame:
-    """(r, c, side, corr): mean over all nights' frames of the product of z-scores within the night.
-
-    Only moments travel: each night's population correlation, 0 without spread, weighted by its frames.
-    """
-    shift = F.lit(25.0)
-    pairs = neighbours(pixels, ["night", "obs_idx"]).withColumns({"x": F.col("x") - shift, "y": F.col("y") - shift})
-    m = pairs.groupBy("night", "r", "c", "side").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") ** 2).alias("sxx"), F.sum(F.col("y") ** 2).alias("syy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
-    vx, vy = F.col("sxx") / F.col("n") - (F.col("sx") / F.col("n")) ** 2, F.col("syy") / F.col("n") - (F.col("sy") / F.col("n")) ** 2
-    cov = F.col("sxy") / F.col("n") - F.col("sx") * F.col("sy") / F.col("n") ** 2
-    nightly = m.select("r", "c", "side", "n", F.when((vx > 1e-9) & (vy > 1e-9), cov / F.sqrt(vx * vy)).otherwise(0.0).alias("q"))
-    return nightly.groupBy("r", "c", "side").agg((F.sum(F.col("q") * F.col("n")) / F.sum("n")).alias("corr"))
+    """(r, c, side, corr): mean over all nights' frames of the product of z-scores within the night; a night's is its population
+    correlation, 0 without spread, weighted by its frames. pixels are (night, obs_idx, r, c, lum), or rows with lum an array."""
+    return mean_rows(correlated_rows(pixels, ["night"], ["obs_idx"], "lum", 1e-9))
 
 
 def source_mask(correlation: DataFrame, thresh: float = 0.5) -> DataFrame:

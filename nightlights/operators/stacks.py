@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightlights.functions.series import clipped, gaussian
-from nightlights.operators.masks import neighbours
+from nightlights.operators.rows import correlated_rows
 
 
 def scan_windows(scans: DataFrame, states: DataFrame, minutes: float = 5) -> DataFrame:
@@ -98,8 +98,8 @@ def spectral_mask(cube: DataFrame, split_row: int = 800, above: float = 0.6, bel
 
     Only the upper or left pixel is marked. legacy: from split_row on both tests use the right neighbour.
     """
-    pairs = neighbours(cube, ["channel"], "value")
-    corr = pairs.groupBy("r", "c", "side").agg(F.when((F.stddev_pop("x") > 0) & (F.stddev_pop("y") > 0), F.covar_pop("x", "y") / (F.stddev_pop("x") * F.stddev_pop("y"))).otherwise(0.0).alias("corr"))
+    rows = correlated_rows(cube, [], ["channel"], "value")
+    corr = rows.select("r", "side", F.explode(F.arrays_zip("c", "corr")).alias("x")).select("r", F.col("x.c").alias("c"), "side", F.col("x.corr").alias("corr"))
     passed = corr.where(F.col("corr") > F.when(F.col("r") < split_row, above).otherwise(below))
     if legacy:
         passed = passed.where((F.col("r") < split_row) | (F.col("side") == "right"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from nightlights.operators import masks as op
+from nightlights.operators import rows as vectors
+from pyspark.sql import functions as F
 
 
 def cells(spark, text):
@@ -56,3 +60,52 @@ def test_identical_pixels_correlate(spark):
     rows = [("n", t, 0, c, float(t % 3)) for t in range(9) for c in range(2)]
     got = op.neighbour_correlation(spark.createDataFrame(rows, "night string, obs_idx int, r int, c int, lum double")).collect()
     assert len(got) == 1 and abs(got[0]["corr"] - 1) < 1e-9
+
+
+def frames_of(rng, nights, times, rows, cols, gaps=0.1):
+    return [(n, t, r, c, float(rng.integers(0, 200))) for n in nights for t in range(times) for r in range(rows) for c in range(cols) if rng.random() > gaps]
+
+
+def pairs_of(pixels):
+    at = {p[:4]: p[4] for p in pixels}
+    return [(n, t, side, r, c, x, at[n, t, r + dr, c + dc]) for (n, t, r, c), x in at.items() for side, dr, dc in (("right", 0, 1), ("down", 1, 0)) if (n, t, r + dr, c + dc) in at]
+
+
+SCHEMA = "night string, obs_idx int, r int, c int, lum double"
+
+
+def test_neighbours_across_bands_and_batches(spark):
+    pixels = frames_of(np.random.default_rng(1), ["a", "b"], 2, 2 * vectors.BAND + 3, 9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = vectors.neighbours(spark.createDataFrame(pixels, SCHEMA).repartition(7), ["night", "obs_idx"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == sorted(pairs_of(pixels))
+
+
+def test_correlations_by_rows(spark):
+    """Cells and whole rows give what pairs of pixels give; a pixel that never changes correlates with none."""
+    rng = np.random.default_rng(3)
+    pixels = [(*p[:4], 7.3 if p[2:4] == (1, 1) else p[4]) for p in frames_of(rng, ["a", "b"], 6, vectors.BAND + 2, 5, 0.2)]
+    series = {}
+    for n, _, side, r, c, x, y in pairs_of(pixels):
+        series.setdefault((r, c, side), {}).setdefault(n, []).append((x, y))
+    want = {}
+    for k, nights in series.items():
+        q = [(len(v), np.corrcoef(np.array(v).T)[0, 1] if min(np.std(v, axis=0)) > 1e-6 else 0.0) for v in nights.values()]
+        want[k] = sum(n * x for n, x in q) / sum(n for n, _ in q)
+    df = spark.createDataFrame(pixels, SCHEMA)
+    whole = df.groupBy("night", "obs_idx", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", "lum"))).alias("m")).select("night", "obs_idx", "r", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda c: F.try_element_at("m", c)).alias("lum"))
+    for given in (df, whole, df.withColumn("night", F.when(F.lit(True), F.col("night")))):
+        got = {(x.r, x.c, x.side): x["corr"] for x in op.neighbour_correlation(given).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert want[1, 1, "right"] == want[0, 1, "down"] == 0
+
+
+def test_time_is_linear_in_the_columns(spark):
+    """No step compares the pixels of a row with each other: rows of 4,096 pixels cost what their pixels do."""
+    wide = spark.range(4096 * 40).select(F.lit("n").alias("night"), (F.col("id") % 2).cast("int").alias("obs_idx"), (F.floor(F.col("id") / 2) % 20).cast("int").alias("r"), F.floor(F.col("id") / 40).cast("int").alias("c"), F.rand(1).alias("lum"))
+    began = time.time()
+    assert op.neighbour_correlation(wide).count() == 20 * 4095 + 19 * 4096
+    assert time.time() - began < 60
