@@ -18,7 +18,7 @@ LIT = STATES + f", lit AS (SELECT DISTINCT scan_id, source FROM scan_clock t JOI
 
 def lit(v):
     """Sources lit in each scan's window."""
-    return op.lit_in_window(op.scan_windows(v.scan_clock, lit_states(v.edges), HALF))
+    return op.lit_sources(v.scan_clock, lit_states(v.edges), HALF)
 
 
 def clip_sql(source: str, line: str, name: str, k: float, upper: bool, rounds: int = 10) -> str:
@@ -37,7 +37,7 @@ def _(v):
 
 @query("j4_lit_in_window", "edges scan_times", f"{MATCHED} --- SELECT DISTINCT scan_id, source FROM matched WHERE lit")
 def _(v):
-    return op.lit_in_window(op.scan_windows(v.scan_times, lit_states(v.edges), 60))
+    return op.lit_sources(v.scan_times, lit_states(v.edges), 60)
 
 
 @query("a10_stack", "scans", f"{STACK} --- SELECT r, c, channel, value % 65536 AS value FROM stack")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nightlights.functions.series import clipped, gaussian
 from nightlights.operators.rows import correlated_rows
+from nightlights.operators.vectors import as_cells, as_vectors, flattened_sums, summed
 
 
 def scan_windows(scans: DataFrame, states: DataFrame, minutes: float = 5) -> DataFrame:
@@ -23,15 +24,49 @@ def scan_windows(scans: DataFrame, states: DataFrame, minutes: float = 5) -> Dat
 
 
 def lit_in_window(matched: DataFrame) -> DataFrame:
-    """(scan_id, source) of sources lit at any time in the scan's window."""
+    """(scan_id, source) of sources lit at any time in the scan's window, from scan_windows."""
     return matched.groupBy("scan_id", "source").agg(F.max("lit").alias("lit")).where("lit").select("scan_id", "source")
 
 
+def lit_intervals(states: DataFrame, minutes: float) -> DataFrame:
+    """(source, first, last, samples) in microseconds: runs of a source's lit samples that are less than a window of twice minutes apart."""
+    gap = int(2 * minutes * 60 * 1_000_000)
+    lit = states.where("lit").select("source", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    by = Window.partitionBy("source").orderBy("at")
+    new = lit.withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(by) >= gap, F.lit(True)).cast("int"))
+    return new.withColumn("k", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("source", "k").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("samples")).drop("k")
+
+
+#: Least seconds of the buckets by which windows meet intervals.
+BUCKET_S = 6 * 3600
+
+
+def lit_sources(scans: DataFrame, states: DataFrame, minutes: float = 5) -> DataFrame:
+    """(scan_id, source) of sources with a lit sample strictly within minutes of the scan's ts.
+
+    Scans meet intervals, not samples: within an interval samples are less than a window apart, so a window that an interval
+    reaches into or covers has one. Both are put under the buckets of time that they touch.
+    """
+    half = int(minutes * 60 * 1_000_000)
+    width = max(2 * half, BUCKET_S * 1_000_000)
+    buckets = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(b / width)))
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    windows = scans.select("scan_id", (t - half).alias("low"), (t + half).alias("high")).withColumn("b", buckets(F.col("low"), F.col("high")))
+    spans = lit_intervals(states, minutes).withColumn("b", buckets(F.col("first"), F.col("last")))
+    return windows.join(spans, "b").where("first < high AND last > low").select("scan_id", "source").distinct()
+
+
 def lit_pixels(scans: DataFrame, labels: DataFrame, lit: DataFrame) -> DataFrame:
-    """scans with value 0 where the pixel's source isn't lit in the scan's window, or there is none."""
-    source = labels.select("r", "c", F.col("label").alias("source"))
-    on = lit.withColumn("_lit", F.lit(True))
-    return scans.join(source, ["r", "c"], "left").join(on, ["scan_id", "source"], "left").select("scan_id", "night", "r", "c", "channel", F.when(F.col("_lit"), F.col("value")).otherwise(0).alias("value"))
+    """scans with value, or spectrum, 0 where the pixel's source isn't lit in the scan's window, or there is none.
+
+    Places lit in a scan are made first, so that scans meet them at scan and place, where each has one at most: the background,
+    most of any scan, meets nothing and is no key of its own.
+    """
+    places = labels.select("r", "c", F.col("label").alias("source")).join(lit, "source").select("scan_id", "r", "c", F.lit(True).alias("_lit"))
+    marked = scans.join(places, ["scan_id", "r", "c"], "left")
+    if "spectrum" in scans.columns:
+        return marked.select("scan_id", "night", "r", "c", F.when(F.col("_lit"), F.col("spectrum")).otherwise(F.transform("spectrum", lambda x: F.when(x.isNotNull(), x * 0))).alias("spectrum"))
+    return marked.select("scan_id", "night", "r", "c", "channel", F.when(F.col("_lit"), F.col("value")).otherwise(0).alias("value"))
 
 
 def narrowest(scans: DataFrame, by: list[str]) -> DataFrame:
@@ -40,8 +75,13 @@ def narrowest(scans: DataFrame, by: list[str]) -> DataFrame:
 
 
 def stack(scans: DataFrame, wrap: bool = False) -> DataFrame:
-    """Sum of all scans for each place and channel, cut to the narrowest scan; wrap: modulo 65536, as 16 bits would."""
-    total = scans.crossJoin(narrowest(scans, [])).where("c < ncol").groupBy("r", "c", "channel").agg(F.sum("value").alias("value"))
+    """Sum of all scans for each place and channel, cut to the narrowest scan; wrap: modulo 65536, as 16 bits would.
+
+    Here and in the other stacks scans may have a row for each channel (value) or an array for each pixel (spectrum); sums are
+    taken of whole vectors either way, and channels become rows in the end.
+    """
+    inside = scans.crossJoin(narrowest(scans, [])).where("c < ncol")
+    total = as_cells(summed(as_vectors(inside, ["scan_id"]), []), [])
     return total.withColumn("value", F.pmod("value", F.lit(65536))) if wrap else total
 
 
@@ -55,23 +95,21 @@ def hourly_stacks(scans: DataFrame, hours: tuple[int, ...] = (21, 22, 23, 0, 1,
     """stack of scans (with ts) for each of the hours, each cut to its narrowest scan, with the hour's number of scans and first ts."""
     chosen = scans.withColumn("hour", F.hour("ts")).where(F.col("hour").isin(*hours))
     about = chosen.groupBy("hour").agg(F.countDistinct("scan_id").alias("n_scans"), F.min("ts").alias("first_ts")).join(narrowest(chosen, ["hour"]), "hour")
-    return chosen.join(about, "hour").where("c < ncol").groupBy("hour", "r", "c", "channel").agg(F.sum("value").alias("value"), F.first("n_scans").alias("n_scans"), F.first("first_ts").alias("first_ts"))
+    inside = chosen.join(about.select("hour", "ncol"), "hour").where("c < ncol")
+    return as_cells(summed(as_vectors(inside, ["hour", "scan_id"]), ["hour"]), ["hour"]).join(about.drop("ncol"), "hour")
 
 
 def box_stack(scans: DataFrame, rows: tuple[int, int], cols: tuple[int, int], scale: float, step: int) -> DataFrame:
     """Sum over every step-th scan of the box's values over scale, cut to whole numbers."""
     every = scans.select("scan_id").distinct().select("scan_id", (F.row_number().over(Window.orderBy("scan_id")) - 1).alias("i")).where(F.col("i") % step == 0)
     box = scans.where((F.col("r") >= rows[0]) & (F.col("r") < rows[1]) & (F.col("c") >= cols[0]) & (F.col("c") < cols[1]))
-    return box.join(every, "scan_id", "left_semi").groupBy("r", "c", "channel").agg(F.sum(F.floor(F.col("value") / scale)).alias("value"))
+    chosen = as_vectors(box.join(every, "scan_id", "left_semi"), ["scan_id"])
+    return as_cells(summed(chosen.withColumn("v", F.transform("v", lambda x: F.floor(x / scale).cast("double"))), []), [])
 
 
 def precision_stack(scans: DataFrame, labels: DataFrame, lit: DataFrame, flatten: bool = True) -> DataFrame:
     """Nightly sums of lit pixels, less the median along each scan's row and channel if flatten (zeros take part)."""
-    rows = lit_pixels(scans, labels, lit)
-    if flatten:
-        line = ["scan_id", "channel", "r"]
-        rows = rows.join(rows.groupBy(*line).agg(F.median("value").alias("_m")), line).withColumn("value", F.col("value") - F.col("_m"))
-    return rows.groupBy("night", "r", "c", "channel").agg(F.sum("value").alias("value"))
+    return as_cells(flattened_sums(as_vectors(lit_pixels(scans, labels, lit), ["night", "scan_id"]), flatten), ["night"], "double")
 
 
 def as_spectra(long: DataFrame, key: str, value: str = "value") -> DataFrame:
