@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from nightlights.operators import stacks
-from nightlights.sources import frames, ranges
+from nightlights.sources import frames, maps, ranges
 
 
 def test_frames(spark, tmp_path):
@@ -102,3 +102,11 @@ def test_stack_wraps(spark):
     rows = spark.createDataFrame([(s, "n", 0, 0, 0, 40000) for s in range(2)], "scan_id int, night string, r int, c int, channel int, value int")
     assert stacks.stack(rows, wrap=True).first().value == 80000 - 65536
     assert stacks.stack(rows).first().value == 80000
+
+
+def test_raster_rows_of_thousands_of_columns(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    cells = {(int(r), int(c)): float(z) for r, c, z in zip(rng.integers(-3, 40, 4000), rng.integers(5, 5000, 4000), rng.random(4000), strict=True)}
+    df = spark.createDataFrame([(r, c, z) for (r, c), z in cells.items()] + [(0, 5001, None)], "row int, col int, z double").repartition(3)
+    maps.write_raster(df, str(tmp_path / "raster"))
+    assert {(x.row, x.col): x.z for x in maps.read_raster(spark, str(tmp_path / "raster")).collect()} == cells
