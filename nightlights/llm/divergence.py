@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,41 +21,79 @@ TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 SCALE = 1_000_000_000
 MIN_DOCUMENTS, TOP = 3, 200
 #: Counters that a task holds before it writes its tries, packed bytes of a range of prefixes, and cells of counts at a time.
-HELD, RANGE_BYTES, CELLS = 300_000, 4 << 20, 1 << 18
+HELD, RANGE_BYTES, CELLS = 400_000, 4 << 20, 1 << 18
+TERM_BITS = 36
+_TERM = (1 << TERM_BITS) - 1
 #: Bounds are drawn from so many prefixes of so many bytes at most.
 SAMPLED, PREFIX = 100_000, 64
 
 
+class Counts:
+    """Counters of (row number << TERM_BITS | term number), added up now and then."""
+
+    def __init__(self):
+        self.parts, self.held = [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.held += len(keys)
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*self.parts, strict=True) if self.parts else ((), ())))
+        keys, where = np.unique(keys, return_inverse=True)
+        counts = np.bincount(where, counts, len(keys)).astype(np.int64) if len(keys) else counts
+        self.parts, self.held = [(keys, counts)], len(keys)
+        return keys, counts
+
+
 def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A trie for each language of a task's texts, and prefixes along it. Sources without terms are named too."""
-    counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-    documents: dict[str, Counter] = defaultdict(Counter)
+    """A trie for each language of a task's texts, and prefixes along it. Sources without terms are named too. Terms and groups
+    have numbers in the task, so that a block's words are counted as numbers."""
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    groups: dict[tuple[str, str], int] = {}
+    langs: dict[str, int] = {}
+    by_group, by_lang = Counts(), Counts()
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for lang, by_source in counts.items():
-            names, leaves = sorted(by_source), {x: {} for x in documents[lang]}
-            for k, name in enumerate(names):
-                for term, n in by_source[name].items():
-                    leaves[term][k] = n
-            order = sorted(leaves)
-            packed = Trie.of((x, documents[lang][x], leaves[x]) for x in order).pack()
-            some = [x[:PREFIX] for x in order[:: max(1, len(order) // 64)]]
-            yield ts.record(lang=pa.array([lang]), sources=pa.array([names], pa.list_(pa.string())), trie=pa.array([packed], pa.binary()), some=pa.array([some], pa.list_(pa.binary())))
-
-    held = 0
+        terms = sorted(numbers)
+        rank = np.empty(len(terms), np.int64)
+        rank[np.fromiter(map(numbers.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
+        (keys, counts), (seen, documents) = by_group.settle(), by_lang.settle()
+        row, term = keys >> TERM_BITS, rank[keys & _TERM]
+        lang_row, lang_term = seen >> TERM_BITS, rank[seen & _TERM]
+        for lang, number in langs.items():
+            names = sorted(s for x, s in groups if x == lang)
+            local = np.full(len(groups), -1)
+            local[[groups[lang, s] for s in names]] = np.arange(len(names))
+            mine = lang_row == number
+            by = np.argsort(lang_term[mine])
+            ranks, docs = lang_term[mine][by], documents[mine][by]
+            own = local[row] >= 0
+            trie = Trie.of([terms[k] for k in ranks.tolist()], docs, np.searchsorted(ranks, term[own]), local[row[own]], counts[own])
+            some = [terms[k][:PREFIX] for k in ranks[:: max(1, len(ranks) // 64)].tolist()]
+            yield ts.record(lang=pa.array([lang]), sources=pa.array([names], pa.list_(pa.string())), trie=pa.array([trie.pack()], pa.binary()), some=pa.array([some], pa.list_(pa.binary())))
+
     for rows, data in ts.blocks(batches):
-        for lang, source, text in zip(rows.column("lang").to_pylist(), rows.column("source").to_pylist(), data, strict=True):
-            terms = TERM.findall(text.lower())
-            own, of = counts[lang][source], documents[lang]
-            held -= len(own) + len(of)
-            own.update(terms)
-            of.update(set(terms))
-            held += len(own) + len(of)
-        if held > HELD:
-            yield from flush()
-            counts.clear()
-            documents.clear()
-            held = 0
+        found, sizes = [], []
+        for text in data:
+            own = TERM.findall(text.lower())
+            found.extend(map(numbers.__getitem__, own))
+            sizes.append(len(own))
+        pairs = zip(rows.column("lang").to_pylist(), rows.column("source").to_pylist(), strict=True)
+        group = np.array([(groups.setdefault((x, s), len(groups)), langs.setdefault(x, len(langs))) for x, s in pairs], np.int64).reshape(-1, 2)
+        keys, counts = np.unique(np.repeat(np.arange(len(data)), sizes) << TERM_BITS | np.array(found, np.int64), return_counts=True)
+        row, term = keys >> TERM_BITS, keys & _TERM
+        by_group.add(group[row, 0] << TERM_BITS | term, counts)
+        by_lang.add(group[row, 1] << TERM_BITS | term, np.ones(len(row), np.int64))
+        if by_group.held > HELD:
+            by_group.settle(), by_lang.settle()
+            if by_group.held > HELD // 2:
+                yield from flush()
+                numbers.clear()
+                groups.clear()
+                langs.clear()
+                by_group, by_lang = Counts(), Counts()
     yield from flush()
 
 
@@ -79,12 +117,20 @@ def _bounds(tries: DataFrame) -> dict[str, list[bytes]]:
     return out
 
 
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """Values of the columns row by row, so that one packed trie is taken out at a time."""
+    for batch in batches:
+        for k in range(len(batch)):
+            yield tuple(batch.column(c)[k].as_py() for c in columns)
+
+
 def _cut(bounds: dict[str, list[bytes]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, names, packed in zip(*(batch.column(x).to_pylist() for x in ("lang", "sources", "trie")), strict=True):
-                for k, part in Trie.unpack(packed).cut(bounds.get(lang, [])):
-                    yield ts.record(lang=pa.array([lang]), range=pa.array([k], pa.int32()), sources=pa.array([names], pa.list_(pa.string())), trie=pa.array([part.pack()], pa.binary()))
+        for lang, names, packed in _rows(batches, "lang", "sources", "trie"):
+            parts = [(k, part.pack()) for k, part in Trie.unpack(packed).cut(bounds.get(lang, []))]
+            if parts:
+                n, (ranges, tries) = len(parts), zip(*parts, strict=True)
+                yield ts.record(lang=pa.array([lang] * n), range=pa.array(ranges, pa.int32()), sources=pa.array([names] * n, pa.list_(pa.string())), trie=pa.array(tries, pa.binary()))
 
     return run
 
@@ -94,8 +140,8 @@ def _merged(min_documents: int):
         """One trie from those of a range of prefixes, its leaves of too few documents left out, with sums by source."""
         names = sorted({x for row in table.column("sources").to_pylist() for x in row})
         place = {x: k for k, x in enumerate(names)}
-        walks = [Trie.unpack(t).walk([place[x] for x in own]) for own, t in zip(table.column("sources").to_pylist(), table.column("trie").to_pylist(), strict=True)]
-        found = Trie.of(merge(walks, min_documents))
+        own = [np.array([place[x] for x in row], np.int64) for row in table.column("sources").to_pylist()]
+        found = merge([Trie.unpack(t) for t in table.column("trie").to_pylist()], own, min_documents)
         sums = np.zeros(len(names), np.int64)
         np.add.at(sums, found.source, found.count)
         return pa.table({"lang": [key[0].as_py()], "sources": pa.array([names], pa.list_(pa.string())), "sums": pa.array([sums.tolist()], pa.list_(pa.int64())), "terms": pa.array([len(found)], pa.int64()), "trie": pa.array([found.pack()], pa.binary())})
@@ -133,33 +179,32 @@ def _pair_sums(count: np.ndarray, p: np.ndarray, rare: np.ndarray) -> np.ndarray
 def _audited(top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Walks each range's trie in order: sums for pairs of sources, and each source's first candidates, ties in order of bytes."""
-        for batch in batches:
-            for lang, own, packed, groups, terms in zip(*(batch.column(x).to_pylist() for x in ("lang", "sources", "trie", "groups", "all_terms")), strict=True):
-                trie, names = Trie.unpack(packed), [g["source"] for g in groups]
-                place = np.array([bisect_left(names, x) for x in own], np.int64)
-                total = np.array([g["n"] for g in groups], np.int64) + terms
-                rare, whole = shares(np.zeros(len(names), np.int64), np.maximum(total, 1)), total.sum() - terms * (len(names) - 1)
-                sums, best, path = np.zeros((len(names), len(names)), np.int64), defaultdict(list), trie.terms()
-                step = max(1, CELLS // len(names))
-                for k in range(0, len(trie), step):
-                    cut = trie.leaf_from[k : min(k + step, len(trie)) + 1]
-                    block = [x for _, x in zip(range(len(cut) - 1), path, strict=False)]
-                    count = np.zeros((len(block), len(names)), np.int64)
-                    leaf = np.repeat(np.arange(len(block)), np.diff(cut))
-                    np.add.at(count, (leaf, place[trie.source[cut[0] : cut[-1]]]), trie.count[cut[0] : cut[-1]])
-                    p, q = shares(count, total), shares(count.sum(1), whole)
-                    sums += _pair_sums(count, p, rare)
-                    above = np.where((count > 0) & (p > q[:, None]), divergences(p, q[:, None]), -1)
-                    for g in range(len(names)):
-                        found = np.flatnonzero(above[:, g] >= 0)
-                        first = found[np.argsort(-above[found, g], kind="stable")[:top]]
-                        best[g] += [(int(above[t, g]), block[t]) for t in first.tolist()]
-                        best[g] = sorted(best[g], key=lambda x: -x[0])[:top]
-                g, o = np.nonzero(sums)
-                part = [(names[a], "pair", names[b], v) for a, b, v in zip(g.tolist(), o.tolist(), sums[g, o].tolist(), strict=True) if a != b]
-                part += [(names[g], "term", term.decode(), v) for g, found in best.items() for v, term in found]
-                if part:
-                    yield ts.record(lang=pa.array([lang] * len(part)), **{k: pa.array(x) for k, x in zip(("source", "part", "item", "value"), zip(*part, strict=True), strict=True)})
+        for lang, own, packed, groups, terms in _rows(batches, "lang", "sources", "trie", "groups", "all_terms"):
+            trie, names = Trie.unpack(packed), [g["source"] for g in groups]
+            place = np.array([bisect_left(names, x) for x in own], np.int64)
+            total = np.array([g["n"] for g in groups], np.int64) + terms
+            rare, whole = shares(np.zeros(len(names), np.int64), np.maximum(total, 1)), total.sum() - terms * (len(names) - 1)
+            sums, best, path = np.zeros((len(names), len(names)), np.int64), defaultdict(list), trie.terms()
+            step = max(1, CELLS // len(names))
+            for k in range(0, len(trie), step):
+                cut = trie.leaf_from[k : min(k + step, len(trie)) + 1]
+                block = [x for _, x in zip(range(len(cut) - 1), path, strict=False)]
+                count = np.zeros((len(block), len(names)), np.int64)
+                leaf = np.repeat(np.arange(len(block)), np.diff(cut))
+                np.add.at(count, (leaf, place[trie.source[cut[0] : cut[-1]]]), trie.count[cut[0] : cut[-1]])
+                p, q = shares(count, total), shares(count.sum(1), whole)
+                sums += _pair_sums(count, p, rare)
+                above = np.where((count > 0) & (p > q[:, None]), divergences(p, q[:, None]), -1)
+                for g in range(len(names)):
+                    found = np.flatnonzero(above[:, g] >= 0)
+                    first = found[np.argsort(-above[found, g], kind="stable")[:top]]
+                    best[g] += [(int(above[t, g]), block[t]) for t in first.tolist()]
+                    best[g] = sorted(best[g], key=lambda x: -x[0])[:top]
+            g, o = np.nonzero(sums)
+            part = [(names[a], "pair", names[b], v) for a, b, v in zip(g.tolist(), o.tolist(), sums[g, o].tolist(), strict=True) if a != b]
+            part += [(names[g], "term", term.decode(), v) for g, found in best.items() for v, term in found]
+            if part:
+                yield ts.record(lang=pa.array([lang] * len(part)), **{k: pa.array(x) for k, x in zip(("source", "part", "item", "value"), zip(*part, strict=True), strict=True)})
 
     return run
 

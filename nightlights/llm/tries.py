@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterable, Iterator
-from itertools import groupby
-from operator import itemgetter
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 
-#: A leaf as it is walked: the term, documents with it, and {source: count}.
-Leaf = tuple[bytes, int, dict[int, int]]
+#: Bytes of neighbouring terms that are compared at once.
+_WIDE = 32
 
 
 def shared(a: bytes, b: bytes) -> int:
     """Length of the common prefix."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    low, high = 0, n
+    low, high = 0, min(len(a), len(b)) + 1
     while high - low > 1:
         mid = (low + high) // 2
         low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid)
     return low
 
 
+def depths(terms: list[bytes]) -> np.ndarray:
+    """For each of sorted terms, the length of the path that it has in common with the term before it."""
+    if not terms:
+        return np.zeros(0, np.int64)
+    length = np.fromiter(map(len, terms), np.int64, len(terms))
+    starts = np.array(terms, f"S{_WIDE}").view(np.uint8).reshape(len(terms), _WIDE)
+    differs = starts[1:] != starts[:-1]
+    same = np.where(differs.any(1), differs.argmax(1), _WIDE)
+    out = np.concatenate([[0], np.minimum(same, np.minimum(length[1:], length[:-1]))])
+    for k in np.flatnonzero(out == _WIDE).tolist():
+        out[k] = shared(terms[k - 1], terms[k])
+    return out
+
+
 class Trie:
     """A radix trie in the order of its bytes: depth[k] is where leaf k's edge leaves the path to the leaf before it, tails holds
-    the edges' bytes one after the other, and each leaf has its documents and its counts by source (from[k] to from[k + 1])."""
+    the edges' bytes one after the other, and each leaf has its documents and its counts by source (leaf_from[k] to leaf_from[k + 1])."""
 
     def __init__(self, depth: np.ndarray, length: np.ndarray, tails: bytes, documents: np.ndarray, leaf_from: np.ndarray, source: np.ndarray, count: np.ndarray):
         self.depth, self.length, self.tails, self.documents, self.leaf_from, self.source, self.count = depth, length, tails, documents, leaf_from, source, count
@@ -36,21 +45,16 @@ class Trie:
         return len(self.depth)
 
     @classmethod
-    def of(cls, leaves: Iterable[Leaf]) -> Trie:
-        """From leaves in order of their bytes."""
-        depth, length, tails, documents, starts, source, count, before = [], [], [], [], [0], [], [], b""
-        for term, docs, counts in leaves:
-            at = shared(before, term)
-            depth.append(at)
-            length.append(len(term) - at)
-            tails.append(term[at:])
-            documents.append(docs)
-            source.extend(counts)
-            count.extend(counts.values())
-            starts.append(len(source))
-            before = term
-        whole = lambda x: np.array(x, np.int64)
-        return cls(whole(depth), whole(length), b"".join(tails), whole(documents), whole(starts), whole(source), whole(count))
+    def of(cls, terms: list[bytes], documents: np.ndarray, leaf: np.ndarray, source: np.ndarray, count: np.ndarray) -> Trie:
+        """From sorted terms, each one's documents, and counters (leaf, source, count), of which those of one leaf and source are added up."""
+        depth = depths(terms)
+        edges = [t[d:] for t, d in zip(terms, depth.tolist(), strict=True)]
+        order = np.lexsort((source, leaf))
+        leaf, source, count = leaf[order], source[order], count[order]
+        new = np.flatnonzero(np.diff(leaf, prepend=-1) | np.diff(source, prepend=-1))
+        count = np.add.reduceat(count, new) if len(new) else count
+        length = np.fromiter(map(len, edges), np.int64, len(edges))
+        return cls(depth, length, b"".join(edges), documents, np.searchsorted(leaf[new], np.arange(len(terms) + 1)), source[new], count)
 
     def terms(self) -> Iterator[bytes]:
         """The traversal: every leaf's path, in order of bytes, which is that of code points."""
@@ -60,12 +64,9 @@ class Trie:
             at += n
             yield path
 
-    def walk(self, names: list[int] | None = None) -> Iterator[Leaf]:
-        """Leaves in order; names gives each source's number elsewhere."""
-        source = self.source.tolist() if names is None else np.array(names, np.int64)[self.source].tolist()
-        count, ends = self.count.tolist(), self.leaf_from.tolist()
-        for k, (term, docs) in enumerate(zip(self.terms(), self.documents.tolist(), strict=True)):
-            yield term, docs, dict(zip(source[ends[k] : ends[k + 1]], count[ends[k] : ends[k + 1]], strict=True))
+    def leaves(self) -> np.ndarray:
+        """Each counter's leaf."""
+        return np.repeat(np.arange(len(self)), np.diff(self.leaf_from))
 
     def pack(self) -> bytes:
         parts = [self.depth.astype(np.uint32), self.length.astype(np.uint32), self.documents, self.leaf_from.astype(np.uint32), self.source.astype(np.uint32), self.count]
@@ -83,28 +84,35 @@ class Trie:
         return cls(depth, length, packed[at:], documents, leaf_from, source, count)
 
     def cut(self, bounds: list[bytes]) -> Iterator[tuple[int, Trie]]:
-        """(number of the range, its part) for the ranges between bounds, those without leaves left out."""
-        if not bounds:
-            if len(self):
-                yield 0, self
-            return
-        number = 0
-        marked = []
-        for leaf in self.walk():
-            while number < len(bounds) and leaf[0] >= bounds[number]:
-                number += 1
-            marked.append((number, leaf))
-        for k, own in groupby(marked, key=itemgetter(0)):
-            yield k, Trie.of(leaf for _, leaf in own)
-
-
-def merge(walks: list[Iterator[Leaf]], min_documents: int = 0) -> Iterator[Leaf]:
-    """One walk through several tries: equal paths become one leaf, whose counters are sums. Leaves of too few documents go."""
-    for term, same in groupby(heapq.merge(*walks, key=itemgetter(0)), key=itemgetter(0)):
-        _, docs, counts = next(same)
-        for _, d, more in same:
-            docs += d
-            for s, n in more.items():
-                counts[s] = counts.get(s, 0) + n
-        if docs >= min_documents:
-            yield term, docs, counts
+        """(number of the range, its part) for the ranges between bounds, those without leaves left out. A part is a slice
+        whose first edge is that leaf's whole path."""
+        terms = list(self.terms()) if bounds else []
+        ends = [0, *(bisect_left(terms, b) for b in bounds), len(self)]
+        at = np.concatenate([[0], np.cumsum(self.length)])
+        for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            if a == b:
+                continue
+            depth, length, low, high = self.depth[a:b].copy(), self.length[a:b].copy(), self.leaf_from[a], self.leaf_from[b]
+            tails = self.tails[at[a] : at[b]]
+            if depth[0]:
+                tails = terms[a][: depth[0]] + tails
+                depth[0], length[0] = 0, length[0] + depth[0]
+            yield k, Trie(depth, length, tails, self.documents[a:b], self.leaf_from[a : b + 1] - low, self.source[low:high], self.count[low:high])
+
+
+def merge(tries: list[Trie], sources: list[np.ndarray], min_documents: int = 0) -> Trie:
+    """One trie from several, whose own numbers of sources stand for those in sources: equal paths become one leaf, whose
+    counters are sums. Leaves of too few documents go."""
+    paths = [list(t.terms()) for t in tries]
+    order = sorted(set().union(*paths))
+    place = dict(zip(order, range(len(order)), strict=True))
+    at = [np.fromiter(map(place.__getitem__, p), np.int64, len(p)) for p in paths]
+    documents = np.zeros(len(order), np.int64)
+    for where, t in zip(at, tries, strict=True):
+        documents[where] += t.documents
+    kept = documents >= min_documents
+    whole = lambda parts: np.concatenate([*parts, np.zeros(0, np.int64)])
+    leaf = whole(where[t.leaves()] for where, t in zip(at, tries, strict=True))
+    source, count = whole(own[t.source] for own, t in zip(sources, tries, strict=True)), whole(t.count for t in tries)
+    stays = kept[leaf]
+    return Trie.of([x for x, k in zip(order, kept.tolist(), strict=True) if k], documents[kept], (np.cumsum(kept) - 1)[leaf[stays]], source[stays], count[stays])
