@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nightlights.operators.components import connected_components
+from nightlights.operators.components import label_components
 from nightlights.operators.rows import correlated_rows, mean_rows
 
 
-def adjacent(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """(a, b): ids of neighbouring cells (keys, r, c, id) of a mask. Each is sent to the pairs that it begins and ends."""
-    side = lambda name, dr, dc, first: F.struct(F.lit(name).alias("side"), (F.col("r") - dr).alias("r"), (F.col("c") - dc).alias("c"), F.lit(first).alias("first"))
-    ends = F.array(side("right", 0, 0, True), side("right", 0, 1, False), side("down", 0, 0, True), side("down", 1, 0, False))
-    rows = cells.select(*keys, "id", F.explode(ends).alias("e")).select(*keys, "e.side", "e.r", "e.c", "e.first", "id")
-    both = rows.groupBy(*keys, "side", "r", "c").agg(F.max(F.when(F.col("first"), F.col("id"))).alias("a"), F.max(F.when(~F.col("first"), F.col("id"))).alias("b"))
-    return both.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
-
-
 def neighbour_correlation(pixels: DataFrame) -> DataFrame:
     """(r, c, side, corr): mean over all nights' frames of the product of z-scores within the night; a night's is its population
     correlation, 0 without spread, weighted by its frames. pixels are (night, obs_idx, r, c, lum), or rows with lum an array."""
@@ -39,16 +30,6 @@ def either(*masks: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def label_components(mask: DataFrame, ncol: int, keys: list[str] | None = None) -> DataFrame:
-    """keys, r, c, label of the mask's 4-connected components, numbered within keys by their first pixel in row order."""
-    keys = keys or []
-    cells = mask.select(*keys, "r", "c", F.struct(*keys, (F.col("r").cast("long") * ncol + F.col("c")).alias("cell")).alias("id"))
-    found = connected_components(adjacent(cells, keys).union(cells.select(F.col("id").alias("a"), F.col("id").alias("b"))))
-    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("component.cell")) if keys else F.dense_rank().over(Window.orderBy("component.cell"))
-    first = found.select("component").distinct().select("component", *[F.col(f"component.{k}").alias(k) for k in keys]).select("component", rank.cast("int").alias("label"))
-    return cells.join(found, cells["id"] == found["node"]).join(first, "component").select(*keys, "r", "c", "label")
-
-
 def label_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count("*").alias("size"))
 
