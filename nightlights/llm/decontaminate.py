@@ -72,9 +72,16 @@ class Windows:
         prefix = ts.prefix_hash(self.tokens.hash)
         self.hash = ts.span(prefix, self.first, self.first + self.length)
         self.by_hash: dict[int, list[int]] = defaultdict(list)
+        self.items_of: dict[int, set[int]] = {}
         probes: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for k, (p, n, h) in enumerate(zip(self.first.tolist(), self.length.tolist(), self.hash.tolist(), strict=True)):
+            mine = self.tokens.words(p, n) if h in self.by_hash else ()
+            same = next((w for w in self.by_hash[h] if self.length[w] == n and self.tokens.words(int(self.first[w]), n) == mine), None)
+            if same is not None:  # equal windows are one, which has all their items
+                self.items_of[same].add(int(self.item[k]))
+                continue
             self.by_hash[h].append(k)
+            self.items_of[k] = {int(self.item[k])}
             at = int(np.argmin(rank[word[p : p + n]]))
             probes[int(self.tokens.hash[p + at])].add((at, n))
         self.windows = Lookup(self.hash)
@@ -85,7 +92,7 @@ class Windows:
         self.probe_at, self.probe_n = np.array([x[1] for x in flat], np.int64), np.array([x[2] for x in flat], np.int64)
 
     def hits(self, t: Tokens) -> list[tuple[int, int, int]]:
-        """(first word in t, window's words, window) of each occurrence."""
+        """(first word in t, window's words, window) of each occurrence; equal windows of several items are one."""
         where, which = self.rare.find(t.hash)
         n = self.probe_from[which + 1] - self.probe_from[which]
         where, k = np.repeat(where, n), np.repeat(self.probe_from[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -171,11 +178,14 @@ def _scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str,
             own = shared.value
             for rows, data in ts.blocks(batches):
                 t = Tokens(data)
-                spans, items = rows.column("spans").to_pylist(), [set(x) for x in rows.column("items").to_pylist()]
+                spans, items, met = rows.column("spans").to_pylist(), [set(x) for x in rows.column("items").to_pylist()], [set() for _ in data]
                 for p, n, w in own.hits(t):
                     i = int(np.searchsorted(t.cut, p, "right")) - 1
                     spans[i].append({"start": p - int(t.cut[i]), "length": n})
-                    items[i].add(own.items[own.item[w]])
+                    met[i].add(w)
+                for i, windows_met in enumerate(met):
+                    for w in windows_met:  # a window's items are listed once for a text, however often it has the window
+                        items[i].update(own.items[k] for k in own.items_of[w])
                 n_hit = [int(ts.covered(np.array([s["start"] for s in x]), np.array([s["length"] for s in x]), int(n)).sum()) if x else 0 for x, n in zip(spans, np.diff(t.cut).tolist(), strict=True)]
                 yield ts.record(**{c: rows.column(c) for c in carried}, spans=pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), items=pa.array([sorted(x) for x in items], pa.list_(pa.string())), n_words=np.diff(t.cut).astype(np.int64), n_hit=pa.array(n_hit, pa.int64()))
 

@@ -22,6 +22,8 @@ CHAIN = 64
 #: Texts to learn from for each code-switched one that is made of them, and the words of one of its pieces: from, below.
 SWITCHED, PIECE = 4, (4, 40)
 BITS = 17
+#: Weights that are summed at a time.
+CELLS = 1 << 21
 _MASK = np.uint64((1 << BITS) - 1)
 #: Letters of words: a-z after lower-casing, and all bytes from 0x80.
 LETTER = np.zeros(256, bool)
@@ -48,10 +50,16 @@ class Features:
         self.whole = np.stack([(ts.mix(ts.span(prefix, a, z) + np.uint64(k)) & _MASK).astype(np.int64) for k, (a, z) in enumerate(pieces)], 1)
 
     def emissions(self, weights: np.ndarray) -> np.ndarray:
-        """Words x languages: the mean over a word's n-grams and the sum over its other features."""
-        total = np.zeros((len(self.ngram) + 1, weights.shape[1]))
-        np.cumsum(weights[self.ngram], axis=0, out=total[1:])
-        out = (total[self.end - 1] - total[self.start - 1]) / (self.end - self.start)[:, None]
+        """Words x languages: the mean over a word's n-grams and the sum over its other features. Some words at a time, so that beside
+        the result only CELLS numbers are held."""
+        labels = weights.shape[1]
+        out = np.zeros((len(self.start), labels))
+        ends = np.searchsorted(self.end, np.arange(0, len(self.ngram) + 2, max(1, CELLS // labels)))
+        for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(self.end)], strict=True):
+            if i < j:
+                first, last = self.start[i:j] - 1, self.end[i:j] - 1
+                of = np.concatenate([weights[self.ngram[first[0] : last[-1]]], np.zeros((1, labels))])
+                out[i:j] = np.add.reduceat(of, np.stack([first, last], 1).ravel() - first[0], axis=0)[::2] / (last - first)[:, None]
         for k in range(self.whole.shape[1]):
             out += weights[self.whole[:, k]]
         return out
@@ -243,7 +251,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for rows, data in ts.blocks(batches, limit=1 << 20):
+        for rows, data in ts.blocks(batches, limit=max(1 << 14, (1 << 22) // max(4, len(m.languages)))):
             f = Features(data)
             p, _ = forward_backward(f.emissions(m.weights), m.transition, f.cut, pairs=False)
             owner = np.repeat(np.arange(len(data)), np.diff(f.cut))

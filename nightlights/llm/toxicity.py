@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from nightlights.llm import textscan as ts
 from nightlights.llm.langid import LETTER
 from nightlights.llm.tables import quoted
+from nightlights.runtime import materialize
 
 #: Labelled rows learned from, of each label, at most; those of the least id hashes. Their texts are taken whole.
 ROWS_PER_LABEL = 4000
@@ -74,10 +75,21 @@ def choose(text: np.ndarray, h: np.ndarray, label: np.ndarray) -> np.ndarray:
     return np.sort(found[best[chi[best] >= 0]])
 
 
-def fit(text: np.ndarray, h: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.1, decay: float = 2e-3, seed: int = 5) -> Machine:
-    """Adaptive gradient descent on the weighted log-loss. text and h: the rows' distinct terms; weight: of each row."""
+def chosen_terms(rows: DataFrame, total: int, positive: int) -> np.ndarray:
+    """choose() for rows (label, terms) of a table: terms are counted by Spark, and TERMS hashes at most come to the driver, however
+    long the texts are."""
+    counts = rows.select("label", F.explode("terms").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.sum("label").alias("m")).where(F.col("n") >= LEAST_ROWS)
+    expected = F.col("n") * positive / total
+    chi = (F.col("m") - expected) ** 2 / F.greatest(F.lit(1e-9), expected * (1 - positive / total) * (1 - F.col("n") / total) + 1e-9)
+    best = counts.select("h", chi.alias("chi")).orderBy(F.desc("chi"), F.col("h") < 0, "h").limit(TERMS).collect()
+    return np.sort(np.array([r.h for r in best], np.int64).view(np.uint64))
+
+
+def fit(text: np.ndarray, h: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 30, batch: int = 256, rate: float = 0.1, decay: float = 2e-3, seed: int = 5, hashes: np.ndarray | None = None) -> Machine:
+    """Adaptive gradient descent on the weighted log-loss. text and h: the rows' distinct terms; weight: of each row; hashes: the terms
+    to use, sorted, which choose() gives where they aren't known."""
     rng = np.random.default_rng(seed)
-    hashes = choose(text, h, label)
+    hashes = choose(text, h, label) if hashes is None else hashes
     if not len(hashes):
         hashes = np.zeros(1, np.uint64)
     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
@@ -109,7 +121,8 @@ def fit(text: np.ndarray, h: np.ndarray, label: np.ndarray, weight: np.ndarray,
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 0, folds: int = 5) -> Machine:
     """Fits on ROWS_PER_LABEL rows at most of each label outside the fold crc32(id) % folds == fold, those of the least hashes,
-    weighted to the labels' own shares and TOXIC_WEIGHT. Without labelled rows every score is near 0. Ids are integers. An id
+    weighted to the labels' own shares and TOXIC_WEIGHT. Of them only the chosen terms reach the driver,
+    TERMS of a row at most. Without labelled rows every score is near 0. Ids are integers. An id
     with both labels is learned from with each; of several texts of one id, the least is; labels without a document and
     documents without a label are left out; only the named columns are read."""
     id_ = F.col("id")
@@ -132,16 +145,25 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     sample = F.broadcast(chosen)  # 2 * ROWS_PER_LABEL rows of an id and a label at most, however large the tables
     one = texts.join(sample, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
-    rows = one.mapInArrow(run, "id long, label int, terms array<long>").toArrow()
+    found = materialize(one.mapInArrow(run, "id long, label int, terms array<long>"), "terms")
+    sizes = {r.label: r.n for r in found.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return Machine(np.zeros(1, np.uint64), -7.0, np.zeros(1), np.zeros((1, FACTORS)))
+    hashes = chosen_terms(found, sum(sizes.values()), sizes.get(1, 0))
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [x[np.isin(x, hashes)] for x in (np.array(t.as_py(), np.int64).view(np.uint64) for t in batch.column("terms"))]
+            yield ts.record(id=batch.column("id"), label=batch.column("label"), terms=pa.array([x.view(np.int64) for x in kept], pa.list_(pa.int64())))
+
+    rows = found.mapInArrow(only, "id long, label int, terms array<long>").toArrow()
     rows = rows.sort_by([("id", "ascending"), ("label", "ascending")])
     lists = rows.column("terms").to_pylist()
-    if not lists:
-        return Machine(np.zeros(1, np.uint64), -7.0, np.zeros(1), np.zeros((1, FACTORS)))
     label = rows.column("label").to_numpy().astype(float)
     weight = np.array([(TOXIC_WEIGHT if k else 1.0) / share[int(k)] for k in label])
     text = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     h = np.array([x for part in lists for x in part], np.int64).view(np.uint64)
-    return fit(text, h, label, weight / weight.mean())
+    return fit(text, h, label, weight / weight.mean(), hashes=hashes)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
