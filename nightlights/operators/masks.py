@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nightlights.operators.components import label_components
-from nightlights.operators.rows import correlated_rows, mean_rows
+from nightlights.operators.rows import correlated_rows, mean_rows, median_rows
 
 
 def neighbour_correlation(pixels: DataFrame) -> DataFrame:
@@ -151,9 +152,13 @@ def grow_labels(labels: DataFrame, nrow: int, ncol: int, least: int = 3, right:
 def colour_fractions(pixels: DataFrame, labels: DataFrame, stop: int = 1700, step: int = 30) -> DataFrame:
     """(source, r, g, b): mean colour fractions over a source's half-resolution pixels, from each pixel's median frame.
 
-    The label of a half-resolution pixel is that at its even row and odd column.
+    pixels have (r, c, lum), or rows of bytes as lum, whose medians come from counts of the 256 values. The label of a half-resolution pixel is that at its even row and odd column.
     """
-    frame = pixels.where((F.col("obs_idx") < stop) & (F.col("obs_idx") % step == 0)).groupBy("r", "c").agg(F.floor(F.median("lum")).alias("lum"))
+    chosen = pixels.where((F.col("obs_idx") < stop) & (F.col("obs_idx") % step == 0))
+    if isinstance(pixels.schema["lum"].dataType, T.ArrayType):
+        frame = median_rows(chosen).withColumn("lum", F.floor("lum"))
+    else:
+        frame = chosen.groupBy("r", "c").agg(F.floor(F.median("lum")).alias("lum"))
     rgb = bayer_rgb(frame, []).fillna(0, ["red", "green", "blue"])
     total = F.col("red") + F.col("green") + F.col("blue")
     part = lambda x: F.when(total > 0, F.col(x) / total).otherwise(0.0)

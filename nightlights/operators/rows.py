@@ -165,3 +165,35 @@ def mean_rows(rows: DataFrame) -> DataFrame:
         yield from given()
 
     return rows.select("r", "side", "c", "n", "corr").repartition("r", "side").sortWithinPartitions("r", "side").mapInArrow(run, "r int, c int, side string, corr double")
+
+
+def median_rows(frames: DataFrame) -> DataFrame:
+    """(r, c, lum): each pixel's median over frames of rows of bytes (r, lum array; null: no sample), half way between the middle two of
+    an even number. A row of the image is in one task, with 256 counters for each pixel however many frames there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counts = None, np.zeros((0, 256), np.int64)
+
+        def given() -> Iterator[pa.RecordBatch]:
+            n = counts.sum(1)
+            c = np.flatnonzero(n)
+            if len(c):
+                upto = counts[c].cumsum(1)
+                middle = [(upto > k[:, None]).argmax(1) for k in ((n[c] - 1) // 2, n[c] // 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), held, np.int32)), pa.array(c.astype(np.int32)), pa.array((middle[0] + middle[1]) / 2)], names=["r", "c", "lum"])
+
+        for batch in batches:
+            lists = batch.column("lum")
+            flat, ends = lists.values, lists.offsets.to_numpy()
+            for k, r in enumerate(batch.column("r").to_pylist()):
+                if r != held:
+                    yield from given()
+                    held, counts = r, np.zeros((0, 256), np.int64)
+                own = flat.slice(ends[k], ends[k + 1] - ends[k])
+                if len(own) > len(counts):
+                    counts = np.pad(counts, ((0, len(own) - len(counts)), (0, 0)))
+                seen = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False))
+                counts[seen, own.drop_null().to_numpy().astype(np.int64)] += 1
+        yield from given()
+
+    return frames.select(F.col("r").cast("int").alias("r"), F.col("lum").cast("array<smallint>").alias("lum")).repartition("r").sortWithinPartitions("r").mapInArrow(run, "r int, c int, lum double")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightlights.functions.stats import anderson_normal, student_p
+from nightlights.operators.ranks import running
 
 SERIES = ["night", "source"]
 
@@ -97,7 +98,7 @@ def rank_by_last_event(edges: DataFrame, night: str, other: str) -> DataFrame:
     """Sources ranked by their last event on night, and (rank, obs_idx) of their events on other."""
     event = F.col("is_on") | F.col("is_off")
     last = edges.where(event & (F.col("night") == night)).groupBy("source").agg(F.max("obs_idx").alias("last"))
-    ranked = last.select("source", F.row_number().over(Window.orderBy("last", "source")).alias("rank"))
+    ranked = running(last, [F.col("last"), F.col("source")], {"rank": F.lit(1)}).select("source", F.col("rank").cast("int").alias("rank"))
     return edges.where(event & (F.col("night") == other)).join(ranked, "source").select("source", "rank", "obs_idx")
 
 
@@ -108,7 +109,8 @@ def relative_brightness(curves: DataFrame) -> DataFrame:
 
 def rank_sources(df: DataFrame, value: Column, by: str = "night") -> DataFrame:
     """by, source and rank within by, by value descending, then by source."""
-    return df.select(by, "source", F.row_number().over(Window.partitionBy(by).orderBy(value.desc(), "source")).alias("rank"))
+    rows = df.select(by, "source", value.alias("_value"))
+    return running(rows, [F.col("_value").desc(), F.col("source")], {"rank": F.lit(1)}, [by]).select(by, "source", F.col("rank").cast("int").alias("rank"))
 
 
 #: Orders by colour: what each ranks by, descending.
@@ -151,8 +153,8 @@ def anderson_darling(df: DataFrame, value: str = "total", group: str = "grp") ->
     """One row (a2, n, k, H, statistic, p): the k-sample statistic with midranks over the groups of df, its normalised form and
     the latter's p, held to 0.001 .. 0.25. Null groups and values are left out.
 
-    Counts per distinct value are cumulated by a window over distinct values of one group; they are totals of sources, not
-    samples of series. One row of sums comes out, which alone is normalised in Python.
+    Counts per distinct value are cumulated over ranges of values, so that a group of any size lies in several tasks. One row of
+    sums comes out, which alone is normalised in Python.
     """
     rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
@@ -160,8 +162,8 @@ def anderson_darling(df: DataFrame, value: str = "total", group: str = "grp") ->
     every = at.groupBy(value).agg(F.sum("f").alias("l"))
     total = sizes.agg(F.sum("n").alias("all"), F.count("*").alias("k"), F.sum(1 / F.col("n")).alias("H"))
     grid = every.crossJoin(sizes).join(at, [value, group], "left").fillna(0, ["f"])
-    order = Window.partitionBy(group).orderBy(value)
-    cum = grid.withColumns({"M": F.sum("f").over(order) - F.col("f") / 2, "B": F.sum("l").over(order) - F.col("l") / 2}).crossJoin(total)
+    summed = running(grid, [F.col(value)], {"_f": F.col("f"), "_l": F.col("l")}, [group])
+    cum = summed.withColumns({"M": F.col("_f") - F.col("f") / 2, "B": F.col("_l") - F.col("l") / 2}).crossJoin(total)
     inner = F.col("l") / F.col("all") * (F.col("all") * F.col("M") - F.col("B") * F.col("n")) ** 2 / (F.col("B") * (F.col("all") - F.col("B")) - F.col("all") * F.col("l") / 4)
     a2 = cum.groupBy(group).agg((F.sum(inner) / F.first("n")).alias("part")).agg(F.sum("part").alias("s")).crossJoin(total)
     row = a2.select((F.col("s") * (F.col("all") - 1) / F.col("all")).alias("a2"), F.col("all").cast("long").alias("n"), F.col("k").cast("long").alias("k"), "H")

@@ -112,6 +112,13 @@ def summed(vectors: DataFrame, by: list[str]) -> DataFrame:
     return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_summing(keys, True), schema)
 
 
+def summed_arrays(arrays: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and v: element-wise sums of arrays (keys, v) that are sums of tasks already: one array of each travels."""
+    types = {f.name: f.dataType.simpleString() for f in arrays.schema.fields}
+    rows = arrays.select(*keys, F.lit(None).cast("array<int>").alias("at"), "v").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(_summing(keys, True), ", ".join([*(f"{k} {types[k]}" for k in keys), "at array<int>, v array<double>"])).drop("at")
+
+
 def _row_sums(flatten: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line, scan, block, sums = None, None, [], {}

@@ -79,18 +79,22 @@ def tiles_on_boundary(tiles: DataFrame, ring: list[tuple[float, float]]) -> Data
     return tiles.where(corner | vertex | F.exists(F.sequence(F.lit(0), F.lit(len(ring) - 1)), cuts))
 
 
-def lots_of_places(places: DataFrame, lots: DataFrame, reach: float = 500) -> DataFrame:
+def lots_of_places(places: DataFrame, lots: DataFrame, reach: float = 500, cell: float | None = None) -> DataFrame:
     """(x, y, bbl): the lot that contains each place, the last in the order of ord if several do, 0 if none.
 
-    lots: (bbl, ord, x, y, ring), x and y the centre. Only lots within reach are tried; they meet through a grid of that size,
-    and a ring's edges are walked only where its box has the place.
+    lots: (bbl, ord, x, y, ring), x and y the centre. Only lots within reach are tried. A lot lies under the cells of a grid, a
+    quarter of reach wide unless cell says otherwise, that the box of its ring covers as far as reach goes; a place under its own.
+    A ring's edges are walked only where its box has the place.
     """
-    cell = lambda c: F.floor(c / reach)
-    near = F.explode(F.flatten(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda i: F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda j: F.struct((cell(F.col("lx")) + i).alias("gx"), (cell(F.col("ly")) + j).alias("gy"))))))
+    size = cell or reach / 4
+    at = lambda c: F.floor(c / size)
     ends = [f(F.transform("ring", (lambda c: lambda p: p[c])(c))).alias(f"{c}{n}") for c in "xy" for f, n in ((F.array_min, "0"), (F.array_max, "1"))]
-    wide = lots.select("bbl", "ord", F.col("x").alias("lx"), F.col("y").alias("ly"), "ring", *ends).withColumn("g", near).select("*", "g.gx", "g.gy").drop("g")
-    at = places.select("x", "y").distinct().withColumns({"gx": cell(F.col("x")), "gy": cell(F.col("y"))})
-    hit = at.join(wide, ["gx", "gy"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").where((F.col("x") - F.col("lx")) ** 2 + (F.col("y") - F.col("ly")) ** 2 < reach**2).where(contains(F.col("ring"), F.col("x"), F.col("y")))
+    boxed = lots.select("bbl", "ord", F.col("x").alias("lx"), F.col("y").alias("ly"), "ring", *ends)
+    span = lambda c: F.sequence(at(F.greatest(f"{c}0", F.col(f"l{c}") - reach)), at(F.least(f"{c}1", F.col(f"l{c}") + reach)))
+    met = boxed.where((F.abs(F.greatest("x0", F.least("x1", "lx")) - F.col("lx")) < reach) & (F.abs(F.greatest("y0", F.least("y1", "ly")) - F.col("ly")) < reach))
+    wide = met.withColumn("gx", F.explode(span("x"))).withColumn("gy", F.explode(span("y")))
+    own = places.select("x", "y").distinct().withColumns({"gx": at(F.col("x")), "gy": at(F.col("y"))})
+    hit = own.join(wide, ["gx", "gy"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").where((F.col("x") - F.col("lx")) ** 2 + (F.col("y") - F.col("ly")) ** 2 < reach**2).where(contains(F.col("ring"), F.col("x"), F.col("y")))
     best = hit.groupBy("x", "y").agg(F.max_by("bbl", "ord").alias("bbl"))
     return places.join(best, ["x", "y"], "left").select("x", "y", F.coalesce("bbl", F.lit(0)).cast("long").alias("bbl"))
 

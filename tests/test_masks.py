@@ -109,3 +109,26 @@ def test_time_is_linear_in_the_columns(spark):
     began = time.time()
     assert op.neighbour_correlation(wide).count() == 20 * 4095 + 19 * 4096
     assert time.time() - began < 60
+
+
+def test_medians_by_counts(spark):
+    """Rows of bytes with gaps, odd and even numbers of frames, widths of their own."""
+    rng = np.random.default_rng(8)
+    frames = [(t, r, [None if rng.random() < 0.2 else int(x) for x in rng.integers(0, 256, 9 + r % 3)]) for t in range(7) for r in range(5)]
+    got = {(x.r, x.c): x.lum for x in vectors.median_rows(spark.createDataFrame(frames, "obs_idx int, r int, lum array<smallint>").repartition(4)).collect()}
+    seen = {}
+    for _, r, row in frames:
+        for c, x in enumerate(row):
+            if x is not None:
+                seen.setdefault((r, c), []).append(x)
+    assert got == {k: float(np.median(v)) for k, v in seen.items()}
+
+
+def test_colour_fractions_of_rows_and_cells(spark):
+    rng = np.random.default_rng(9)
+    frames = [("n", t, r, [int(x) for x in rng.integers(0, 256, 8)]) for t in range(6) for r in range(6)]
+    rows = spark.createDataFrame(frames, "night string, obs_idx int, r int, lum array<smallint>")
+    labels = spark.createDataFrame([(r, c, 1 + (r + c) % 3) for r in range(6) for c in range(8)], "r int, c int, label int")
+    cells = rows.select("night", "obs_idx", "r", F.posexplode("lum").alias("c", "lum"))
+    whole = lambda df: sorted((x.source, round(x.red, 9), round(x.green, 9), round(x.blue, 9)) for x in op.colour_fractions(df, labels, 5, 2).collect())
+    assert whole(rows) == whole(cells)
