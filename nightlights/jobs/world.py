@@ -97,19 +97,20 @@ def _(v):
     return op.lots_of_places(v.places, lots(v), 6)
 
 
-_EX, _EY = slopes_sql("c - 12 // 2 + 0.001", "12 // 2 - r + 0.001")
+_EX, _EY = slopes_sql("c - n // 2 + 0.001", "12 // 2 - r + 0.001")
 
 
 @query(
-    "j10_line_of_sight", "points",
-    f"""{RASTER}, px AS (SELECT a r, b c FROM range(12) x(a), range(12) y(b)), ray AS (SELECT r, c, {_EX} ex, {_EY} ey FROM px), far AS (SELECT r, c, d, ex, ey, -d / sqrt(1 + ex * ex + ey * ey) dz FROM ray, range(10, 110) t(d)),
+    "j10_line_of_sight", "points lots",
+    f"""{RASTER}, px AS (SELECT a r, bbl - 1 c, (SELECT count(*) FROM lots) n FROM range(12) x(a), lots), ray AS (SELECT r, c, {_EX} ex, {_EY} ey FROM px), far AS (SELECT r, c, d, ex, ey, -d / sqrt(1 + ex * ex + ey * ey) dz FROM ray, range(10, 110) t(d)),
     pt AS (SELECT r, c, ex * dz + {CAMERA.x} x, ey * dz + {CAMERA.y} y, dz + {CAMERA.z} z FROM far), hit AS (SELECT pt.r, pt.c, x, y, sqrt((x - {CAMERA.x}) ** 2 + (y - {CAMERA.y}) ** 2) dist FROM pt, low JOIN raster g ON g.r = round_even(y - ly, 0)::INT AND g.c = round_even(x - lx, 0)::INT WHERE g.z > pt.z)
     --- SELECT px.r::INT r, px.c::INT c, coalesce(arg_min(x, dist), 0) x, coalesce(arg_min(y, dist), 0) y, coalesce(min(dist), 0) dist FROM px LEFT JOIN hit ON hit.r = px.r AND hit.c = px.c GROUP BY px.r, px.c""", "x y dist",
 )
 def _(v):
-    pixels = v.spark.range(144).select(F.floor(F.col("id") / 12).cast("int").alias("r"), (F.col("id") % 12).cast("int").alias("c"))
+    """An image with a column for each lot."""
+    pixels = v.lots.select((F.col("bbl") - 1).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("r")).select("r", "c")
     low = v.points.agg(F.min("x"), F.min("y")).first()
-    return op.line_of_sight(pixels, raster(v), CAMERA, 12, 12, (low[0], low[1]), 10, 110, 40, tile=16, stretch=8, share=50)
+    return op.line_of_sight(pixels, raster(v), CAMERA, 12, v.lots.count(), (low[0], low[1]), 10, 110, 40, tile=16, stretch=8, share=50)
 
 
 def _linear(row: tuple[float, float, float]) -> str:

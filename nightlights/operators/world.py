@@ -99,13 +99,18 @@ def lots_of_places(places: DataFrame, lots: DataFrame, reach: float = 500, cell:
     return places.join(best, ["x", "y"], "left").select("x", "y", F.coalesce("bbl", F.lit(0)).cast("long").alias("bbl"))
 
 
+#: Tiles along the side of a square of the next level.
+LEVEL = 8
+
+
 def line_of_sight(pixels: DataFrame, raster: DataFrame, camera: Camera, nrow: int, ncol: int, corner: tuple[float, float], near: int, far: int, chunk: int = 4096, tile: int = 256, stretch: int = 64, share: int = 100_000) -> DataFrame:
     """(r, c, x, y, dist): where each pixel's ray first runs below the raster, by horizontal distance; 0 where it never does.
 
     Distances go up by one, in chunks, nearest first; a hit ray leaves, since horizontal distance grows along a ray. What
     travels is a row for each stretch of a ray and square tile of the raster that it crosses; steps are taken inside the
     tile in NumPy. A tile that more than share stretches cross, as near the camera, is copied for each share of them. Rays
-    in flight are written down between chunks, so the plan doesn't grow.
+    in flight are written down between chunks, so the plan doesn't grow. Of the raster there are maxima of tiles and of squares of
+    LEVEL x LEVEL tiles: long stretches that pass above a square aren't cut up, and short ones that pass above a tile don't travel.
     """
     ex, ey = ray_slopes(camera, F.col("c") - ncol // 2 + 1e-3, nrow // 2 - F.col("r") + 1e-3)
     rays = pixels.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")).withColumns({"ex": ex, "ey": ey}).withColumn("norm", F.sqrt(1 + F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey")))
@@ -113,6 +118,20 @@ def line_of_sight(pixels: DataFrame, raster: DataFrame, camera: Camera, nrow: in
     heights = raster.select("r", "c", F.col("z").cast("double").alias("z"), F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc"))
     x0, y0 = corner
     cx, cy, cz = camera.x, camera.y, camera.z
+    tops = materialize(heights.groupBy("tr", "tc").agg(F.max("z").alias("top")), "tops")
+    up = lambda c: F.floor(F.col(c) / LEVEL).cast("int")
+    squares = materialize(tops.groupBy(up("tr").alias("wr"), up("tc").alias("wc")).agg(F.max("top").alias("top")), "tops")
+
+    def crossed(rays: DataFrame, first: Column, last: Column, side: int, names: tuple[str, str]) -> DataFrame:
+        """A row for each stretch of a ray and each square of a side that it may cross."""
+        cut = rays.withColumn("first", first).withColumn("last", last)
+        (xa, ya), (xb, yb) = at(F.col("first")), at(F.col("last"))
+        spread = lambda u, v, o: F.explode(F.sequence(F.floor(F.bround(F.least(u, v) - o) / side).cast("int"), F.floor(F.bround(F.greatest(u, v) - o) / side).cast("int")))
+        return cut.withColumn(names[0], spread(ya, yb, y0)).withColumn(names[1], spread(xa, xb, x0))
+
+    def under(pieces: DataFrame, tops: DataFrame, on: list[str]) -> DataFrame:
+        """Those that are lower at their end, where a ray is lowest, than what they cross is at its highest."""
+        return pieces.join(tops, on).where(F.col("top") > cz - F.col("last") / F.col("norm")).drop("top")
 
     def walk(key: tuple, rays: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         ground = np.full((tile, tile), -np.inf)
@@ -134,10 +153,10 @@ def line_of_sight(pixels: DataFrame, raster: DataFrame, camera: Camera, nrow: in
     found = None
     for low in range(near, far, chunk):
         high = min(low + chunk, far)
-        pieces = rays.withColumn("first", F.explode(F.sequence(F.lit(low), F.lit(high - 1), F.lit(stretch)))).withColumn("last", F.least(F.col("first") + stretch, F.lit(high)) - 1)
-        (xa, ya), (xb, yb) = at(F.col("first")), at(F.col("last"))
-        spread = lambda u, v, o: F.sequence(F.floor(F.bround(F.least(u, v) - o) / tile).cast("int"), F.floor(F.bround(F.greatest(u, v) - o) / tile).cast("int"))
-        pieces = pieces.withColumn("tr", F.explode(spread(ya, yb, y0))).withColumn("tc", F.explode(spread(xa, xb, x0)))
+        long = crossed(rays, F.explode(F.sequence(F.lit(low), F.lit(high - 1), F.lit(stretch * LEVEL))), F.least(F.col("first") + stretch * LEVEL, F.lit(high)) - 1, tile * LEVEL, ("wr", "wc"))
+        long = under(long, squares, ["wr", "wc"]).withColumnsRenamed({"first": "from", "last": "to"})
+        short = crossed(long, F.explode(F.sequence("from", "to", F.lit(stretch))), F.least(F.col("first") + stretch - 1, "to"), tile, ("tr", "tc"))
+        pieces = under(short.where((up("tr") == F.col("wr")) & (up("tc") == F.col("wc"))).drop("from", "to", "wr", "wc"), tops, ["tr", "tc"])
         shares = materialize(pieces.groupBy("tr", "tc").agg(F.ceil(F.count("*") / share).cast("int").alias("n")), "shares")
         pieces = pieces.join(shares.toDF("tr", "tc", "n"), ["tr", "tc"]).withColumn("s", F.pmod(F.xxhash64("r", "c"), F.col("n")).cast("int"))
         ground = heights.join(shares.toDF("tr", "tc", "m"), ["tr", "tc"]).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))

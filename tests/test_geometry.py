@@ -73,13 +73,28 @@ def test_clusters_of_groups_far_apart(spark):
         assert sorted(map(sorted, by.values())) == [[0], [1], [2]]
 
 
-def test_close_pairs_by_slices_and_blocks(spark):
+def test_close_pairs_by_cells_and_blocks(spark):
     import numpy as np
 
-    x = np.random.default_rng(5).uniform(0, 3, (150, 2))
-    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "source int, spectrum array<double>")
-    got = sorted((r.a, r.b) for r in learning.close_pairs(rows, 0.4, block=8).collect())
-    assert got == sorted((i, j) for i in range(150) for j in range(150) if ((x[i] - x[j]) ** 2).sum() <= 0.16)
+    rng = np.random.default_rng(5)
+    for x, eps in ((rng.uniform(0, 3, (150, 2)), 0.4), (np.repeat(rng.integers(0, 4, (20, 3)), 3, 0).astype(float), 1.0), (np.zeros((5, 4)), 0.1), (rng.normal(size=(1, 3)), 1.0)):
+        rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "source int, spectrum array<double>").repartition(3)
+        got = sorted((r.a, r.b) for r in learning.close_pairs(rows, eps, block=8).collect())
+        assert got == sorted((i, j) for i in range(len(x)) for j in range(len(x)) if ((x[i] - x[j]) ** 2).sum() <= eps**2)
+    assert learning.close_pairs(rows.where("false"), 1.0).count() == 0
+
+
+def test_index_in_many_dimensions(spark):
+    """Groups of spectra in 64 dimensions whose every axis overlaps: pivots leave a small share of the pairs to be compared."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(0, 1, (30, 64)), 20, 0) + rng.normal(0, 0.01, (600, 64))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "source int, spectrum array<double>").repartition(3)
+    r = learning.compared(rows, 0.3).first()
+    assert r.pairs == 600 * 601 // 2 and r.compared < 0.15 * r.pairs
+    got = sorted((r.a, r.b) for r in learning.close_pairs(rows, 0.3).collect())
+    assert got == [(i, j) for i in range(600) for j in range(600) if i // 20 == j // 20]
 
 
 def test_forest_learns_a_threshold(spark):
@@ -136,3 +151,32 @@ def test_state_plane_is_true_along_its_parallels(spark):
         foot = 1200 / 3937
         assert math.isclose(math.hypot(east[0] - here[0], east[1] - here[1]) * foot, prime * math.cos(math.radians(lat)) * math.radians(h), rel_tol=1e-6)
         assert math.isclose(math.hypot(north[0] - here[0], north[1] - here[1]) * foot, meridian * math.radians(h), rel_tol=1e-4)
+
+
+def test_rays_skip_what_they_pass_above(spark, monkeypatch):
+    """Towers on a plain, seen in tiles and squares of them, against every step of every ray."""
+    import numpy as np
+    from nightlights.functions.camera import Camera
+    from nightlights.operators import world
+
+    rng = np.random.default_rng(11)
+    ground = np.where(rng.random((60, 50)) < 0.02, rng.uniform(5, 60, (60, 50)), rng.random((60, 50)))
+    ground[40:, 30:] = np.nan  # no raster there
+    camera = Camera(0.6, -0.35, 0.02, -20.0, -10.0, 40.0, 60.0)
+    raster = spark.createDataFrame([(int(r), int(c), float(ground[r, c])) for r, c in np.argwhere(~np.isnan(ground))], "r int, c int, z double")
+    pixels = spark.createDataFrame([(r, c) for r in range(20) for c in range(18)], "r int, c int")
+    monkeypatch.setattr(world, "LEVEL", 3)
+    got = {(x.r, x.c): (x.x, x.y, x.dist) for x in world.line_of_sight(pixels, raster, camera, 20, 18, (0.0, 0.0), 5, 150, 60, tile=7, stretch=4, share=50).collect()}
+    slopes = pixels.select("r", "c", *[e.alias(n) for e, n in zip(world.ray_slopes(camera, world.F.col("c") - 9 + 1e-3, 10 - world.F.col("r") + 1e-3), ("ex", "ey"), strict=True)])
+    hits = 0
+    for p in slopes.collect():
+        want = (0.0, 0.0, 0.0)
+        for d in range(5, 150):
+            dz = -d / np.sqrt(1 + p.ex**2 + p.ey**2)
+            x, y = p.ex * dz + camera.x, p.ey * dz + camera.y
+            r, c = int(np.rint(y)), int(np.rint(x))
+            if 0 <= r < 60 and 0 <= c < 50 and ground[r, c] > dz + camera.z:
+                want, hits = (x, y, np.hypot(x - camera.x, y - camera.y)), hits + 1
+                break
+        assert np.allclose(got[p.r, p.c], want)
+    assert 0 < hits < 360
