@@ -163,6 +163,7 @@ def _repeats(docs: DataFrame) -> DataFrame:
 
     windows = materialize(docs.join(borders, ["doc", "text_hash"]).select("doc", "text_hash", "text", "parts").mapInArrow(run_windows, "doc long, text_hash long, at int, minimizer long, edge long"), "windows")
     least = windows.groupBy("minimizer", "edge").agg(source, F.max("doc").alias("last")).where("source.doc < last")
+    least = least.hint("rebalance")  # dealt anew, so that both sides below are plain exchanges, of which Spark splits a hot one
     single = windows.join(least.select("minimizer", "edge", "source"), ["minimizer", "edge"]).where("source.doc < doc")
     single = single.select("doc", "text_hash", "at", F.lit(1).cast("short").alias("n"), F.lit(0).cast("long").alias("path"), F.col("at").alias("place"), "source")
     spans = materialize(_runs(on_path).unionByName(_runs(single)).select("doc", "text_hash", "at", "n", "source"), "spans")
