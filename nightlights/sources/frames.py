@@ -90,7 +90,7 @@ def read_scans(spark: SparkSession, path: str, headers: DataFrame, rows: tuple[i
     belong together if the first group of name finds the same in their paths. A scan may have any size: of each, pieces of
     whole columns are dealt out to tasks, and columns outside the box, which ends where a scan does, aren't read. A scan
     without a header and a header without a scan drop out; a file that is shorter than its header says is an error, and bytes
-    after the pixels are ignored.
+    after the pixels are ignored. Tasks open the files themselves, so their store must be one that pyarrow knows.
     """
     called = lambda c: F.regexp_extract(c, name, 1)
     shapes = headers.select(called("scan").alias("scan"), "samples", "lines", "bands")
