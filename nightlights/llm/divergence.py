@@ -21,7 +21,7 @@ TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 SCALE = 1_000_000_000
 MIN_DOCUMENTS, TOP = 3, 200
 #: Counters that a task holds before it writes its tries, packed bytes of a range of prefixes, and cells of counts at a time.
-HELD, RANGE_BYTES, CELLS = 400_000, 4 << 20, 1 << 18
+HELD, RANGE_BYTES, CELLS = 400_000, 2 << 20, 1 << 18
 TERM_BITS = 36
 _TERM = (1 << TERM_BITS) - 1
 #: Bounds are drawn from so many prefixes of so many bytes at most.

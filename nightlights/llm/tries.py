@@ -9,6 +9,7 @@ import numpy as np
 
 #: Bytes of neighbouring terms that are compared at once.
 _WIDE = 32
+_KINDS = (np.uint8, np.uint16, np.uint32, np.int64)
 
 
 def shared(a: bytes, b: bytes) -> int:
@@ -69,15 +70,17 @@ class Trie:
         return np.repeat(np.arange(len(self)), np.diff(self.leaf_from))
 
     def pack(self) -> bytes:
-        parts = [self.depth.astype(np.uint32), self.length.astype(np.uint32), self.documents, self.leaf_from.astype(np.uint32), self.source.astype(np.uint32), self.count]
-        return np.array([len(self.depth), len(self.source)], np.int64).tobytes() + b"".join(x.tobytes() for x in parts) + self.tails
+        """Sizes, the kinds of numbers, and the arrays, each in the smallest kind that holds it."""
+        arrays = [self.depth, self.length, self.documents, self.leaf_from, self.source, self.count]
+        kinds = [next(k for k, kind in enumerate(_KINDS) if not len(x) or x.max() <= np.iinfo(kind).max) for x in arrays]
+        return np.array([len(self.depth), len(self.source), *kinds], np.int64).tobytes() + b"".join(x.astype(_KINDS[k]).tobytes() for x, k in zip(arrays, kinds, strict=True)) + self.tails
 
     @classmethod
     def unpack(cls, packed: bytes) -> Trie:
-        n, m = np.frombuffer(packed, np.int64, 2).tolist()
-        at, found = 16, []
-        for size, kind in ((n, np.uint32), (n, np.uint32), (n, np.int64), (n + 1, np.uint32), (m, np.uint32), (m, np.int64)):
-            x = np.frombuffer(packed, kind, size, at)
+        n, m, *kinds = np.frombuffer(packed, np.int64, 8).tolist()
+        at, found = 64, []
+        for size, k in zip((n, n, n, n + 1, m, m), kinds, strict=True):
+            x = np.frombuffer(packed, _KINDS[k], size, at)
             found.append(x.astype(np.int64))
             at += x.nbytes
         depth, length, documents, leaf_from, source, count = found

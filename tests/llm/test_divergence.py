@@ -57,6 +57,11 @@ def test_tries_keep_and_merge_what_they_are_made_of():
     assert shared(b"abcd" * 9, b"abcd" * 8 + b"abxd") == 34 and shared(b"", b"a") == 0 and shared(b"a", b"a") == 1
 
 
+def test_large_counters_are_kept():
+    big = Trie.of([b"a" * 70_000, b"b"], np.array([3, 1 << 40]), np.array([0, 1, 1]), np.array([0, 70_000, 1]), np.array([255, 1 << 33, 256]))
+    assert walk(Trie.unpack(big.pack()), range(80_000)) == walk(big, range(80_000)) == [(b"a" * 70_000, 3, {0: 255}), (b"b", 1 << 40, {1: 256, 70_000: 1 << 33})]
+
+
 def test_shares_are_exact():
     for total in (7, 10**9 + 7, 2**52 + 3):
         for n in (0, 1, total // 3, total - 1):
