@@ -16,7 +16,7 @@ from nightlights.operators.masks import colour_fractions
 from nightlights.operators.states import lit_states, rank_by_colour
 from nightlights.registry import query
 from nightlights.runtime import shared_dir
-from nightlights.sources import frames, maps
+from nightlights.sources import frames, maps, raw
 
 SIDE = 16
 
@@ -86,6 +86,21 @@ def _(v):
     return cubes.join(heads.select(number, "samples", "lines", "bands"), "scan_id").select("scan_id", "r", "c", "channel", "value", "samples", "lines", "bands")
 
 
+WAVES = "SELECT scan_id, channel, 400 + 10 * channel + max(value) / 8.0 AS wavelength FROM scans GROUP BY scan_id, channel"
+
+
+@query("s3_wavelengths", "scans", f"SELECT scan_id, (row_number() OVER (PARTITION BY scan_id ORDER BY channel) - 1)::INT channel, wavelength::DOUBLE wavelength FROM ({WAVES})", "wavelength")
+def _(v):
+    """A header for each scan, whose list has a line for each channel that the scan has."""
+    path = folder(v, "wavelengths")
+    wave = (400 + 10 * F.col("channel") + F.max("value") / 8.0).cast("double")
+    each = v.scans.groupBy("scan_id", "channel").agg(wave.alias("wavelength")).groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("channel", "wavelength"))).alias("xs"))
+    lines = F.concat(F.array(F.concat(F.lit("bands = "), F.size("xs")), F.lit("Wavelength = {")), F.transform("xs", lambda x: F.concat(x["wavelength"].cast("string"), F.lit(", nm"))), F.array(F.lit("}")))
+    each.select("scan_id", F.array_join(lines, "\n").alias("value")).write.partitionBy("scan_id").text(path)
+    found = frames.read_wavelengths(v.spark, f"{path}/*")
+    return found.select(F.regexp_extract("scan", r"scan_id=(\d+)", 1).cast("int").alias("scan_id"), "channel", "wavelength")
+
+
 CLIP = "SELECT source FROM source_class WHERE score >= 0.35"
 
 
@@ -123,6 +138,25 @@ def _(v):
     return frames.read_nights(v.spark, path, "r int, c int, channel int, value bigint, night string").select("night", "r", "c", "channel", "value")
 
 
+@query(
+    "s7_raw_cubes", "scans",
+    f"""nar AS (SELECT night, min(n) ncol FROM (SELECT night, scan_id, max(c) + 1 n FROM scans GROUP BY night, scan_id) GROUP BY night), stack AS (SELECT s.night, r, c, channel, sum(value) % 65536 AS value FROM scans s JOIN nar n ON n.night = s.night WHERE c < ncol GROUP BY s.night, r, c, channel),
+    width AS (SELECT night, max(c) + 1 n FROM stack GROUP BY night), g AS (SELECT a::INT r, k::INT channel FROM range({SIDE}) x(a), range(7) z(k)), cells AS (SELECT night, n, b::INT c, g.r, g.channel FROM width, range({SIDE}) y(b), g WHERE b < n)
+    --- SELECT x.night, x.r, x.c, x.channel, coalesce(value, 0)::INT AS value, n::INT AS "lines", (400 + 10.0 * x.channel)::DOUBLE AS wavelength FROM cells x LEFT JOIN stack s ON s.night = x.night AND s.r = x.r AND s.c = x.c AND s.channel = x.channel""",
+    "wavelength",
+)
+def _(v):
+    """A raw cube and header for each night's stack, read back whole."""
+    path = folder(v, "cubes")
+    cubes = stacks.stacked_spectra(v.scans, ["night"], wrap=True).withColumnRenamed("night", "scan")
+    raw.write_raw_cubes(cubes, path, SIDE, 7, waves=[400 + 10.0 * k for k in range(7)])
+    heads = frames.read_header(v.spark, f"{path}/*.hdr")
+    night = F.regexp_extract("scan", frames.FILE_NAME, 1).alias("night")
+    found = frames.read_scans(v.spark, f"{path}/*.raw", heads).select(night, "r", "c", F.posexplode("spectrum").alias("channel", "value"))
+    waves = frames.read_wavelengths(v.spark, f"{path}/*.hdr").select(night, "channel", "wavelength")
+    return found.join(heads.select(night, "lines"), "night").join(waves, ["night", "channel"]).select("night", "r", "c", "channel", "value", "lines", "wavelength")
+
+
 @query("s8_compressed_frames", "pixels", f"{FRAMES} --- SELECT night, obs_idx, r, list(lum ORDER BY c)::VARCHAR lums FROM full_frames GROUP BY night, obs_idx, r")
 def _(v):
     path = folder(v, "compressed")

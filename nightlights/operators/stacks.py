@@ -85,6 +85,14 @@ def stack(scans: DataFrame, wrap: bool = False) -> DataFrame:
     return total.withColumn("value", F.pmod("value", F.lit(65536))) if wrap else total
 
 
+def stacked_spectra(scans: DataFrame, by: list[str], wrap: bool = False) -> DataFrame:
+    """by, r, c, spectrum array<int>: stack for each of by, cut to its narrowest scan, pixels left as vectors, as raw cubes are
+    written; channels without a value are 0. wrap: modulo 65536."""
+    inside = scans.join(narrowest(scans, by), by).where("c < ncol")
+    value = lambda x: F.coalesce(F.pmod(x, F.lit(65536.0)) if wrap else x, F.lit(0.0)).cast("int")
+    return summed(as_vectors(inside, [*by, "scan_id"]), by).select(*by, "r", "c", F.transform("v", value).alias("spectrum"))
+
+
 def mean_stack(scans: DataFrame) -> DataFrame:
     """stack over the number of scans, rounded down."""
     n = scans.agg(F.countDistinct("scan_id").alias("n"))

@@ -79,6 +79,17 @@ def read_header(spark: SparkSession, path: str) -> DataFrame:
     return keys.groupBy("scan").pivot("k", ["samples", "lines", "bands"]).agg(F.first(F.col("v").cast("int")))
 
 
+def read_wavelengths(spark: SparkSession, path: str) -> DataFrame:
+    """(scan, channel, wavelength) of text headers: the first number of each line after the last that says Wavelength, for as
+    many lines as there are bands. A header without such a list, or without bands, has none; a line without a number gives null."""
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("scan"), "value", F.split("value", "\r?\n").alias("lines"))
+    bands = F.regexp_extract("value", r"(?im)^\s*bands\s*=\s*(\d+)", 1)
+    start = F.array_max(F.transform("lines", lambda x, k: F.when(x.contains("Wavelength"), k)))
+    found = text.select("scan", "lines", start.alias("start"), bands.try_cast("int").alias("bands")).where("start IS NOT NULL AND bands > 0")
+    number = F.regexp_extract("line", r"^\s*([-+0-9.eE]+)", 1).try_cast("double")
+    return found.select("scan", F.posexplode(F.slice("lines", F.col("start") + 2, F.col("bands"))).alias("channel", "line")).select("scan", "channel", number.alias("wavelength"))
+
+
 #: A scan's or a header's name: the file's, without the extension.
 FILE_NAME = r"([^/]+?)(\.[^./]*)?$"
 
