@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nightlights.operators.components import label_components
-from nightlights.operators.rows import correlated_rows, mean_rows, median_rows
+from nightlights.operators.rows import correlated_rows, mean_rows, median_rows, painted_rows
 
 
 def neighbour_correlation(pixels: DataFrame) -> DataFrame:
@@ -115,11 +115,12 @@ def light_curves(pixels: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def paint_curves(labels: DataFrame, curves: DataFrame, nrow: int, ncol: int) -> DataFrame:
-    """(night, obs_idx, r, c, lum): every pixel of the grid with its source's brightness in each frame, background 0."""
-    spark = labels.sparkSession
-    grid = spark.range(nrow * ncol).select(F.floor(F.col("id") / ncol).cast("int").alias("r"), (F.col("id") % ncol).cast("int").alias("c")).join(labels, ["r", "c"], "left")
+    """(night, obs_idx, r, c, lum): every pixel of the grid with its source's brightness in each frame, background 0. Whole image
+    rows are painted by painted_rows; rows without light, and pixels, are only filled in here."""
     frames = curves.select("night", "obs_idx").distinct()
-    return grid.crossJoin(frames).join(curves.withColumnRenamed("source", "label"), ["night", "obs_idx", "label"], "left").select("night", "obs_idx", "r", "c", F.coalesce("lum", F.lit(0.0)).alias("lum"))
+    rows = frames.crossJoin(labels.sparkSession.range(nrow).select(F.col("id").cast("int").alias("r")))
+    lum = F.coalesce("lum", F.array_repeat(F.lit(0.0), ncol))
+    return rows.join(painted_rows(labels, curves, ncol), ["night", "obs_idx", "r"], "left").select("night", "obs_idx", "r", F.posexplode(lum).alias("c", "lum"))
 
 
 def mask_box(mask: DataFrame) -> DataFrame:

@@ -197,3 +197,34 @@ def median_rows(frames: DataFrame) -> DataFrame:
         yield from given()
 
     return frames.select(F.col("r").cast("int").alias("r"), F.col("lum").cast("array<smallint>").alias("lum")).repartition("r").sortWithinPartitions("r").mapInArrow(run, "r int, c int, lum double")
+
+
+def painted_rows(labels: DataFrame, curves: DataFrame, ncol: int) -> DataFrame:
+    """(night, obs_idx, r, lum array<double> of ncol): the image rows of each frame that have a source with a curve there, each of
+    whose pixels has its source's brightness; background, and what has none, is 0.
+
+    A curve's sample meets the image rows of its source, not its pixels, and background meets nothing: a row then lays the few
+    values that it was sent over its labels. Labels (r, c, label) outside the columns are left out.
+    """
+    inside = labels.where((F.col("c") >= 0) & (F.col("c") < ncol) & F.col("label").isNotNull()).select("r", F.col("c").cast("int").alias("c"), F.col("label").cast("long").alias("label"))
+    image = inside.groupBy("r").agg(F.collect_list(F.struct("c", "label")).alias("x")).select("r", F.col("x.c").alias("c"), F.col("x.label").alias("label"))
+    sent = curves.where("lum IS NOT NULL").select("night", "obs_idx", F.col("source").cast("long").alias("label"), F.col("lum").cast("double").alias("lum")).join(inside.select("r", "label").distinct(), "label")
+    rows = sent.groupBy("night", "obs_idx", "r").agg(F.array_sort(F.collect_list(F.struct("label", "lum"))).alias("x")).select("night", "obs_idx", "r", F.col("x.label").alias("source"), F.col("x.lum").alias("v"))
+    given = rows.join(image, "r").select("night", "obs_idx", "r", "source", "v", "c", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, len(b), 256)):
+            part = {}
+            for name in ("source", "v", "c", "label"):
+                x = batch.column(name)
+                ends = x.offsets.to_numpy()
+                part[name] = np.split(x.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends[1:-1] - ends[0])
+            out = np.zeros((len(batch), ncol))
+            for k, (source, v, c, label) in enumerate(zip(*part.values(), strict=True)):
+                at = np.minimum(np.searchsorted(source, label), len(source) - 1)
+                out[k, c] = np.where(source[at] == label, v[at], 0.0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * ncol), pa.array(out.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("night", "obs_idx", "r")), lists], names=["night", "obs_idx", "r", "lum"])
+
+    kinds = dict(given.dtypes)
+    return given.mapInArrow(run, f"night {kinds['night']}, obs_idx {kinds['obs_idx']}, r {kinds['r']}, lum array<double>")

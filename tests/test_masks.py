@@ -132,3 +132,20 @@ def test_colour_fractions_of_rows_and_cells(spark):
     cells = rows.select("night", "obs_idx", "r", F.posexplode("lum").alias("c", "lum"))
     whole = lambda df: sorted((x.source, round(x.red, 9), round(x.green, 9), round(x.blue, 9)) for x in op.colour_fractions(df, labels, 5, 2).collect())
     assert whole(rows) == whole(cells)
+
+
+def test_painted_rows_and_pixels(spark):
+    """Against pixels painted one by one; a source without a curve, a frame without some, labels beside the grid and a wide source."""
+    rng = np.random.default_rng(4)
+    nrow, ncol = 12, 300
+    labels = {(int(r), int(c)): int(x) for r, c, x in zip(rng.integers(0, 9, 900), rng.integers(0, ncol, 900), rng.integers(1, 30, 900), strict=True)} | {(9, c): 77 for c in range(ncol)}
+    curves = {(n, t, s): float(rng.random()) for n in "ab" for t in range(4) for s in (*range(1, 25), 77, 99) if (s + t) % 5}
+    image = spark.createDataFrame([(r, c, x) for (r, c), x in labels.items()] + [(3, ncol, 1), (3, -1, 2), (4, 2 * ncol, None)], "r int, c int, label int").repartition(3)
+    light = spark.createDataFrame([(*k, v) for k, v in curves.items()] + [("a", 0, 26, None)], "night string, obs_idx int, source int, lum double").repartition(3)
+    got = op.paint_curves(image, light, nrow, ncol).collect()
+    want = {(n, t, r, c): curves.get((n, t, labels.get((r, c))), 0.0) for n in "ab" for t in range(4) for r in range(nrow) for c in range(ncol)}
+    assert len(got) == len(want) and {(x.night, x.obs_idx, x.r, x.c): x.lum for x in got} == want
+    rows = {(x.night, x.obs_idx, x.r) for x in vectors.painted_rows(image, light, ncol).collect()}
+    assert rows == {(n, t, r) for (n, t, s) in curves for (r, _), x in labels.items() if x == s}
+    assert op.paint_curves(image, light.where("false"), nrow, ncol).count() == 0
+    assert not any(x.lum for x in op.paint_curves(image.where("false"), light, 2, 3).collect())
