@@ -224,7 +224,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, fold: int
 def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, runs array<struct<start, end, lang>>) for each row: maximal runs of words whose likeliest language, by
     forward-backward over the whole text, is the same; start and end are bytes of the text in UTF-8. Words are runs of letters
-    a-z and of other characters beyond ASCII. None where there are no words."""
+    a-z and of other characters beyond ASCII. None where there are no words, as in null and empty texts. Rows keep their ids, null or
+    repeated; other columns aren't read; an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

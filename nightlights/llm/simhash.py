@@ -165,6 +165,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     component_id is the smallest id reachable over links of at most radius differing bits; rows of equal fingerprints
     (all texts without words among them) are linked. A null id gets the smallest id of its component, null if none has one.
+    Other columns aren't read; an empty table gives an empty one.
     """
     rows = materialize(fingerprints(docs, [id_col], text_col, shingle), "fingerprints")
     least = rows.groupBy("fp").agg(F.min(id_col).alias("least"))

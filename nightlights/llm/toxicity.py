@@ -167,7 +167,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, predicted) for each row from its whole text; null and empty texts get the score of no terms."""
+    """(id, score, predicted) for each row from its whole text; null and empty texts get the score of no terms.
+    Rows keep their ids, null or repeated; other columns aren't read; an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
