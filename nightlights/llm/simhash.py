@@ -175,18 +175,30 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(least.join(component, "grp").select("fp", "component_id"), "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def similar_prints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links between nodes (node, fp), a < b, whose connected sets are those of all fingerprints within radius."""
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    same = nodes.join(first.hint("rebalance"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    one, other = (first.select(F.col("fp").alias(c), F.col("first").alias(f"n{c}")) for c in "ab")
+    far = near_links(first.select("fp"), radius).join(one, "a").join(other, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    return materialize(same.union(far).distinct(), "near")
+
+
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """docs with one row of each group, all columns: that of the smallest id (null: last), then of the least row hash.
 
-    Groups are the connected sets of links between texts whose sets of shingles have a Jaccard similarity of 4/5 or more. The
-    tiled comparison by exclusive-or and bit counts finds them over the wider fingerprints of jaccard.py, since 64 majority
-    bits have no radius that surely covers this similarity; whole sets decide.
+    Groups are the connected sets of links between texts whose sets of shingles have a Jaccard similarity of 4/5 or more. SimHash
+    links texts whose fingerprints differ in at most RADIUS bits, as in simhash_components, and whole sets check each link.
+    Since 64 majority bits have no radius that surely covers this similarity, jaccard.py joins what lies farther apart.
     Null texts and texts without words are one group; equal texts are linked, repeated rows among them. Columns of any
     name and type are carried along; an empty table gives an empty one.
     """
     h1, h2 = (fresh(docs.columns, c) for c in ("row_hash", "row_check"))
     marked = docs.withColumns(dict(zip((h1, h2), row_key(docs), strict=True)))
-    rows = materialize(jaccard.sets(marked, [id_col, h1, h2], text_col, shingle).toDF("id", "h1", "h2", "node", "twin", "n", "few", "wide", "narrow"), "sets")
+    text = F.col(quoted(text_col)).cast("string").alias("text")
+    plain = marked.select(F.col(quoted(id_col)).alias("id"), F.col(h1).alias("h1"), F.col(h2).alias("h2"), text)
+    prints = materialize(fingerprints(plain, ["h1", "h2"], "text", shingle), "fingerprints")
+    rows = materialize(jaccard.sets(plain, ["id", "h1", "h2"], "text", shingle), "sets")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")
     while True:
         best = materialize(rows.groupBy("node").agg(F.min(order).alias("best"), F.min("twin").alias("lo"), F.max("twin").alias("hi")).select("node", "best.h1", "best.h2", "best", "lo", "hi"), "best")
@@ -198,9 +210,10 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         chosen = nodes.join(best.select("node", F.col("h1").alias(h1), F.col("h2").alias(h2)), "node")
-        text = marked.select(h1, h2, F.col(quoted(text_col)).cast("string").alias("text"))
-        return text.join(chosen, [h1, h2]).select("node", "text").dropDuplicates(["node"])
+        return marked.select(h1, h2, text).join(chosen, [h1, h2]).select("node", "text").dropDuplicates(["node"])
 
-    grouped = best.join(jaccard.similar_groups(rows.select("node", "n", "few"), wide, texts_of, shingle), "node", "left").groupBy(F.coalesce("grp", "node").alias("grp")).agg(F.min("best").alias("best"))
+    near = similar_prints(materialize(best.select("node", "h1", "h2").join(prints, ["h1", "h2"]).select("node", "fp").distinct(), "prints"))
+    groups = jaccard.similar_groups(rows.select("node", "n", "few"), wide, near, texts_of, shingle)
+    grouped = best.join(groups, "node", "left").groupBy(F.coalesce("grp", "node").alias("grp")).agg(F.min("best").alias("best"))
     winners = materialize(grouped.select(F.col("best.h1").alias(h1), F.col("best.h2").alias(h2)), "winners")
     return marked.join(winners, [h1, h2], "left_semi").dropDuplicates([h1, h2]).select(*[F.col(quoted(c)) for c in docs.columns])

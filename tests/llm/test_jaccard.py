@@ -7,6 +7,7 @@ import plain
 import pyarrow as pa
 from nightlights.llm import jaccard, simhash
 from nightlights.llm.tables import table
+from pyspark.sql import functions as F
 
 
 def test_pipeline_stage_links_at_jaccard(spark, sf_dir):
@@ -79,3 +80,54 @@ def test_clashing_names_maps_repeats_and_equal_hashes(spark, monkeypatch):
     real = jaccard.ts.mix
     monkeypatch.setattr(jaccard, "node_hash", lambda h, first, seed: real(np.diff(first).astype(np.uint64)).view(np.int64) if seed == 7 else real(np.append(h, np.uint64(1))[first[:-1]]).view(np.int64))
     assert sorted(r.doc_id for r in simhash.keep_one_of_each_group(docs.where("doc_id < 9")).collect()) == [3, 5]
+
+
+def test_stage_takes_links_of_simhash(spark, monkeypatch):
+    """Fingerprints of majority bits are linked as in simhash_components, and whole sets check their links."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[:k] + [f"z{rng.integers(1 << 30)}"] + words[k + 1 :])) for k in range(40)]
+    rows += [(k, " ".join(f"x{rng.integers(1 << 30)}" for _ in range(60))) for k in range(40, 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, real = [], simhash.near_links
+
+    def spy(distinct, radius=simhash.RADIUS):
+        seen.extend(r.fp for r in distinct.collect())
+        return real(distinct, radius)
+
+    monkeypatch.setattr(simhash, "near_links", spy)
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each_group(docs).collect()) == plain.kept_by_jaccard(rows) == [0, *range(40, 50)]
+    assert sorted({x % (1 << 64) for x in seen}) == sorted({plain.fingerprint(t, 5) for _, t in rows})
+    seen.clear()
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, columns, *_: docs.select(*columns, F.lit(0).cast("long").alias("fp")))
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each_group(docs).collect()) == plain.kept_by_jaccard(rows) and seen == [0]  # links of unlike texts don't hold
+
+
+def test_rows_of_comparisons_follow_rows_not_pairs():
+    """Of m like texts in one cell, and of m similar ones in one block, at most m - 1 rows come out."""
+    rng = np.random.default_rng(4)
+    bits = rng.integers(-(1 << 62), 1 << 62, 4).tolist()
+    for m in (40, 400):
+        one = np.zeros(m, np.int32)
+        cell = pa.record_batch({"token": one.astype(np.int64), "low": one, "high": one, "node": np.arange(m) + 7, "n": one + 300, "at": one, "comp": np.arange(m) + 7, "tile": one, "narrow": pa.array([bits] * m, pa.list_(pa.int64()))})
+        out = pa.Table.from_batches(jaccard._compare(iter([cell])))
+        assert len(out) == m - 1 and set(out.column("a").to_pylist()) == {7} and sorted(out.column("b").to_pylist()) == list(range(8, m + 7))
+        texts = [" ".join(["same"] + [f"w{j}" for j in range(60)] + [f"end{k}"]) for k in range(m)]
+        block = pa.record_batch({"block": one.astype(np.int64), "low": one, "high": one, "node": np.arange(m), "comp": np.arange(m), "tile": one, "text": texts})
+        assert sum(b.num_rows for b in jaccard._verify(5)(iter([block]))) == m - 1
+
+
+def test_blocks_beyond_a_tile(spark, monkeypatch):
+    """Blocks of more texts or shingles than a tile are compared by pairs of tiles; long sets have folded fingerprints of several widths."""
+    monkeypatch.setattr(jaccard, "SHINGLES", 4000)
+    rng = np.random.default_rng(9)
+    rows = []
+    for base, size in enumerate((90, 700, 2600, 5000)):
+        words = [f"w{base}x{k}" for k in range(size)]
+        for copy in range(9):
+            now = list(words)
+            for k in rng.choice(size, size * copy // 200, replace=False):
+                now[k] = f"z{rng.integers(1 << 30)}"
+            rows.append((base * 100 + copy, " ".join(now[: size - size * copy // 40])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each_group(docs).collect()) == plain.kept_by_jaccard(rows)
