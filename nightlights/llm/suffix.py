@@ -4,11 +4,13 @@ A string of LENGTH bytes has an anchor, the least hashed of its K-byte pieces, c
 have equal anchors at equal offsets. So only suffixes at anchors are sorted, forwards and backwards: two strings with
 their anchor at offset o are equal if the suffixes share LENGTH - o bytes to the right of it and o to the left.
 
-1. Documents are dealt once into blocks. A block sends its anchors' hashes, 6 bytes each, to buckets, which answer with
+1. Documents are dealt once into blocks. A block sends its anchors' hashes, 4 bytes each, to buckets, which answer with
    those that other documents have too.
 2. Blocks send the surroundings of the anchors that are left, each once, to buckets, which sort the suffixes there and
    answer for each surrounding at which offsets a smaller document has the string.
 3. Blocks cut what is covered. The documents' exchange is the same in all three steps, so Spark reuses it.
+
+Documents and surroundings are compressed before they are exchanged, since exchanges stay on disk until the end.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ K = 24
 W = LENGTH - K + 1
 #: Bytes of the surroundings of an anchor: all strings that it is the anchor of.
 ROOM = 80
-#: An anchor met in more blocks and documents than this goes out string by string, so that buckets of strings share it.
-HOT = 256
+#: An anchor with more than HOT packs of PACK different surroundings, a block's last pack counted whole, goes out string by string, so
+#: that buckets of strings share it. That makes about a dozen surroundings of one, so the number of blocks alone must not decide.
+HOT, PACK = 8192, 16
 #: Bytes of texts in a block, and of those whose anchors share a bucket, about, wherever there are more than shuffle partitions hold.
 BLOCK_BYTES = 64 << 20
 _POSITION = np.uint64((1 << 24) - 1)
@@ -200,9 +203,24 @@ class Block:
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
         first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
-        self.keys = key[first]
         last = np.append(first[1:], len(key)) - 1 if len(key) else first
-        self.many = doc[first] != doc[last]
+        packs = self._packs(key[first], last - first + 1)
+        #: Of each anchor a row for each pack, and whether several documents here have it.
+        self.keys, self.many = np.repeat(key[first], packs), np.repeat(doc[first] != doc[last], packs)
+
+    def _packs(self, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Of each anchor how many packs its different surroundings here make."""
+        packs, often = np.ones(len(keys), np.int64), np.flatnonzero(times > PACK)
+        if len(often):
+            found = []
+            for p, _, _ in self.parts:
+                at = np.searchsorted(keys[often], p.key)
+                own = np.flatnonzero(keys[often][np.minimum(at, len(often) - 1)] == p.key)
+                room = np.where(np.arange(ROOM) < (p.last - p.first)[own, None] + LENGTH, _gather(p.buf, p.first[own], ROOM), np.uint8(0))
+                found.append(np.stack([at[own].astype(np.uint64), row_hash(room, 11)], 1))
+            which, n = np.unique(np.unique(np.concatenate(found), axis=0)[:, 0].astype(np.int64), return_counts=True)
+            packs[often[which]] = -(-n // PACK)
+        return packs
 
     def _by_bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(order by bucket, stable; where each bucket's share ends)."""
@@ -210,11 +228,11 @@ class Block:
         return np.argsort(b, kind="stable"), np.cumsum(np.bincount(b, minlength=self.buckets))
 
     def anchors(self) -> list[tuple[int, bytes]]:
-        """(bucket, its anchors in 6 bytes each: 47 bits of hash, and 1 if several documents here have it)."""
+        """(bucket, its anchors in 4 bytes each: 31 bits of hash, others than choose the bucket, and 1 if several documents here have it).
+        Different anchors that agree in these are candidates for nothing, and no more."""
         order, ends = self._by_bucket(self.keys)
-        short = (self.keys[order] >> np.uint64(17)) << np.uint64(1) | self.many[order].astype(np.uint64)
-        six = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        return [(b, six[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if hi > lo]
+        short = ((self.keys[order] >> np.uint64(33)) << np.uint64(1) | self.many[order].astype(np.uint64)).astype("<u4")
+        return [(b, short[lo:hi].tobytes()) for b, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if hi > lo]
 
     def candidates(self, answers: dict[int, bytes]) -> None:
         """Takes the buckets' answers and gathers the surroundings of anchors that other documents have, each once."""
@@ -296,17 +314,37 @@ def piece_keys(room: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 def repeated_anchors(blobs: list[bytes]) -> list[bytes]:
     """For the anchors of each block of a bucket: 0 where one document alone has it, 1 where several, 2 where very many."""
-    each = []
-    for x in blobs:
-        six = np.zeros((len(x) // 6, 8), np.uint8)
-        six[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-        each.append(six.view("<u8").ravel())
+    each = [np.frombuffer(x, "<u4") for x in blobs]
     every = np.concatenate(each)
-    keys, n = np.unique(every >> np.uint64(1), return_counts=True)
-    many = np.zeros(len(keys), bool)
-    many[np.searchsorted(keys, every[every & np.uint64(1) == 1] >> np.uint64(1))] = True
-    status = np.where(n > HOT, 2, (many | (n > 1)).astype(np.uint8)).astype(np.uint8)
-    return [status[np.searchsorted(keys, x >> np.uint64(1))].tobytes() for x in each]
+    keys, packs = np.unique(every >> 1, return_counts=True)
+    several = np.zeros(len(keys), bool)
+    several[np.searchsorted(keys, every[every & 1 == 1] >> 1)] = True
+    blocks = np.zeros(len(keys), np.int64)
+    for x in each:
+        blocks[np.searchsorted(keys, np.unique(x >> 1))] += 1
+    status = np.where(packs > HOT, 2, several | (blocks > 1)).astype(np.uint8)
+    return [status[np.searchsorted(keys, x >> 1)].tobytes() for x in each]
+
+
+def pack(x: bytes) -> bytes:
+    """x compressed, after its length."""
+    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
+
+
+def unpack(x: bytes) -> bytes:
+    return pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+
+
+def packed(rows: pa.Table) -> list[bytes]:
+    """rows in one blob; none of none."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return [pack(sink.getvalue().to_pybytes())] if len(rows) else []
+
+
+def unpacked(blobs: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(unpack(x)).read_all() for x in blobs])
 
 
 def compare(room: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -357,10 +395,22 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, whole_characters: bool) ->
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(F.col(quoted(text_col)).cast("string")).cast("long"))).first()[0] or 0
     blocks, buckets = max(2 * n, -(-size // BLOCK_BYTES)), max(n, -(-size // BLOCK_BYTES))
-    dealt = docs.select(F.pmod(row_key(docs)[0], F.lit(blocks)).cast("int").alias("block"), *[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)]).repartition(max(n, -(-blocks // 2)), "block")
+    named = docs.select(F.pmod(row_key(docs)[0], F.lit(blocks)).cast("int").alias("block"), *[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    fields = named.columns[1:]
+
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for x in batches if x.num_rows):
+            rows, block = pa.Table.from_batches([batch]), batch.column("block").to_numpy(zero_copy_only=False)
+            order = np.argsort(block, kind="stable")
+            ends = np.flatnonzero(np.diff(block[order], append=-1)) + 1
+            for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                yield pa.record_batch({"block": pa.array([block[order[lo]]], pa.int32()), "docs": pa.array(packed(rows.take(order[lo:hi]).select(fields)), pa.binary())})
+
+    dealt = named.mapInArrow(by_block, "block int, docs binary").repartition(max(n, -(-blocks // 2)), "block")
+    read = lambda table: unpacked(table.column("docs").to_pylist())
 
     def send(table: pa.Table) -> pa.Table:
-        out = Block(table, id_name, text_name, buckets).anchors()
+        out = Block(read(table), id_name, text_name, buckets).anchors()
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(out), pa.int32()), "blob": pa.array([x for _, x in out], pa.binary())})
 
     def judge(table: pa.Table) -> pa.Table:
@@ -370,39 +420,38 @@ def _cut(docs: DataFrame, id_col: str, text_col: str, whole_characters: bool) ->
     def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         if len(docs):
-            block = Block(docs, id_name, text_name, buckets)
+            block = Block(read(docs), id_name, text_name, buckets)
             block.candidates(_answers(answers, 1))
-            out = block.surroundings()
+            out = [x | {"room": pack(x["room"])} for x in block.surroundings()]
         number = docs.column("block")[0].as_py() if len(docs) else None
         return pa.Table.from_pylist([x | {"block": number} for x in out], pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("room", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("doc", pa.binary())]))
 
     def sort(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         low = [np.frombuffer(r["low"], np.uint8) for r in rows]
-        mask = compare(np.frombuffer(b"".join(r["room"] for r in rows), np.uint8).reshape(-1, ROOM), np.concatenate(low), np.frombuffer(b"".join(r["high"] for r in rows), np.uint8), np.frombuffer(b"".join(r["doc"] for r in rows), np.int64))
+        mask = compare(np.frombuffer(b"".join(unpack(r["room"]) for r in rows), np.uint8).reshape(-1, ROOM), np.concatenate(low), np.frombuffer(b"".join(r["high"] for r in rows), np.uint8), np.frombuffer(b"".join(r["doc"] for r in rows), np.int64))
         cuts = np.cumsum([len(x) for x in low])[:-1]
         return pa.table({"block": table.column("block"), "step": pa.array([2] * len(rows), pa.int32()), "bucket": table.column("bucket"), "blob": pa.array([x.tobytes() for x in np.split(mask, cuts)], pa.binary())})
 
-    fields = dealt.columns[1:]
+    made = T.StructType(named.schema.fields[1:]).add("kept", "binary").add("spans", T.ArrayType(T.StructType().add("start", "long").add("length", "long")))
 
     def cut(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        kept, spans = [], []
+        kept, spans, out = [], [], pa.table({})
         if len(docs):
-            block = Block(docs, id_name, text_name, buckets)
+            out = read(docs)
+            block = Block(out, id_name, text_name, buckets)
             block.candidates(_answers(answers, 1))
             for x, gone in zip(block.data, block.covered(_answers(answers, 2)), strict=True):
                 edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
                 spans.append([{"start": a, "length": b - a} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
                 left = np.frombuffer(x, np.uint8)[~gone].tobytes() if len(edge) else x
                 kept.append(left.decode("utf-8", "ignore").encode() if whole_characters and len(edge) else left)
-        out = docs.select(fields) if len(docs) else docs.select([c for c in fields if c in docs.column_names])
         return out.append_column("kept", pa.array(kept, pa.binary())).append_column("spans", pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))))
 
     answer = "block int, step int, bucket int, blob binary"
     first = dealt.groupBy("block").applyInArrow(send, "bucket int, block int, blob binary").groupBy("bucket").applyInArrow(judge, answer)
     second = dealt.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask, "bucket int, block int, room binary, low binary, high binary, doc binary").groupBy("bucket").applyInArrow(sort, answer)
     both = first.unionByName(second)
-    made = T.StructType(dealt.schema.fields[1:]).add("kept", "binary").add("spans", T.ArrayType(T.StructType().add("start", "long").add("length", "long")))
     return dealt.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(cut, made)
 
 

@@ -81,6 +81,32 @@ def test_hot_anchors_go_out_string_by_string(docs, rows, monkeypatch):
     assert [d.sum() for d in dead] == [x[2] for x in plain.cut_bytes(few)]
 
 
+def test_blocks_alone_make_no_anchor_hot():
+    """A passage that each of very many blocks has once goes out as one surrounding a block, not string by string."""
+    import pyarrow as pa
+
+    block = suffix.Block(pa.table({"doc_id": pa.array([1], pa.int64()), "text": [prose(60)]}), "doc_id", "text", 1)
+    ((_, blob),) = block.anchors()
+    assert {x for answer in suffix.repeated_anchors([blob] * 600) for x in answer} == {1}
+
+
+def test_different_surroundings_make_an_anchor_hot(monkeypatch):
+    """They are counted in packs, and a passage alone in its document isn't taken for repeated, however many it makes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix, "HOT", 3)
+    around, same = np.random.default_rng(5).integers(97, 123, (8 * suffix.PACK, 2, 40)).astype(np.uint8), prose(60)[: suffix.LENGTH]
+    texts = [a.tobytes().decode() + same + b.tobytes().decode() for a, b in around]
+    block = suffix.Block(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), "doc_id", "text", 1)
+    ((_, blob),) = block.anchors()
+    assert 2 in suffix.repeated_anchors([blob])[0]
+    monkeypatch.setattr(suffix, "HOT", 8)
+    assert max(suffix.repeated_anchors([blob])[0]) == 1
+    lone = suffix.Block(pa.table({"doc_id": pa.array([1], pa.int64()), "text": [" ".join(texts)]}), "doc_id", "text", 1)
+    ((_, blob),) = lone.anchors()
+    assert len(lone.keys) > len(set(lone.keys.tolist())) and not any(suffix.repeated_anchors([blob])[0])
+
+
 def test_long_texts_go_in_pieces(monkeypatch):
     import pyarrow as pa
 
