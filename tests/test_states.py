@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
+from nightlights import registry
+from nightlights.jobs import states as jobs
+from nightlights.operators import ranks
 from nightlights.operators import states as op
 
 
@@ -95,3 +100,23 @@ def test_significance(spark):
         want = 1 - 2 * np.trapezoid(c * (1 + x * x / n) ** (-(n + 1) / 2), x)
         got = spark.range(1).select(student_p(F.lit(-t), F.lit(n)).alias("p")).first().p
         assert abs(got - want) < 1e-6, (t, n)
+
+
+def test_states_take_no_frame_to_the_end(spark):
+    """A frame that ends with the series is summed up anew for each row, in time with the square of a series' length."""
+    plan = op.lit_states(edges(spark, [[(1, 0)]]))._jdf.queryExecution().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
+#: Queries on lit states whose time goes with the length of a series, not with its square.
+LINEAR = [
+    "w7_lit_state",
+]
+
+
+@pytest.mark.parametrize("name", LINEAR)
+def test_queries_take_no_frame_to_the_end(spark, sf_dir, monkeypatch, name):
+    for module in (op, ranks, jobs):
+        monkeypatch.setattr(module, "materialize", lambda df, tag="": df, raising=False)
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().toString().lower()
+    assert "is_off" in plan and "unboundedfollowing" not in plan
