@@ -111,6 +111,7 @@ def test_states_take_no_frame_to_the_end(spark):
 #: Queries on lit states whose time goes with the length of a series, not with its square.
 LINEAR = [
     "w7_lit_state",
+    "w8_lit_states",
 ]
 
 
