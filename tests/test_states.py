@@ -112,6 +112,7 @@ def test_states_take_no_frame_to_the_end(spark):
 LINEAR = [
     "w7_lit_state",
     "w8_lit_states",
+    "j11_attributes",
 ]
 
 
