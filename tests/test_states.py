@@ -113,6 +113,7 @@ LINEAR = [
     "w7_lit_state",
     "w8_lit_states",
     "j11_attributes",
+    "w11_rank_by_duration",
 ]
 
 
