@@ -114,6 +114,7 @@ LINEAR = [
     "w8_lit_states",
     "j11_attributes",
     "w11_rank_by_duration",
+    "j4_lit_pixels",
 ]
 
 
