@@ -115,6 +115,7 @@ LINEAR = [
     "j11_attributes",
     "w11_rank_by_duration",
     "j4_lit_pixels",
+    "a14_precision_stack",
 ]
 
 
