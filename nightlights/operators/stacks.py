@@ -29,12 +29,17 @@ def lit_in_window(matched: DataFrame) -> DataFrame:
 
 
 def lit_intervals(states: DataFrame, minutes: float) -> DataFrame:
-    """(source, first, last, samples) in microseconds: runs of a source's lit samples that are less than a window of twice minutes apart."""
+    """(source, first, last, samples) in microseconds: runs of a source's lit samples that are less than a window of twice minutes apart.
+
+    Samples are counted by cells of that width first, in each of which they are one run, so that a source's samples need no order
+    and may be in many tasks.
+    """
     gap = int(2 * minutes * 60 * 1_000_000)
     lit = states.where("lit").select("source", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    by = Window.partitionBy("source").orderBy("at")
-    new = lit.withColumn("new", F.coalesce(F.col("at") - F.lag("at").over(by) >= gap, F.lit(True)).cast("int"))
-    return new.withColumn("k", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("source", "k").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("samples")).drop("k")
+    cells = lit.groupBy("source", F.floor(F.col("at") / gap).alias("cell")).agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("samples"))
+    by = Window.partitionBy("source").orderBy("cell")
+    new = cells.withColumn("new", F.coalesce(F.col("first") - F.lag("last").over(by) >= gap, F.lit(True)).cast("int"))
+    return new.withColumn("k", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).groupBy("source", "k").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("samples").alias("samples")).drop("k")
 
 
 #: Least seconds of the buckets by which windows meet intervals.

@@ -108,3 +108,19 @@ def test_background_is_no_key(spark, scans):
     assert "scan_id" in join and "source" not in join
     rows = stacks.lit_pixels(scans, labels, lit).collect()
     assert len(rows) == scans.count() and sum(any(x.spectrum) for x in rows) == 1
+
+
+def test_lit_intervals_order_cells_not_samples(spark):
+    """A source's samples are counted where they lie, however many; runs are the same as those of its samples in order."""
+    rng = np.random.default_rng(4)
+    at = np.sort(rng.integers(-4_000, 40_000, 150)).tolist()
+    states = spark.createDataFrame([(k % 2, t, True) for k, t in enumerate(at)], "source int, t long, lit boolean").selectExpr("source", "CAST(t AS timestamp) AS ts", "lit")
+    want = []
+    for source in (0, 1):
+        for t in at[source::2]:
+            if not want or want[-1][0] != source or t - want[-1][2] >= 600:
+                want.append([source, t, t, 0])
+            want[-1] = [source, want[-1][1], t, want[-1][3] + 1]
+    found = stacks.lit_intervals(states, 5)
+    assert sorted([r.source, r.first // 10**6, r.last // 10**6, r.samples] for r in found.collect()) == want
+    assert "cell" in found._jdf.queryExecution().toString()

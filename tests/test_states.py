@@ -116,6 +116,7 @@ LINEAR = [
     "w11_rank_by_duration",
     "j4_lit_pixels",
     "a14_precision_stack",
+    "j4_lit_in_window",
 ]
 
 
