@@ -108,6 +108,13 @@ def test_states_take_no_frame_to_the_end(spark):
     assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
 
 
+@pytest.mark.parametrize("take", [op.ever_lit])
+def test_states_are_found_once(spark, take):
+    """What reads durations several times doesn't find the states behind them each time."""
+    found = take(op.lit_durations(op.lit_states(edges(spark, [[(1, 0), (0, 0), (0, 1)]]))))
+    assert "is_on" not in found._jdf.queryExecution().toString()
+
+
 #: Queries on lit states whose time goes with the length of a series, not with its square.
 LINEAR = [
     "w7_lit_state",
@@ -117,6 +124,7 @@ LINEAR = [
     "j4_lit_pixels",
     "a14_precision_stack",
     "j4_lit_in_window",
+    "p12_ever_lit",
 ]
 
 
