@@ -108,7 +108,7 @@ def test_states_take_no_frame_to_the_end(spark):
     assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
 
 
-@pytest.mark.parametrize("take", [op.ever_lit, op.quiet_nights])
+@pytest.mark.parametrize("take", [op.ever_lit, op.quiet_nights, op.standardised_totals])
 def test_states_are_found_once(spark, take):
     """What reads durations several times doesn't find the states behind them each time."""
     found = take(op.lit_durations(op.lit_states(edges(spark, [[(1, 0), (0, 0), (0, 1)]]))))
@@ -126,6 +126,7 @@ LINEAR = [
     "j4_lit_in_window",
     "p12_ever_lit",
     "p9_quiet_nights",
+    "w12_standardised_totals",
 ]
 
 
