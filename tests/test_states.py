@@ -127,6 +127,7 @@ LINEAR = [
     "p12_ever_lit",
     "p9_quiet_nights",
     "w12_standardised_totals",
+    "u1_union",
 ]
 
 
