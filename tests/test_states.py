@@ -128,6 +128,7 @@ LINEAR = [
     "p9_quiet_nights",
     "w12_standardised_totals",
     "u1_union",
+    "x1_groups",
 ]
 
 
