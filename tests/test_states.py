@@ -129,6 +129,7 @@ LINEAR = [
     "w12_standardised_totals",
     "u1_union",
     "x1_groups",
+    "a23_histogram",
 ]
 
 
