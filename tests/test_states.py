@@ -130,6 +130,7 @@ LINEAR = [
     "u1_union",
     "x1_groups",
     "a23_histogram",
+    "x2_anderson_darling",
 ]
 
 
