@@ -131,6 +131,7 @@ LINEAR = [
     "x1_groups",
     "a23_histogram",
     "x2_anderson_darling",
+    "a25_colour_durations",
 ]
 
 
