@@ -58,6 +58,9 @@ def near_pairs(found: DataFrame) -> DataFrame:
 
     An edit flips two bits of the mask of parities at most, so of its three bands one stays. Words meet in equal bands with
     fitting lengths and an equal half; a pair counts at its first equal band and half only, and whole words decide.
+
+    Joins here and below are merges by hint: Spark knows words by their compressed files and doesn't count what explode makes of
+    them, so it would broadcast twelve keys for each word of a table of some MB.
     """
     masked = found.select("word", "n", F.array(*[parity_band(F.col("word"), k) for k in range(BANDS)]).alias("masks"))
     a, b = _keyed(masked, False).alias("a"), _keyed(masked, True).alias("b")
@@ -68,7 +71,7 @@ def near_pairs(found: DataFrame) -> DataFrame:
         first &= (F.col("a.band") <= k) | (F.col("a.masks")[k] != F.col("b.masks")[k])
     first &= (F.col("a.side") == 0) | (left("a") != left("b"))
     once = (F.col("a.grow") == 1) | (F.col("a.word") < F.col("b.word"))
-    met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).where(once & first)
+    met = a.join(b.hint("merge"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).where(once & first)
     return met.where(F.levenshtein("a.word", "b.word", 1) == 1).select(F.col("a.word").alias("a"), F.col("b.word").alias("b"), F.col("a.n").alias("a_n"), F.col("b.n").alias("b_n"))
 
 
@@ -78,7 +81,7 @@ def follow(forms: DataFrame) -> DataFrame:
     now = materialize(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = now.select(F.col("word").alias("via"), F.col("root").alias("further"))
-        stepped = materialize(now.join(ahead, now["root"] == F.col("via"), "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        stepped = materialize(now.join(ahead.hint("merge"), now["root"] == F.col("via"), "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         if not stepped.where("moved").limit(1).count():
             return stepped.select("word", "root")
         now = stepped.select("word", "root")
@@ -96,9 +99,9 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = materialize(near_pairs(found), "near")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("m")).union(pairs.select("b", "a", "a_n"))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), F.col("other").alias("other"))).alias("best"))
-    known = found.join(best, "word", "left").select(
+    known = found.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), *[F.when(-F.col("best.m") >= 2 * F.col("n"), x).alias(k) for k, x in (("form", F.col("best.other")), ("form_n", -F.col("best.m")))],
     )
     known = materialize(known, "forms")
     roots = follow(known.where("form IS NOT NULL"))
-    return known.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return known.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -59,3 +59,14 @@ def test_chain_and_empty_table(spark):
 def test_query(spark, sf_dir):
     docs = [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.op12_spelling(spark, sf_dir).collect())) == sorted(plain.variants(docs))
+
+
+def test_words_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Whatever Spark takes their size for: it is that of compressed files, without what explode makes of them."""
+    plans = []
+    write = spelling.materialize
+    monkeypatch.setattr(spelling, "materialize", lambda df, tag: (plans.append(df), write(df, tag))[1])
+    docs = spark.createDataFrame([(i, "garden garden garden gardem lantern lantern lantern " * 3) for i in range(20)], "doc_id long, text string")
+    plans.append(spelling.spelling_variants(docs))
+    joins = [str(df._jdf.queryExecution().executedPlan()) for df in plans]
+    assert sum("SortMergeJoin" in x for x in joins) >= 4 and not any("Broadcast" in x for x in joins)
