@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 
+import pytest
 from nightlights.functions import camera as cam
 from nightlights.operators import learning, registration, world
 from pyspark.sql import functions as F
@@ -180,3 +183,40 @@ def test_rays_skip_what_they_pass_above(spark, monkeypatch):
                 break
         assert np.allclose(got[p.r, p.c], want)
     assert 0 < hits < 360
+
+
+PAIRS = "frame string, id int, r0 double, c0 double, r1 double, c1 double"
+
+
+def by_pairs(rows, ratio, every):
+    """Mean ratio by frame, pair by pair."""
+    out = {}
+    for f in {x[0] for x in rows}:
+        own = [x for x in rows if x[0] == f]
+        found = [ratio(math.hypot(a[2] - b[2], a[3] - b[3]), math.hypot(a[4] - b[4], a[5] - b[5])) for a in own for b in own if every or (None not in (a[1], b[1]) and a[1] < b[1])]
+        found = [x for x in found if x is not None]
+        if found:
+            out[f] = sum(found) / len(found)
+    return out
+
+
+@pytest.mark.parametrize("tile", [2, 4096])
+def test_ratios_of_all_pairs(spark, monkeypatch, tile):
+    """In tiles, with equal points, repeated and null ids, and a frame of one point; pairs of equal target points have no scale factor
+    that is a number, and no distance ratio."""
+    monkeypatch.setattr(registration, "TILE", tile)
+    monkeypatch.setattr(registration, "STEP", 16)
+    rng = random.Random(6)
+    rows = [("ab"[k % 2], k, *[float(rng.randint(0, 50)) for _ in range(4)]) for k in range(40)]
+    rows += [("a", 4, 1.0, 1.0, 60.0, 61.0), ("a", 4, 2.0, 1.0, 60.0, 61.0), ("a", None, 9.0, 9.0, 70.0, 70.0), ("lone", 1, 0.0, 0.0, 0.0, 0.0)]
+    rows += [("c", k, float(k // 2), 0.0, float(k // 2), 1.0) for k in range(8)] + [("d", k, float(k), 0.0, float(k // 2), 1.0) for k in range(8)]
+    df = spark.createDataFrame(rows, PAIRS)
+    scale = {r.frame: r.factor for r in registration.scale_factor(df).collect()}
+    by_hand = by_pairs([x for x in rows if x[0] in "ab"], lambda ref, target: ref / target if target else math.inf if ref else math.nan, False)
+    assert set(scale) == {"a", "b", "c", "d"} and math.isnan(scale["c"]) and scale["d"] == math.inf
+    assert {f: scale[f] for f in "ab"} == pytest.approx(by_hand, nan_ok=True)
+    aspects = spark.createDataFrame([(f, 2.0) for f in ("a", "b", "c", "d", "lone")], "frame string, aspect double")
+    ratio = {r.frame: r.ratio for r in registration.distance_ratio(df, aspects).collect()}
+    wide = [(f, i, r0, c0 / 2, r1, c1) for f, i, r0, c0, r1, c1 in rows]
+    assert ratio == pytest.approx(by_pairs(wide, lambda ref, target: target / ref if target > 0 and ref else None, True) | {"lone": None})
+    assert not re.search("BroadcastNestedLoopJoin|CartesianProduct", registration.distance_ratio(df, aspects)._jdf.queryExecution().toString())
