@@ -220,3 +220,13 @@ def test_ratios_of_all_pairs(spark, monkeypatch, tile):
     wide = [(f, i, r0, c0 / 2, r1, c1) for f, i, r0, c0, r1, c1 in rows]
     assert ratio == pytest.approx(by_pairs(wide, lambda ref, target: target / ref if target > 0 and ref else None, True) | {"lone": None})
     assert not re.search("BroadcastNestedLoopJoin|CartesianProduct", registration.distance_ratio(df, aspects)._jdf.queryExecution().toString())
+
+
+def test_places_stand_for_equal_points(spark):
+    """Copies of a frame's points make no more pairs."""
+    rows = [("a", k, float(k % 5), float(k % 3), 2.0 * (k % 5), 3.0 * (k % 3)) for k in range(15)]
+    once = spark.createDataFrame(rows, PAIRS)
+    many = once.crossJoin(spark.range(20_000).toDF("copy")).withColumn("id", (F.col("copy") * 15 + F.col("id")).cast("int")).select(*once.columns)
+    aspects = spark.createDataFrame([("a", 1.0)], "frame string, aspect double")
+    want, got = (registration.distance_ratio(x, aspects).first().ratio for x in (once, many))
+    assert got == pytest.approx(want)
